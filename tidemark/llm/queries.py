@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, sstable, token_counts
+from tidemark.llm import bpe, exact_dedup, packing, simhash, sstable, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, sf_dir))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad)
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_files(spark, f"{sf_dir}/documents.parquet")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -30,8 +45,18 @@ def op10_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op8_packing, op9_token_counts, op10_sorted_tables)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op5_exact_dedup, op6_simhash, op8_packing, op9_token_counts, op10_sorted_tables)}
+
+
+#: Digest groups of the documents; null counts as empty.
+OP5_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter.ORACLE_SQL, "op5_exact_dedup": OP5_SQL}
