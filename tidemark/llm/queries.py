@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, packing, simhash, sstable, token_counts, url_filter
+from tidemark.llm import bpe, exact_dedup, packing, pii, simhash, sstable, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_files(spark, f"{sf_dir}/documents.parquet")
 
@@ -45,7 +49,7 @@ def op10_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op5_exact_dedup, op6_simhash, op8_packing, op9_token_counts, op10_sorted_tables)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op8_packing, op9_token_counts, op10_sorted_tables)}
 
 
 #: Digest groups of the documents; null counts as empty.
