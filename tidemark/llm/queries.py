@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, packing, pii, simhash, sstable, token_counts, url_filter
+from tidemark.llm import bpe, exact_dedup, packing, pii, quality, simhash, sstable, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op8_packing, op9_token_counts, op10_sorted_tables)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op7_quality, op8_packing, op9_token_counts, op10_sorted_tables)}
 
 
 #: Digest groups of the documents; null counts as empty.
