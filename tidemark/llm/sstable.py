@@ -10,7 +10,8 @@ with the last key of each block, a Bloom filter over the keys, properties, and a
     footer     offsets and lengths of index, bloom and properties, then a magic number
 
 A key is one byte (0: null identifier) and the identifier as a big-endian integer with its sign bit flipped, so that
-byte order is number order. A value is the document's ids as little-endian unsigned 32-bit integers.
+byte order is number order. A value is the document's ids as little-endian unsigned integers of 16 bits where all ids
+allow it, else of 32 bits; the lowest bit of the value length's varint says which (1: 32 bits).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import struct
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -84,7 +86,9 @@ class ShardWriter:
         if self.keys and key < self.last:
             raise ValueError(f"key out of order: {doc_id}")
         shared = len(os.path.commonprefix((self.last, key))) if self.in_block % RESTART else 0
-        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids
+        wide = np.frombuffer(ids, "<u4")
+        value = ids if len(wide) and wide.max() > 0xFFFF else wide.astype("<u2").tobytes()
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value) << 1 | (value is ids)) + key[shared:] + value
         self.last, self.in_block, self.n_ids = key, self.in_block + 1, self.n_ids + len(ids) // 4
         self.keys.append(key)
         if len(self.block) >= BLOCK_BYTES:
@@ -145,8 +149,9 @@ class ShardReader:
             length, at = _read_varint(block, at)
             key = key[:shared] + block[at : at + unshared]
             at += unshared
-            yield key, block[at : at + length]
-            at += length
+            value = block[at : at + (length >> 1)]
+            yield key, value if length & 1 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+            at += length >> 1
 
     def __iter__(self):
         """(identifier, ids) of all documents in key order."""
