@@ -1,7 +1,7 @@
 """Vocabulary files and per-worker encoders with bounded caches.
 
 Each Python worker loads a vocabulary once. A text whose characters all lie in SAFE (printable ASCII, line feeds and
-Latin-1 letters) is cut into pre-tokens by the vocabulary's own pattern: over these characters every regex engine and
+Latin-1 letters) is cut into pre-tokens by the vocabulary's own pattern, written for these: over these characters every regex engine and
 every Unicode version cuts alike, so the ids of a pre-token can be cached. Any other text, and any text with a special
 string, goes whole to the library.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -20,7 +21,10 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SAFE = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: The letters among SAFE, and the vocabularies' patterns written for SAFE texts alone.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 CACHED_PIECES = 600_000
 
 
@@ -71,11 +75,9 @@ def plain(text: str, path: str) -> bool:
 
 @functools.cache
 def _byte_encoder(path: str):
-    import regex
-
     tok = library(path)
-    cache = PieceCache(lambda p: np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
-    return tok, regex.compile(byte_pattern()).findall, cache
+    cache = PieceCache(lambda p: struct.pack(f"<{len(ids := tok.encode(p, add_special_tokens=False).ids)}I", *ids))
+    return tok, BYTE_PIECES.findall, cache
 
 
 def encode_bytes(text: str, path: str) -> bytes:
@@ -88,11 +90,9 @@ def encode_bytes(text: str, path: str) -> bytes:
 
 @functools.cache
 def _word_counter(path: str):
-    import regex
-
     tok = library(path)
     cache = PieceCache(lambda p: len(tok.encode(p, add_special_tokens=False).ids))
-    return regex.compile(WORD_PATTERN).findall, cache
+    return WORD_PIECES.findall, cache
 
 
 def count_words(text: str, path: str) -> int:
