@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 #: Copies of one group that go to one task at most; larger groups are salted.
 GROUP_SHARE = 5_000
 #: Digests of hits are broadcast up to this many rows (about 64 bytes each), else joined by shuffle.
@@ -41,9 +44,9 @@ def run_stream(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
     """
     spark = stream.sparkSession
     where = checkpoint or scratch_path(spark, "dedup")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         state = keyed_state(stream)
         schema = "digest binary, keep_id long, group_size long, locator struct<doc_id: long, n_bytes: long>, batch long"
@@ -55,10 +58,11 @@ def run_stream(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
         query.awaitTermination()
         batches = len(query.recentProgress)
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if not batches:
         return spark.createDataFrame([], schema).drop("batch")
     changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{where}/changes")
@@ -92,12 +96,17 @@ def _one_stays(rows: DataFrame, key: str) -> DataFrame:
     return largest.unionByName(rows.where(~last).withColumn("kept", F.col("group_size") == 1))
 
 
-def resolve(docs: DataFrame, state: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    state = materialize(state, "dedup-state")
-    hits = state.where("group_size > 1")
+def _hits(docs: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Digests met more than once, broadcast if few, and those that stand for different texts, if any."""
+    hits = materialize(state.where("group_size > 1"), "dedup-hits")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
     clashes = materialize(differing(docs, hits), "dedup-clashes")
+    return hits, clashes if clashes.count() else None
+
+
+def resolve(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    hits, clashes = _hits(docs, state)
     found = hits.select("digest", F.col("keep_id").alias("group_id"), F.col("group_size").alias("copies"))
     rows = digests(docs).join(found, "digest", "left").select(
         "doc_id",
@@ -105,8 +114,7 @@ def resolve(docs: DataFrame, state: DataFrame) -> DataFrame:
         F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"),
         "digest",
     )
-    n_clashes = clashes.count()
-    if n_clashes:  # equal digests, different texts: these few are grouped by the text itself
+    if clashes is not None:  # equal digests, different texts: these few are grouped by the text itself
         texts = _with_text(docs).join(clashes, "digest", "left_semi")
         groups = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         apart = texts.join(groups, ["digest", "text"]).select("doc_id", "keep_id", "group_size", "digest", "text")
@@ -116,6 +124,30 @@ def resolve(docs: DataFrame, state: DataFrame) -> DataFrame:
     return kept.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _log_stream(docs: DataFrame) -> DataFrame:
+    """The digests of a table, written to the shared folder, as a stream."""
+    log = scratch_path(docs.sparkSession, "dedup-digests")
+    materialize(digests(docs), "dedup-digests", keep=log)
+    return docs.sparkSession.readStream.schema("doc_id long, digest binary, n_bytes long").parquet(log)
+
+
+def keep_last(docs: DataFrame) -> DataFrame:
+    """The documents without exact copies, all columns as they are: of equal texts one row of the largest doc_id stays."""
+    hits, clashes = _hits(docs, run_stream(_log_stream(docs)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    rows = rows.join(hits.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__hit")), "__digest", "left")
+    alone, copies = rows.where("__hit is null"), rows.where("__hit")
+    key = "__digest"
+    if clashes is not None:  # grouped by the text itself
+        key = "__text"
+        copies = copies.withColumn(key, text)
+        largest = copies.groupBy(F.col(key)).agg(F.max(F.col("doc_id").cast("long")).alias("__largest"))
+        copies = copies.join(largest, key).withColumn("__keep", F.col("__largest"))
+    kept = copies.where(F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))).dropDuplicates([key])
+    return alone.select(*docs.columns).unionByName(kept.select(*docs.columns))
+
+
 def dedup_files(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
     """Stream the document files at a path through the state and resolve every document.
 
@@ -130,8 +162,4 @@ def dedup_files(spark: SparkSession, path: str, checkpoint: str | None = None) -
 
 def dedup(docs: DataFrame, checkpoint: str | None = None) -> DataFrame:
     """As dedup_files for any table: its digests are written to the shared folder and streamed from there."""
-    spark = docs.sparkSession
-    log = scratch_path(spark, "dedup-digests")
-    materialize(digests(docs), "dedup-digests", keep=log)
-    stream = spark.readStream.schema("doc_id long, digest binary, n_bytes long").parquet(log)
-    return resolve(docs, run_stream(stream, checkpoint))
+    return resolve(docs, run_stream(_log_stream(docs), checkpoint))

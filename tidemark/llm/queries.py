@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, packing, pii, quality, simhash, sstable, token_counts, url_filter
+from tidemark.llm import bpe, exact_dedup, packing, parity_join, pii, quality, simhash, sstable, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join_documents(_documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op7_quality, op8_packing, op9_token_counts, op10_sorted_tables)}
+    return {f.__name__: f for f in (op1_parity_join, op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op7_quality, op8_packing, op9_token_counts, op10_sorted_tables)}
 
 
 #: Digest groups of the documents; null counts as empty.
