@@ -108,7 +108,8 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
     ranges = min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("k"), text.alias("text"))
+    least = F.lit(-(1 << 63))
+    base = docs.select(F.coalesce(doc_id, least).alias("k"), text.alias("text"))  # both joins read this one exchange
     ids = materialize(base.groupBy("k").agg(F.max(F.char_length("text")).cast("long").alias("n")), "simhash-ids")
     links = materialize(followers(ids, ranges), "simhash-next")
     takes = links.select(F.col("next_k").alias("k"), F.col("k").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("take"))
@@ -116,24 +117,25 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
     heads = heads.groupBy("k").agg(F.min("head").alias("head"))
     n = F.char_length("text")
     edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 4), substring(head, 1, cast(char_length(text) div 4 as int)))")
-    rows = base.join(heads, "k").select("doc_id", "k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
+    rows = base.join(heads, "k").select("k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"))))
-    both = rows.select("doc_id", "k", "n_chars", "row", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), sides.alias("s")).select("doc_id", "k", "n_chars", "row", "sha", "s.*")
-    fps = fingerprints(both, ["doc_id", "k", "n_chars", "row", "sha", "side"])
+    both = rows.select("k", "n_chars", "row", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), sides.alias("s")).select("k", "n_chars", "row", "sha", "s.*")
+    fps = fingerprints(both, ["k", "n_chars", "row", "sha", "side"])
     pick = lambda side: F.max(F.when(F.col("side") == side, F.col("fp")))
-    own = materialize(fps.groupBy("doc_id", "k", "n_chars", "row", "sha").agg(pick(0).alias("fp"), pick(1).alias("edited_fp")), "simhash-own")
+    own = materialize(fps.groupBy("k", "n_chars", "row", "sha").agg(pick(0).alias("fp"), pick(1).alias("edited_fp")), "simhash-own")
     after = links.join(own.groupBy(F.col("k").alias("next_k")).agg(F.min("fp").alias("next_fp")), "next_k").select("k", "next_fp")
-    searched = own.where(F.col("doc_id") % every == 0)
+    doc_id = F.when(F.col("k") != least, F.col("k"))
+    searched = own.where(doc_id % every == 0)
     counts = near(searched, own).groupBy("fp").agg(F.count(F.lit(1)).alias("found"))
     out = own.join(after, "k").join(counts, "fp", "left")
     as_hex = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return out.select(
-        "doc_id",
+        doc_id.alias("doc_id"),
         "n_chars",
         F.col("sha").alias("edited_sha256"),
         as_hex("fp").alias("fingerprint"),
         as_hex("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(F.col("doc_id") % every == 0, F.coalesce("found", F.lit(0).cast("long"))).alias("n_near"),
+        F.when(doc_id % every == 0, F.coalesce("found", F.lit(0).cast("long"))).alias("n_near"),
     )
