@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, scratch_path
 
-#: State in RocksDB.
+#: State in RocksDB; a store is closed when its task ends, so that open stores take no disk beside their data.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Copies of one group that go to one task at most; larger groups are salted.
 GROUP_SHARE = 5_000
