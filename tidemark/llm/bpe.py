@@ -1,10 +1,10 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 Merging one pre-token keeps its symbols in a doubly linked list. Each rank that some adjacent pair has owns a bucket of
-list positions; a bitmap of three levels with 64-bit words marks the ranks that own one. Find-first-set from the top
-level down picks the lowest rank. Its bucket is taken in text order, and an entry is skipped as stale if its position
-has been merged away or its pair has another rank by now. A merge costs a constant number of word operations, so a
-pre-token of n bytes takes O(n) steps after its set-up, whatever its length.
+list positions; a bitmap of two levels marks the ranks that own one: words of 256 ranks, and above them a word with one
+bit for each. Find-first-set from the top level down picks the lowest rank. Its bucket is taken in text order, and an
+entry is skipped as stale if its position has been merged away or its pair has another rank by now. A merge costs a
+constant number of word operations, so a pre-token of n bytes takes O(n) steps after its set-up, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,49 +23,11 @@ from tidemark.llm import vocab
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-class RankQueue:
-    """Buckets of positions by rank, with the lowest rank found by three levels of 64-bit bitmaps."""
-
-    __slots__ = ("buckets", "top", "mid", "low")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.top, self.mid, self.low = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        bits = self.low.get(word, 0)
-        self.low[word] = bits | 1 << (rank & 63)
-        if not bits:
-            above = word >> 6
-            bits = self.mid.get(above, 0)
-            self.mid[above] = bits | 1 << (word & 63)
-            if not bits:
-                self.top |= 1 << above
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank with its bucket, which leaves the queue; None if the queue is empty."""
-        top = self.top
-        if not top:
-            return None
-        above = (top & -top).bit_length() - 1
-        mid = self.mid[above]
-        word = above << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = word << 6 | (low & -low).bit_length() - 1
-        low &= low - 1
-        self.low[word] = low
-        if not low:
-            mid &= mid - 1
-            self.mid[above] = mid
-            if not mid:
-                self.top = top & top - 1
-        return rank, self.buckets.pop(rank)
+#: Pre-tokens whose ids a worker keeps (about 200 bytes each).
+CACHED = 1_000_000
+#: Bits of a bitmap word as a power of two.
+WORD = 8
+MASK = (1 << WORD) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -77,15 +39,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     pair_rank: list[int] = [-1] * n
-    queue = RankQueue()
-    get, push = ranks.get, queue.push
+    buckets: dict[int, list[int]] = {}  # rank -> positions of the pairs that had it when they were put there
+    top, low = 0, {}  # which words have bits; the words
+    get = ranks.get
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
             pair_rank[i] = rank
-            push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, bucket = found
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> WORD
+                low[word] = low.get(word, 0) | 1 << (rank & MASK)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << WORD | (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        low[word] = bits
+        if not bits:
+            top &= top - 1
+        bucket = buckets.pop(rank)
         if len(bucket) > 1:
             bucket.sort()
         for i in bucket:
@@ -95,23 +71,26 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             k = after[j]
             merged = parts[i] = parts[i] + parts[j]
             parts[j] = None
-            pair_rank[j] = -1
+            pair_rank[j] = pair_rank[i] = -1
             after[i] = k
-            pair_rank[i] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                new = get(merged + parts[k])
-                if new is not None:
-                    pair_rank[i] = new
-                    push(new, i)
-            h = before[i]
-            if h >= 0:
-                new = get(parts[h] + merged)
+            for at, pair in ((i, merged + parts[k] if k < n else b""), (h, parts[h] + merged if h >= 0 else b"")):
+                if not pair:
+                    continue
+                new = get(pair)
                 if new is None:
-                    pair_rank[h] = -1
-                elif new != pair_rank[h]:
-                    pair_rank[h] = new
-                    push(new, h)
+                    pair_rank[at] = -1
+                elif new != pair_rank[at]:
+                    pair_rank[at] = new
+                    if new in buckets:
+                        buckets[new].append(at)
+                    else:
+                        buckets[new] = [at]
+                        word = new >> WORD
+                        low[word] = low.get(word, 0) | 1 << (new & MASK)
+                        top |= 1 << word
     return [ranks[p] for p in parts if p is not None]
 
 
@@ -127,12 +106,14 @@ class ByteBpe:
 
         self.ranks = ranks
         self.cut = regex.compile(pattern).findall
-        self.cache = vocab.PieceCache(lambda p: np.array(merge(p.encode(), ranks), "<u4").tobytes())
+        self.safe = pattern == vocab.byte_pattern()
+        self.cache = vocab.PieceCache(lambda p: np.array(merge(p.encode(), ranks), "<u4").tobytes(), CACHED)
         self.bytes_of = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.cache.__getitem__, self.cut(text)))
+        cut = vocab.BYTE_PIECES.findall if self.safe and vocab.SAFE.fullmatch(text) else self.cut
+        return b"".join(map(self.cache.__getitem__, cut(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

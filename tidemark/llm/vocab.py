@@ -41,16 +41,16 @@ def byte_pattern() -> str:
 
 
 class PieceCache(dict):
-    """piece -> value by `make`; starts anew beyond CACHED_PIECES, so that memory is bounded."""
+    """piece -> value by `make`; starts anew beyond `most` pieces, so that memory is bounded."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], most: int = CACHED_PIECES):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, piece):
         value = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = value
         return value
