@@ -395,3 +395,25 @@ def test_lookup():
 
 def test_no_tables_of_nothing(nothing):
     assert sstable.write_and_read(nothing).count() == 0
+
+
+def test_pairs_across_components(spark):
+    """Blocks of many sizes, also some that are cut into parts, against all pairs."""
+    rule, rng = parity_join.Rule(), np.random.default_rng(6)
+    rows = []
+    for key, size in enumerate([3, 2, 9, 30, 61]):
+        base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+        for m in range(size):
+            items = np.unique(np.concatenate([base[int(rng.integers(0, 10)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 8)), dtype=np.uint64)]))
+            rows.append((key, size, key * 1000 + m, key * 1000 + int(rng.integers(0, 4)), len(items), parity_join.sketch(items).tobytes()))
+    expected = set()
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            x, y = (np.frombuffer(r[5], np.uint64) for r in (a, b))
+            width = min(len(x), len(y))
+            apart = np.bitwise_count(parity_join.fold(x, width) ^ parity_join.fold(y, width)).sum()
+            if a[0] == b[0] and a[3] != b[3] and apart <= rule.most_apart(a[4] + b[4]):
+                expected.add((b[2], a[2]))
+    frame = spark.createDataFrame(rows, "key long, k long, cls long, comp long, n long, sketch binary")
+    for parts in (8, 1024):
+        assert {tuple(r) for r in parity_join.across(frame, rule, parts).collect()} == expected and expected

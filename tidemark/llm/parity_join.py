@@ -49,6 +49,7 @@ BROADCAST_ROWS = 1_000_000
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 INDEX = pa.schema([("route", pa.int64()), ("cls", pa.int64()), ("hot", pa.struct([("key", pa.int64()), ("leader", pa.int64())]))])
 MULTI = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("leader", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 class Rule(NamedTuple):
@@ -291,29 +292,48 @@ def across(members: DataFrame, rule: Rule = Rule(), parts: int = PART) -> DataFr
     cells = F.array_distinct(F.concat(low, high))
     rows = members.withColumn("count", count).withColumn("part", part).select("key", "cls", "comp", "n", "sketch", "part", F.explode(cells).alias("cell"))
 
-    def meet(key, frame):
-        n, comp, cls = frame["n"].to_numpy(), frame["comp"].to_numpy(), frame["cls"].to_numpy()
-        i, j = key[1], key[2]
-        own = frame["part"].to_numpy()
-        raw = [np.frombuffer(s, np.uint64) for s in frame["sketch"]]
+    def meet(i, j, cls, comp, n, raw, own):
         width = min(map(len, raw))
         bits = np.stack([fold(s, width) for s in raw])
-        limit = np.array([rule.most_apart(t) for t in range(int(2 * n.max()) + 1)])
-        left, right = [], []
+        near = []
         for r in np.flatnonzero(own == i):
             with_whom = (own == j) & (comp != comp[r])
             if i == j:
                 with_whom[: r + 1] = False
             others = np.flatnonzero(with_whom)
-            near = np.bitwise_count(bits[others] ^ bits[r]).sum(1) <= limit[n[others] + n[r]]
-            left += [cls[r]] * int(near.sum())
-            right += cls[others[near]].tolist()
-        import pandas as pd
+            total = n[others] + n[r]
+            limit = total - 2 * -(-rule.num * total // (rule.num + rule.den))  # Rule.most_apart
+            others = others[np.bitwise_count(bits[others] ^ bits[r]).sum(1) <= limit]
+            near.append(np.stack([np.minimum(cls[r], cls[others]), np.maximum(cls[r], cls[others])]))
+        return near
 
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}, dtype=np.int64)
+    def run(batches):
+        """Rows come sorted by cell; the last cell of a batch may go on in the next one."""
+        held = None
+
+        def cells_of(batch, whole):
+            at = [batch.column(k).to_numpy() for k in range(7)]
+            new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
+            first = np.append(np.flatnonzero(new), len(new))
+            sketches, near = batch.column(7), [np.zeros((2, 0), np.int64)]
+            for low, high in zip(first[: None if whole else -1], first[1 : None if whole else -1], strict=False):
+                raw = [np.frombuffer(x, np.uint64) for x in sketches.slice(low, high - low).to_pylist()]
+                near += meet(at[1][low], at[2][low], *(c[low:high] for c in at[3:6]), raw, at[6][low:high])
+            a, b = np.concatenate(near, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIRS), batch.slice(first[-2])
 
-    grouped = rows.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "n", "sketch", "part").groupBy("key", "i", "j")
-    return grouped.applyInPandas(meet, "a long, b long").distinct()
+        for batch in batches:
+            if batch.num_rows:
+                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                out, held = cells_of(batch, False)
+                yield out
+        if held is not None:
+            yield cells_of(held, True)[0]
+
+    shuffles = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["key", F.col("cell.i").cast("long").alias("i"), F.col("cell.j").cast("long").alias("j"), "cls", "comp", "n", F.col("part").cast("long"), "sketch"]
+    dealt = rows.select(*columns).repartition(shuffles, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def open_members(multi: DataFrame, comps: DataFrame) -> DataFrame:
