@@ -60,6 +60,47 @@ def test_no_links_in_an_empty_table(nothing):
     assert parity_join.join_documents(nothing).count() == 0 and parity_join.keep_one(nothing).count() == 0
 
 
+def test_join_counts_every_link(docs):
+    rows = texts_of(docs)
+    sets = [plain.shingles(t, 4) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    n_links = [sum(linked(s, o) for o in sets) - bool(s) for s in sets]
+    best, sizes = plain.components(rows, 4, 85, 100)
+    expected = [(d, n, rows[b][0], k) for (d, _), b, n, k in zip(rows, best, sizes, n_links, strict=True)]
+    assert ordered(map(tuple, parity_join.count_links(docs).collect())) == ordered(expected) and any(n_links)
+    classes = set(sets)
+    pairs = {frozenset((a, b)) for a in classes for b in classes if a != b and linked(a, b)}
+    by_id = {}
+    for (d, _), s in zip(rows, sets, strict=True):
+        by_id.setdefault(d, set()).add(s)
+    found = parity_join.linked_pairs(docs).collect()
+    assert len(found) == len({(r.a, r.b) for r in found}) == len(pairs)
+    assert all(any(frozenset((a, b)) in pairs for a in by_id[r.doc_a] for b in by_id[r.doc_b]) for r in found)
+
+
+def test_links_inside_a_component_meet_once(spark):
+    rule, rng, rows = parity_join.Rule(), np.random.default_rng(7), []
+    for comp, size in enumerate([2, 9, 70]):
+        base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+        for m in range(size):
+            items = np.unique(np.concatenate([base[int(rng.integers(0, 8)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 6)), dtype=np.uint64)]))
+            rows.append((comp, size, comp * 1000 + m, int(rng.integers(1, 5)), items.tobytes()))
+    expected, degrees = set(), {}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            x, y = (np.frombuffer(r[4], np.uint64) for r in (a, b))
+            if a[0] == b[0] and len(np.intersect1d(x, y)) >= rule.least_common(len(x) + len(y)):
+                expected.add((b[2], a[2]))
+                degrees[a[2]] = degrees.get(a[2], 0) + b[3]
+                degrees[b[2]] = degrees.get(b[2], 0) + a[3]
+    frame = spark.createDataFrame(rows, "comp long, k long, cls long, copies long, items binary")
+    assert 70 < len(expected) < 2400
+    for least, most in ((4, 8), (64, 1024)):
+        pairs = [tuple(r) for r in parity_join.inside(frame, rule, True, least, most).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+        assert {r.cls: r.s for r in parity_join.inside(frame, rule, False, least, most).groupBy("cls").agg(F.sum("links").alias("s")).collect()} == degrees
+
+
 # 2: byte-level BPE
 
 

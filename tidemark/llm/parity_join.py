@@ -17,6 +17,10 @@ found over the links. Whatever this leaves open is closed in further rounds: in
 components meet, the pairs across components whose sketches are near enough are verified as well, until none is left.
 So no link between components is lost, though copies are never expanded into all pairs.
 
+All links. Linked classes are in one component, so that every two classes of a component meet in exactly one cell,
+where sketches and then the full sets are compared. A cell gives either the links themselves (linked_pairs) or how
+many rows each of its classes links to (count_links), which is added up without a row for each link.
+
 Skew. Exact copies are one class, indexed once per task. A block that a batch of rows meets HOT times has a leader in
 the batch; only that goes on under the block's key, and the other rows, paired already, are dealt out at random.
 """
@@ -50,6 +54,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())
 INDEX = pa.schema([("route", pa.int64()), ("cls", pa.int64()), ("hot", pa.struct([("key", pa.int64()), ("leader", pa.int64())]))])
 MULTI = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("leader", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+DEGREES = pa.schema([("cls", pa.int64()), ("links", pa.int64())])
 
 
 class Rule(NamedTuple):
@@ -345,8 +350,86 @@ def open_members(multi: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(blocks.select("key", "k"), "key").select("key", "k", "cls", "comp")
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """node, comp of the classes that link to another class."""
+#: Parts that a component is cut into at least, once it has that many times LEAST_PART classes.
+PARTS, LEAST_PART = 16, 64
+
+
+def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least: int = LEAST_PART, most: int = PART) -> DataFrame:
+    """All links inside components: (a, b) of each, or cls and the number of rows it links to, summed over a cell.
+
+    members(comp, k, cls, copies, items). A component of k classes is cut into parts of `least` to `most` classes, and
+    each two parts meet in one cell, so that two classes are compared once and a cell holds about 2 * most rows.
+    """
+    size = F.least(F.greatest(F.ceil(F.col("k") / PARTS), F.lit(least)), F.lit(most))
+    count = F.ceil(F.col("k") / size).cast("int")
+    low = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    high = F.transform(F.sequence(F.col("part"), F.col("count") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j")))
+    cells = F.explode(F.array_distinct(F.concat(low, high)))
+    rows = members.withColumn("count", count).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("count")).cast("int")).withColumn("cell", cells)
+
+    def meet(i, j, cls, copies, own, items):
+        """Each class's place and those of the classes it links to."""
+        n = np.array([len(x) for x in items])
+        raw = [sketch(x) for x in items]
+        width = min(map(len, raw))
+        bits = np.stack([fold(x, width) for x in raw])
+        universe, codes = np.unique(np.concatenate(items), return_inverse=True)
+        codes, seen = np.split(codes, np.cumsum(n)[:-1]), np.zeros(len(universe), bool)
+        for r in np.flatnonzero(own == i):
+            with_whom = own == j
+            if i == j:
+                with_whom[: r + 1] = False
+            others = np.flatnonzero(with_whom)
+            total = n[others] + n[r]
+            common = -(-rule.num * total // (rule.num + rule.den))  # Rule.least_common
+            near = (np.minimum(n[others], n[r]) >= common) & (np.bitwise_count(bits[others] ^ bits[r]).sum(1) <= total - 2 * common)
+            others, common = others[near], common[near]
+            if len(others):
+                seen[codes[r]] = True
+                starts = np.cumsum(n[others]) - n[others]
+                shared = np.add.reduceat(seen[np.concatenate([codes[o] for o in others])], starts, dtype=np.int64)
+                seen[codes[r]] = False
+                yield r, others[shared >= common]
+
+    def run(batches):
+        """Rows come sorted by cell; the last cell of a batch may go on in the next one."""
+        held = None
+
+        def cells_of(batch, whole):
+            at = [batch.column(k).to_numpy() for k in range(6)]
+            new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
+            first = np.append(np.flatnonzero(new), len(new))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for low, high in zip(first[: None if whole else -1], first[1 : None if whole else -1], strict=False):
+                cls, copies, own = (c[low:high] for c in at[3:6])
+                items = [np.frombuffer(x, np.uint64) for x in batch.column(6).slice(low, high - low).to_pylist()]
+                links = np.zeros(high - low, np.int64)
+                for r, others in meet(at[1][low], at[2][low], cls, copies, own, items):
+                    if pairs:
+                        found.append((np.minimum(cls[r], cls[others]), np.maximum(cls[r], cls[others])))
+                    links[r] += copies[others].sum()
+                    links[others] += copies[r]
+                if not pairs:
+                    found.append((cls[links > 0], links[links > 0]))
+            out = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays(out, schema=PAIRS if pairs else DEGREES), batch.slice(first[-2])
+
+        for batch in batches:
+            if batch.num_rows:
+                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                out, held = cells_of(batch, False)
+                yield out
+        if held is not None:
+            yield cells_of(held, True)[0]
+
+    shuffles = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["comp", F.col("cell.i").cast("long").alias("i"), F.col("cell.j").cast("long").alias("j"), "cls", "copies", F.col("part").cast("long"), "items"]
+    dealt = rows.select(*columns).repartition(shuffles, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long" if pairs else "cls long, links long")
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+    """node, comp of the classes that link to another class; the class table."""
     multi = materialize(shared_blocks(index(docs, rule)), "parity-blocks")
     wanted = multi.select("cls").distinct()
     chosen = sets.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("chosen_id"))
@@ -358,19 +441,23 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> Dat
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(verify(across(members, rule).join(tried, ["a", "b"], "left_anti"), table, rule), "parity-more")
     if more.isEmpty():
-        return comps
-    return materialize(components(links.unionByName(more)), "parity-components")
+        return comps, table
+    return materialize(components(links.unionByName(more)), "parity-components"), table
 
 
-def grouped(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """The set table and, per class of more than one document or with links, cls, comp and the least doc_id of comp."""
+def grouped(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set table; per class of more than one document or with links, cls, comp, copies (its rows), low (its least
+    doc_id) and the least doc_id of comp; the classes with links as members of their components, see inside."""
     sets = materialize(set_table(docs, rule), "parity-sets")
-    comps = linked_classes(docs, sets, rule)
+    comps, table = linked_classes(docs, sets, rule)
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").where("comp is not null or copies > 1")
     classes = classes.withColumn("comp", F.coalesce("comp", "cls"))
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    return sets, materialize(classes.select("cls", "comp").join(lowest, "comp"), "parity-groups")
+    groups = materialize(classes.select("cls", "comp", "copies", "low").join(lowest, "comp"), "parity-groups")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
+    members = groups.select("cls", "comp", "copies").join(sizes, "comp").join(table.select("cls", "items"), "cls")
+    return sets, groups, members
 
 
 def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -380,10 +467,37 @@ def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     doc_id are rows of their own; a null doc_id takes part, and gives the component's id only where it has no other.
     Ties fall to the least doc_id. An empty table gives no rows; other columns are ignored.
     """
-    sets, groups = grouped(docs, rule)
+    sets, groups, _ = grouped(docs, rule)
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     found = sets.join(groups.select("cls", "component_id", F.lit(True).alias("known")), "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select(*_joined())
+
+
+def _joined():
+    return "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+
+
+def count_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """As join_documents, with n_links: how many other rows a row links to.
+
+    These are the other rows of its own class and all rows of each class that its class links to.
+    """
+    sets, groups, members = grouped(docs, rule)
+    links = inside(members, rule).groupBy("cls").agg(F.sum("links").alias("links"))
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))
+    counted = materialize(groups.join(links, "cls", "left").select("cls", "component_id", n_links.alias("n_links"), F.lit(True).alias("known")), "parity-counted")
+    counted = F.broadcast(counted) if groups.count() <= BROADCAST_ROWS else counted
+    return sets.join(counted, "cls", "left").select(*_joined(), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def linked_pairs(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """a, b, doc_a, doc_b: every two classes that link, once (a < b), and the least doc_id of each.
+
+    The rows of one class, whose sets are equal, link among each other as well and have no row here.
+    """
+    _, groups, members = grouped(docs, rule)
+    side = lambda c: groups.select(F.col("cls").alias(c), F.col("low").alias(f"doc_{c}"))
+    return inside(members, rule, pairs=True).join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -391,7 +505,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Rows with an empty set all stay. Of rows that repeat the doc_id which stays, one stays.
     """
-    sets, groups = grouped(docs, rule)
+    sets, groups, _ = grouped(docs, rule)
     best = sets.join(groups.select("cls", "comp"), "cls").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "cls")).alias("best"))
     few = groups.count() <= BROADCAST_ROWS
     taken = groups.select("cls", "comp").join(best, "comp").select(F.col("cls").alias("__cls"), F.col("best.cls").alias("__best_cls"), F.col("best.doc_id").alias("__best_id"))

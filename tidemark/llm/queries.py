@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.join_documents(_documents(spark, sf_dir))
+    return parity_join.count_links(_documents(spark, sf_dir))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
