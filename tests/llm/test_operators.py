@@ -293,6 +293,22 @@ def test_search_finds_all_within_the_radius(spark):
     assert found == {(a, b, apart(a, b)) for a in set(queries) for b in set(signed) if 0 < apart(a, b) <= 3}
 
 
+def test_near_documents_are_counted_and_listed(docs, spark):
+    rows = [(d, t or "") for d, t in texts_of(docs)]
+    copies = [(20 * (i // 4), rows[i % 3][1]) for i in range(9)]  # a searched row with copies, some of its own doc_id
+    rows += copies
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    fps = [plain.simhash(t) for _, t in rows]
+    apart = lambda a, b: (a ^ b).bit_count()
+    expected = [(d, f"{fp:016x}", sum(apart(fp, o) <= 3 for o in fps) - 1 if d is not None and d % 20 == 0 else None) for (d, _), fp in zip(rows, fps, strict=True)]
+    out = simhash.fingerprint_documents(frame).collect()
+    assert ordered((r.doc_id, r.fingerprint, r.n_near) for r in out) == ordered(expected)
+    searched = {fp for (d, _), fp in zip(rows, fps, strict=True) if d is not None and d % 20 == 0}
+    listed = [(r.fingerprint, [tuple(x) for x in r.near]) for r in out if r.near is not None]
+    assert len(listed) == len(searched)
+    assert dict(listed) == {f"{fp:016x}": sorted((apart(fp, o), f"{o:016x}") for o in set(fps) if 0 < apart(fp, o) <= 3) for fp in searched}
+
+
 def test_no_fingerprints_of_nothing(nothing):
     assert simhash.fingerprint_documents(nothing).count() == 0
 

@@ -19,6 +19,8 @@ from tidemark.session import materialize
 WORDS_A_TERM = 5
 #: Hamming radius of the search, and how many of how many blocks a table's key holds: C(5, 2) = 10 tables of 26 bits.
 RADIUS, BLOCKS, KEY_BLOCKS = 3, 5, 2
+#: Fingerprints whose counts are broadcast at most (16 bytes each), beyond that they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 SPACE = "\\x20\\x09-\\x0D"
 
 
@@ -96,13 +98,18 @@ def followers(ids: DataFrame, ranges: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near, near for every row.
 
     The edited text gives up its last quarter for the beginning of the next document's text. A null text counts as
     empty, and a null doc_id as the smallest identifier. Rows that share a doc_id have the same next document, of the
     next other doc_id; if that has several rows, the smallest beginning and the smallest fingerprint count. A single
-    document follows itself. n_near counts the other fingerprints within RADIUS, for rows whose doc_id is divisible by
-    `every`, and is null for others. An empty table gives no rows; other columns are ignored.
+    document follows itself. An empty table gives no rows; other columns are ignored.
+
+    Rows whose doc_id is divisible by `every` are searched for. n_near counts the other rows whose fingerprint is within
+    RADIUS of a searched row's, those of the same fingerprint included, and is null for others. near lists the other
+    fingerprints found, with their distances, nearest first; it stands once for each searched fingerprint, at its row of
+    least doc_id, and is null elsewhere. Which rows are meant is told by the fingerprint column, so that copies are
+    never expanded into all pairs.
     """
     spark = docs.sparkSession
     ranges = min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -126,9 +133,18 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
     after = links.join(own.groupBy(F.col("k").alias("next_k")).agg(F.min("fp").alias("next_fp")), "next_k").select("k", "next_fp")
     doc_id = F.when(F.col("k") != least, F.col("k"))
     searched = own.where(doc_id % every == 0)
-    counts = near(searched, own).groupBy("fp").agg(F.count(F.lit(1)).alias("found"))
-    out = own.join(after, "k").join(counts, "fp", "left")
     as_hex = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    pairs = materialize(near(searched, own), "simhash-near")
+    copies = own.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    found = pairs.join(copies.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("copies").alias("found"))
+    firsts = searched.groupBy("fp").agg(F.min(F.struct("k", "row")).alias("first"))
+    n_near = F.col("copies") - 1 + F.coalesce("found", F.lit(0).cast("long"))
+    counts = firsts.join(copies, "fp").join(found, "fp", "left").select("fp", n_near.alias("n_near"))
+    counts = materialize(counts.where("n_near > 0"), "simhash-counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    lists = pairs.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("distance", as_hex("other").alias("fingerprint")))).alias("near"))
+    lists = firsts.join(lists, "fp", "left").select("first.*", F.coalesce("near", F.array().cast("array<struct<distance: int, fingerprint: string>>")).alias("near"))
+    out = own.join(after, "k").join(lists, ["k", "row"], "left").join(counts, "fp", "left")
     return out.select(
         doc_id.alias("doc_id"),
         "n_chars",
@@ -137,5 +153,6 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
         as_hex("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(doc_id % every == 0, F.coalesce("found", F.lit(0).cast("long"))).alias("n_near"),
+        F.when(doc_id % every == 0, F.coalesce("n_near", F.lit(0).cast("long"))).alias("n_near"),
+        "near",
     )
