@@ -1,5 +1,8 @@
 """Stated cases of single operators."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +187,32 @@ def test_split_points(spark):
     assert points(301) == [0, 301] and points(620) == [0, 300, 600, 620] and points(600) == [0, 300, 600] and points(5) == [0, 5]
 
 
+def test_split_points_move_to_quiet_places(spark):
+    rng, rate, window = random.Random(4), 10, 15
+    lengths = {"a": 6300, "b": 3000, "c": 3120, "d": 50, "e": 3019, "f": 6009}
+    media = {m: [rng.randint(-9, 9) for _ in range(n)] for m, n in lengths.items()}
+    for i in range(3040, 3070):
+        media["c"][i] = 0  # quiet after the grid point: the tail is 12 s from the grid, under 10 s from there
+
+    def plain(v):
+        end, n = len(v) / rate, max(1, math.ceil(len(v) / rate / 300))
+        points = [300.0 * k for k in range(n)]
+        for k in range(1, n):
+            heard, best = v[(300 * k - 8) * rate : (300 * k + 8) * rate], (math.inf, 0)
+            for i in range(window + 1, len(heard) + 1):
+                energy = sum(x * x for x in heard[i - window : i])
+                best = (energy, i - window // 2) if energy <= best[0] else best
+            points[k] = 300 * k - 8 + best[1] / rate
+        return [*(points[:-1] if n > 1 and end - points[-1] < 10 else points), end]
+
+    frame = spark.createDataFrame([(m, len(v) / rate) for m, v in media.items()], "media string, d double")
+    samples = spark.createDataFrame([(m, i + 1, x) for m, v in media.items() for i, x in enumerate(v)], "media string, i long, v long")
+    rows = windows.quiet_split_points(frame, samples, ["media"], "d", "i", "v", 300.0, rate, window).orderBy("media", "k").collect()
+    for m, v in media.items():
+        assert [r.k for r in rows if r.media == m] == list(range(len(plain(v)))) and [r.point for r in rows if r.media == m] == pytest.approx(plain(v))
+    assert len(plain(media["c"])) == 2
+
+
 def test_quietest_is_latest(spark):
     flat = spark.createDataFrame([("m", i, 5) for i in range(1, 41)], "media string, i long, v long")
     assert windows.quietest_point(flat, ["media"], "i", "v", 8).first().point == 40 - 4

@@ -112,7 +112,8 @@ def quietest_point(samples: DataFrame, by: Names, at: str, value: str, window: i
 def split_points(media: DataFrame, duration: str, length: float = 300.0) -> DataFrame:
     """One row per point of a grid of `length` seconds over a medium's duration: k, point, with both ends.
 
-    A last stretch of under 10 s is joined to the one before it.
+    A last stretch of under 10 s is joined to the one before it. Points are those of the bare grid; quiet_split_points
+    moves them to quiet places.
     """
     count = F.ceil(F.col(duration) / length).cast("int")
     inner = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: k * length)
@@ -121,6 +122,31 @@ def split_points(media: DataFrame, duration: str, length: float = 300.0) -> Data
     return media.select("*", F.posexplode(F.concat(kept, F.array(F.col(duration).cast("double")))).alias("k", "point"))
 
 
+def quiet_split_points(media: DataFrame, samples: DataFrame, by: Names, duration: str, at: str, value: str, length: float = 300.0, rate: int = 3000, window: int = 4500, tolerance: float = 8.0) -> DataFrame:
+    """As split_points, each inner point moved to the quietest place within `tolerance` seconds of the grid: by, k, point.
+
+    samples(by, at, value) count from 1 without gaps, `rate` a second. The last stretch is measured from the moved
+    point. Where no more than `window` samples lie around a point, it is the beginning of what was searched.
+    """
+    if not length > 2 * tolerance:
+        raise ValueError("length must be over 2 * tolerance")
+    seconds = (F.col(at) - 1) / rate
+    k = F.floor(seconds / length + 0.5).cast("int")  # a sample is near one grid point at most
+    start = F.col("k") * length - tolerance
+    count = F.greatest(F.ceil(F.col(duration) / length).cast("int"), F.lit(1))
+    ends = media.select(*by, F.col(duration).cast("double").alias("__end"), count.alias("__n"))
+    around = samples.select(*by, at, value, k.alias("k"), seconds.alias("__s")).where((F.col("__s") >= start) & (F.col("__s") < start + 2 * tolerance))
+    around = around.join(ends, by).where("k > 0 and k < __n").withColumn("__at", F.col(at) - F.ceil(start * rate))
+    quiet = quietest_point(around, [*by, "k"], "__at", value, window).withColumnRenamed("point", "__moved")
+    grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).join(quiet, [*by, "k"], "left")
+    point = F.when(F.col("k") == 0, 0.0).otherwise(start + F.coalesce(F.col("__moved") / rate, F.lit(0.0)))
+    own, end = F.struct("k", F.col("__point").alias("point")), F.col("__end").alias("point")
+    short = (F.col("k") > 0) & (F.col("__end") - F.col("__point") < 10)
+    last = F.when(short, F.array(F.struct("k", end))).otherwise(F.array(own, F.struct((F.col("k") + 1).alias("k"), end)))
+    rows = grid.withColumn("__point", point).withColumn("__rows", F.when(F.col("k") == F.col("__n") - 1, last).otherwise(F.array(own)))
+    return rows.select(*by, F.explode("__rows").alias("__r")).select(*by, "__r.*")
+
+
 def silences(chunks: DataFrame, by: Names, order: Names, start: str, end: str) -> DataFrame:
     """Chunks with silence rows before them: piece (silence or chunk) and seconds; the timeline begins at 0."""
     before = F.coalesce(F.lag(end).over(_w(by, order)), F.lit(0.0))

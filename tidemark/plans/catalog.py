@@ -188,6 +188,26 @@ def split_plan(spark, sf_dir):
     return windows.split_points(media, "duration").select("user_id", "k", "point")
 
 
+@query(
+    """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, round(value)::BIGINT AS v FROM events),
+m AS (SELECT user_id, count(*) AS d, ceil(count(*) / 20.0)::INT AS n FROM s GROUP BY user_id),
+a AS (SELECT user_id, n, i, v, floor((i - 1) / 20.0 + 0.5)::INT AS k FROM s JOIN m USING (user_id)),
+l AS (SELECT user_id, k, v, i - (k * 20 - 8) AS i FROM a WHERE k > 0 AND k < n AND i - 1 >= k * 20 - 8 AND i - 1 < k * 20 + 8),
+e AS (SELECT *, sum(v * v) OVER (PARTITION BY user_id, k ORDER BY i ROWS 3 PRECEDING) AS energy FROM l),
+q AS (SELECT user_id, k, arg_min(i, {'e': energy, 'b': -i}) - 2 AS moved FROM e WHERE i > 4 GROUP BY user_id, k),
+g AS (SELECT user_id, d, n, unnest(generate_series(0, n - 1))::INT AS k FROM m),
+p AS (SELECT user_id, d, n, k, CASE WHEN k = 0 THEN 0 ELSE k * 20 - 8 + coalesce(moved, 0) END AS point FROM g LEFT JOIN q USING (user_id, k)),
+kept AS (SELECT * FROM p WHERE k = 0 OR k < n - 1 OR d - point >= 10)
+SELECT user_id, k, point::DOUBLE AS point FROM kept UNION ALL SELECT user_id, (max(k) + 1)::INT, any_value(d)::DOUBLE FROM kept GROUP BY user_id"""
+)
+def quiet_split_plan(spark, sf_dir):
+    """A user's events as one sample a second, cut about every 20 seconds."""
+    events = windows.renumber(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "i")
+    samples = events.select("user_id", "i", F.expr("cast(floor(value + 0.5) as bigint)").alias("v"))
+    media = samples.groupBy("user_id").agg(F.count(F.lit(1)).alias("d"))
+    return windows.quiet_split_points(media, samples, ["user_id"], "d", "i", "v", 20.0, 1, 4)
+
+
 @query(
     f"""WITH {CUES}, p AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id), 0) AS prev FROM cues)
 SELECT user_id, event_id, 'chunk' AS piece, (end_ms - start_ms)::DOUBLE AS seconds FROM p
