@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, packing, parity_join, pii, quality
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 
 #: SQL cannot express the classifier, the tagger and the packing; the tests hold each stage against a plain version.
 ORACLE_SQL = None
@@ -43,7 +43,9 @@ STAGES = [("quality", drop_bad), ("exact dedup", drop_copies), ("near dedup", dr
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(*written)
+        written = [docs]
     return docs
