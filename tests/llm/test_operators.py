@@ -454,23 +454,46 @@ def test_no_tables_of_nothing(nothing):
     assert sstable.write_and_read(nothing).count() == 0
 
 
-def test_pairs_across_components(spark):
-    """Blocks of many sizes, also some that are cut into parts, against all pairs."""
+def test_links_across_components(spark):
+    """Blocks of many sizes, also some that are cut into parts: as connected as by all pairs, in no more rows than members."""
     rule, rng = parity_join.Rule(), np.random.default_rng(6)
-    rows = []
-    for key, size in enumerate([3, 2, 9, 30, 61]):
+    members, sets, blocks = [], {}, {}
+    for key, size in enumerate([3, 4, 9, 30, 61]):
         base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
         for m in range(size):
-            items = np.unique(np.concatenate([base[int(rng.integers(0, 10)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 8)), dtype=np.uint64)]))
-            rows.append((key, size, key * 1000 + m, key * 1000 + int(rng.integers(0, 4)), len(items), parity_join.sketch(items).tobytes()))
-    expected = set()
-    for i, a in enumerate(rows):
-        for b in rows[:i]:
-            x, y = (np.frombuffer(r[5], np.uint64) for r in (a, b))
-            width = min(len(x), len(y))
-            apart = np.bitwise_count(parity_join.fold(x, width) ^ parity_join.fold(y, width)).sum()
-            if a[0] == b[0] and a[3] != b[3] and apart <= rule.most_apart(a[4] + b[4]):
-                expected.add((b[2], a[2]))
-    frame = spark.createDataFrame(rows, "key long, k long, cls long, comp long, n long, sketch binary")
+            cls = key * 1000 + m
+            sets[cls] = np.unique(np.concatenate([base[int(rng.integers(0, 10)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 8)), dtype=np.uint64)]))
+            blocks.setdefault(key, []).append((cls, key * 1000 + int(rng.integers(0, max(2, size // 2)))))
+    for key, rows in blocks.items():
+        comps = [c for _, c in rows]
+        top = max((comps.count(c), c) for c in comps)
+        members += [(key, len(rows), cls, comp, top) for cls, comp in rows]
+    linked = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= rule.least_common(len(sets[a]) + len(sets[b]))
+
+    def joined(edges):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in edges:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return {c: find(c) for _, _, _, c, _ in members}
+
+    comp_of = {cls: comp for _, _, cls, comp, _ in members}
+    every = [(a, b) for rows in blocks.values() for a, _ in rows for b, _ in rows if a < b and linked(a, b)]
+    expected = joined((comp_of[a], comp_of[b]) for a, b in every)
+    frame = spark.createDataFrame(members, "key long, k long, cls long, comp long, top struct<k: long, comp: long>")
+    table = spark.createDataFrame([(c, len(x), parity_join.sketch(x).tobytes(), x.tobytes()) for c, x in sets.items()], "cls long, n long, sketch binary, items binary")
     for parts in (8, 1024):
-        assert {tuple(r) for r in parity_join.across(frame, rule, parts).collect()} == expected and expected
+        cells = parity_join.in_cells(frame, parts)
+        assert cells.count() == cells.distinct().count()
+        found = parity_join.across(frame, table, rule, parts).collect()
+        pairs = [(r.a, r.b) for r in found if not r.left]
+        assert len(pairs) <= cells.count() and all(comp_of[a] != comp_of[b] for a, b in pairs)
+        links = [(comp_of[a], comp_of[b]) for a, b in pairs if linked(a, b)]
+        now = joined(links)
+        comps = spark.createDataFrame([(cls, now[comp]) for cls, comp in comp_of.items()], "node long, comp long")
+        rest = spark.createDataFrame([(r.key, r.i, r.j, r.a) for r in found if r.left], "key long, i long, j long, cls long")
+        more = parity_join.settle(rest.join(cells.drop("comp"), ["key", "i", "j", "cls"]), comps, table, rule).collect()
+        assert all(linked(r.a, r.b) for r in more)
+        assert joined([*links, *((comp_of[r.a], comp_of[r.b]) for r in more)]) == expected
+    assert len(set(expected.values())) < len(set(comp_of.values()))

@@ -8,14 +8,15 @@ than the sets have shingles in which they differ.
 Candidates. Sizes are cut into bands such that linked sizes lie in one band or in two neighbouring ones. For each pair
 of neighbouring bands the sketch is cut into more blocks than the largest difference allowed (D): linked sets agree on
 at least blocks - D of them. A block is so wide that it is kept as the XOR of the 64-bit hashes of its shingles. Each
-class is indexed under its blocks, and classes that share one are candidates. Empty blocks are indexed only for a
-class that has at least blocks - D of them: any other shares a block that is not empty with whatever it links to.
+class is indexed under its D + 1 strongest blocks, by number of shingles and then key, and classes that share one are
+candidates: of the blocks on which linked sets agree, the strongest has blocks - D - 1 weaker ones in either set.
 
-Links. Of the classes that share a block, the one of least hash leads; each is paired with its leaders alone. Pairs
-whose bit sketches differ too much are dropped, the rest is verified on the full sets, and connected components are
-found over the links. Whatever this leaves open is closed in further rounds: in a block where classes of different
-components meet, the pairs across components whose sketches are near enough are verified as well, until none is left.
-So no link between components is lost, though copies are never expanded into all pairs.
+Links. Of the classes that share a block, the one of least hash leads; each is paired with its leaders alone, the pairs
+are verified on the full sets, and connected components are found over the links. This leaves open blocks in which
+components meet. There, all members of different components are compared by size and sketch. A cell of such a block
+gives a forest of near pairs, which are verified, and names the members with near pairs beyond it. Where those are
+still of different components after that, they meet again with their full sets, and a task gives the links that join
+components alone. So no link between components is lost, and no step gives more rows than it has members.
 
 All links. Linked classes are in one component, so that every two classes of a component meet in exactly one cell,
 where sketches and then the full sets are compared. A cell gives either the links themselves (linked_pairs) or how
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shingles, vocab
 from tidemark.llm.components import components
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 
 #: Rows of one block in one batch from which on they get a leader of their own.
 HOT = 32
@@ -88,7 +89,7 @@ def blocks_of(rule: Rule, band: int) -> tuple[int, int]:
     low = int(starts[band + 1]) - 1
     high = min(int(starts[band + 2]) - 1, low * rule.den // rule.num)
     apart = max(0, *(rule.most_apart(t) for t in range(max(2, low + high - 40), low + high + 1)))
-    return (apart + 1 + max(2, math.ceil(apart / 20)), apart) if apart else (0, 0)
+    return (apart + 1 + max(2, math.ceil(apart / 8)), apart) if apart else (0, 0)
 
 
 def class_of(items: np.ndarray) -> int:
@@ -107,12 +108,13 @@ def block_keys(items: np.ndarray, rule: Rule) -> np.ndarray:
             continue
         block = ((items >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)  # ascends, as the items do
         first = np.flatnonzero(np.diff(block, prepend=np.uint64(count)))
-        values = np.bitwise_xor.reduceat(folded, first)
-        places = block[first]
-        if count - len(first) >= count - apart:
+        values, places, weights = np.bitwise_xor.reduceat(folded, first), block[first], np.diff(np.append(first, len(items)))
+        spare = count - apart - 1
+        if count - len(first) > spare:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), places)
-            values, places = np.concatenate([values, np.zeros(len(empty), np.uint64)]), np.concatenate([places, empty])
-        out.append(shingles.mix(values + shingles.mix(places + np.uint64((low + 1) << 32))))
+            values, places, weights = np.concatenate([values, np.zeros(len(empty), np.uint64)]), np.concatenate([places, empty]), np.append(weights, np.zeros(len(empty), np.int64))
+        keys = shingles.mix(values + shingles.mix(places + np.uint64((low + 1) << 32)))
+        out.append(keys[np.lexsort((keys, weights))[len(keys) - apart - 1 :]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -260,11 +262,26 @@ def class_table(docs: DataFrame, chosen: DataFrame, rule: Rule = Rule()) -> Data
     return found.unionByName(nameless).dropDuplicates(["cls"])
 
 
+def sided(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """a, b with the column of either class as x and y."""
+    side = lambda c, name: table.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(name))
+    return pairs.select("a", "b").join(side("b", "y"), "b").join(side("a", "x"), "a")
+
+
 def verify(pairs: DataFrame, table: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The pairs (a, b) of classes whose full sets link: those whose sizes and sketches allow it are compared."""
 
-    def run(batches):
+    def sketched(batches):
+        for batch in batches:
+            near = []
+            for a, b, m, n, x, y in _text_batches(batch, "a", "b", "na", "nb", "x", "y"):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                width = min(len(x), len(y))
+                if np.bitwise_count(fold(x, width) ^ fold(y, width)).sum() <= rule.most_apart(m + n):
+                    near.append((a, b))
+            yield vocab.batch_of(PAIRS, near)
+
+    def full(batches):
         for batch in batches:
             out = []
             for a, b, x, y in _text_batches(batch, "a", "b", "x", "y"):
@@ -272,82 +289,164 @@ def verify(pairs: DataFrame, table: DataFrame, rule: Rule = Rule()) -> DataFrame
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= rule.least_common(len(x) + len(y)):
                     out.append((a, b))
-            yield vocab.batch_of(schema, out)
+            yield vocab.batch_of(PAIRS, out)
 
-    sides = pairs.select("a", "b").join(table.select(F.col("cls").alias("b"), F.col("items").alias("y"), F.col("n").alias("nb")), "b")
-    sides = sides.join(table.select(F.col("cls").alias("a"), F.col("items").alias("x"), F.col("n").alias("na")), "a")
-    sides = sides.where((F.col("na") * rule.den >= F.col("nb") * rule.num) & (F.col("nb") * rule.den >= F.col("na") * rule.num))
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sizes = (F.col("na") * rule.den >= F.col("nb") * rule.num) & (F.col("nb") * rule.den >= F.col("na") * rule.num)
+    near = materialize(sided(pairs, table, "sketch").where(sizes).mapInArrow(sketched, "a long, b long"), "parity-near")
+    met = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    met = F.broadcast(met) if near.count() <= BROADCAST_ROWS else met
+    return sided(near, table.join(met, "cls", "left_semi"), "items").mapInArrow(full, "a long, b long")
 
 
 #: Members of a block that are compared with each other at a time; a larger block is split into pairs of such parts.
 PART = 1_024
+CELL = "key long, i long, j long"
 
 
-def across(members: DataFrame, rule: Rule = Rule(), parts: int = PART) -> DataFrame:
-    """Pairs (a, b) of different components in one block whose sizes and sketches allow a link.
-
-    members(key, k, cls, comp, n, sketch). A block of k members is cut into ceil(k / parts) parts, and each two parts
-    meet in one group, so that no group holds over about 2 * parts rows.
-    """
-    count = F.ceil(F.col("k") / parts).cast("int")
-    part = F.pmod(F.xxhash64("cls"), count).cast("int")
-    low = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
-    high = F.transform(F.sequence(F.col("part"), F.col("count") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j")))
-    cells = F.array_distinct(F.concat(low, high))
-    rows = members.withColumn("count", count).withColumn("part", part).select("key", "cls", "comp", "n", "sketch", "part", F.explode(cells).alias("cell"))
-
-    def meet(i, j, cls, comp, n, raw, own):
-        width = min(map(len, raw))
-        bits = np.stack([fold(s, width) for s in raw])
-        near = []
-        for r in np.flatnonzero(own == i):
-            with_whom = (own == j) & (comp != comp[r])
-            if i == j:
-                with_whom[: r + 1] = False
-            others = np.flatnonzero(with_whom)
-            total = n[others] + n[r]
-            limit = total - 2 * -(-rule.num * total // (rule.num + rule.den))  # Rule.most_apart
-            others = others[np.bitwise_count(bits[others] ^ bits[r]).sum(1) <= limit]
-            near.append(np.stack([np.minimum(cls[r], cls[others]), np.maximum(cls[r], cls[others])]))
-        return near
+def open_members(multi: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, k, cls, comp, top (its commonest component and how many members that has) of blocks with three members or
+    more in which components meet; of blocks with the same members one stays."""
+    rows = multi.select("key", "cls").distinct().join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "cls"))
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("members"))
+    blocks = parts.groupBy("key").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("top"), F.sum("members").alias("members"))
+    blocks = blocks.where("k > 2 and top.k < k").groupBy("k", "members", "top").agg(F.min("key").alias("key"))
+    return rows.join(blocks.select("key", "k", "top"), "key").select("key", "k", "cls", "comp", "top")
 
-    def run(batches):
-        """Rows come sorted by cell; the last cell of a batch may go on in the next one."""
-        held = None
-
-        def cells_of(batch, whole):
-            at = [batch.column(k).to_numpy() for k in range(7)]
-            new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
-            first = np.append(np.flatnonzero(new), len(new))
-            sketches, near = batch.column(7), [np.zeros((2, 0), np.int64)]
-            for low, high in zip(first[: None if whole else -1], first[1 : None if whole else -1], strict=False):
-                raw = [np.frombuffer(x, np.uint64) for x in sketches.slice(low, high - low).to_pylist()]
-                near += meet(at[1][low], at[2][low], *(c[low:high] for c in at[3:6]), raw, at[6][low:high])
-            a, b = np.concatenate(near, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIRS), batch.slice(first[-2])
 
-        for batch in batches:
-            if batch.num_rows:
-                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                out, held = cells_of(batch, False)
-                yield out
-        if held is not None:
-            yield cells_of(held, True)[0]
+def in_cells(members: DataFrame, parts: int = PART) -> DataFrame:
+    """The members, each in the cells (key, i, j) in which it meets those of other components.
 
-    shuffles = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["key", F.col("cell.i").cast("long").alias("i"), F.col("cell.j").cast("long").alias("j"), "cls", "comp", "n", F.col("part").cast("long"), "sketch"]
-    dealt = rows.select(*columns).repartition(shuffles, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    A block of up to `parts` members is one cell. In a larger one, the commonest component and the rest are each cut
+    into parts; each two parts meet in one cell, but for two parts of the commonest component, which is done with.
+    """
+    some = F.ceil(F.col("top.k") / parts).cast("int")
+    count = some + F.ceil((F.col("k") - F.col("top.k")) / parts).cast("int")
+    of_top, h = F.col("comp") == F.col("top.comp"), F.xxhash64("cls")
+    part = F.when(F.col("k") <= parts, 0).when(of_top, F.pmod(h, F.col("some"))).otherwise(F.col("some") + F.pmod(h, F.col("count") - F.col("some"))).cast("int")
+    to = lambda low, high: F.sequence(low, high - 1)
+    cell = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    own = F.col("part")
+    with_top = F.transform(to(F.lit(0), F.col("some")), lambda i: cell(i, own))
+    below = F.transform(F.sequence(F.col("some"), own), lambda i: cell(i, own))
+    above = F.transform(to(own, F.col("count")), lambda j: cell(own, j))
+    cells = F.when(F.col("k") <= parts, F.array(cell(own, own))).when(of_top, F.transform(to(F.col("some"), F.col("count")), lambda j: cell(own, j))).otherwise(F.array_distinct(F.concat(with_top, below, above)))
+    rows = members.withColumn("some", some).withColumn("count", count).withColumn("part", part).withColumn("cell", F.explode(cells))
+    return rows.select("key", "cell.i", "cell.j", "cls", "comp", F.col("part").cast("long"))
+
+
+def by_cell(rows: DataFrame, meet, out: pa.Schema, kind: str) -> DataFrame:
+    """meet(i, j, columns) of every cell of rows(key, i, j, ...): numbers come as arrays, the last column as a list.
+
+    Rows come sorted by cell, and the last cell of a batch may go on in the next one: a task holds one batch and the
+    pieces of one cell.
+    """
 
+    def done(pieces):
+        whole = pa.Table.from_batches(pieces).combine_chunks()
+        at = [whole.column(k).to_numpy() for k in range(whole.num_columns - 1)]
+        new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
+        bounds = np.append(np.flatnonzero(new), len(new))
+        found = [[] for _ in out]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            last = whole.column(whole.num_columns - 1).slice(low, high - low).to_pylist()
+            for values, column in zip(meet(int(at[0][low]), int(at[1][low]), int(at[2][low]), *(c[low:high] for c in at[3:]), last), found, strict=True):
+                column.append(np.asarray(values, np.int64))
+        arrays = [pa.array(np.concatenate(c)) if c else pa.array([], pa.int64()) for c in found]
+        return pa.RecordBatch.from_arrays(arrays, schema=out)
 
-def open_members(multi: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, k, cls, comp of blocks with three members or more in which components meet, one block for each list of members."""
-    rows = multi.select("key", "cls").distinct().join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left")
-    rows = rows.withColumn("comp", F.coalesce("comp", "cls"))
-    blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("members"))
-    blocks = blocks.where("k > 2 and low <> high").groupBy("k", "members", "low", "high").agg(F.min("key").alias("key"))
-    return rows.join(blocks.select("key", "k"), "key").select("key", "k", "cls", "comp")
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = [batch.column(k).to_numpy() for k in range(3)]
+            end = tuple(int(c[-1]) for c in cell)
+            goes_on = int(np.argmax((cell[0] == end[0]) & (cell[1] == end[1]) & (cell[2] == end[2])))  # where its last cell begins
+            if goes_on or end != last:
+                if held or goes_on:
+                    yield done([*held, batch.slice(0, goes_on)] if goes_on else held)
+                held, last = [], end
+            held.append(batch.slice(goes_on))
+        if held:
+            yield done(held)
+
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(shuffles, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, kind)
+
+
+def candidates(rule: Rule, i, j, own, comp, n, bits):
+    """For each member r of part i, those of part j in other components whose sizes and sketches allow a link, with the
+    sketches' distances and the shingles that a link needs."""
+    for r in np.flatnonzero(own == i):
+        others = (own == j) & (comp != comp[r])
+        if i == j:
+            others[: r + 1] = False
+        others = np.flatnonzero(others)
+        total = n[others] + n[r]
+        common = -(-rule.num * total // (rule.num + rule.den))  # Rule.least_common
+        apart = np.bitwise_count(bits[others] ^ bits[r]).sum(1).astype(np.int64)
+        near = (np.minimum(n[others], n[r]) >= common) & (apart <= total - 2 * common)
+        if near.any():
+            yield r, others[near], apart[near], common[near]
+
+
+def across(members: DataFrame, sketches: DataFrame, rule: Rule = Rule(), parts: int = PART) -> DataFrame:
+    """Of every cell, pairs that would join its components, and the members of candidate pairs that are left out.
+
+    Rows (key, i, j, a, b, left): a pair (a, b) of different components whose sizes and sketches allow a link, or, where
+    left is 1, a class a with other such pairs in this cell. Pairs of a cell form a forest over its components, nearest
+    sketches first for each class, so a cell gives fewer rows than twice its members.
+    """
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("left", pa.int64())])
+
+    def meet(key, i, j, cls, comp, own, n, raw):
+        words = [np.frombuffer(x, np.uint64) for x in raw]
+        width = min(map(len, words))
+        bits = np.stack([fold(x, width) for x in words])
+        root, pairs, more = np.unique(comp, return_inverse=True)[1], [], np.zeros(len(cls), bool)
+        for r, others, apart, _ in candidates(rule, i, j, own, comp, n, bits):
+            order = np.lexsort((cls[others], apart))
+            new, first = np.unique(root[others[order]], return_index=True)
+            chosen = others[order[first[new != root[r]]]]
+            pairs += [(cls[r], cls[o]) for o in chosen]
+            root[np.isin(root, new)] = root[r]
+            rest = np.setdiff1d(others, chosen)
+            more[rest] = True
+            more[r] |= len(rest) > 0
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        rest = cls[more]
+        where = [np.full(len(a) + len(rest), x, np.int64) for x in (key, i, j)]
+        yield from (*where, np.append(a, rest), np.append(b, np.zeros_like(rest)), np.append(np.zeros_like(a), np.ones_like(rest)))
+
+    rows = in_cells(members, parts).join(sketches.select("cls", "n", "sketch"), "cls").select("key", "i", "j", "cls", "comp", "part", "n", "sketch")
+    return by_cell(rows, meet, schema, f"{CELL}, a long, b long, left long")
+
+
+def settle(cells: DataFrame, comps: DataFrame, table: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Links (a, b) that join components within cells(key, i, j, cls, part), decided on the full sets.
+
+    Cells whose members are of one component by now are left out. A task joins components as it finds links and skips
+    pairs that are joined already: a cell gives fewer links than it has members.
+    """
+    rows = cells.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = rows.groupBy("key", "i", "j").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "i", "j")
+    rows = rows.join(mixed, ["key", "i", "j"]).join(table.select("cls", "items"), "cls").select("key", "i", "j", "cls", "comp", "part", "items")
+
+    def meet(key, i, j, cls, comp, own, raw):
+        items = [np.frombuffer(x, np.uint64) for x in raw]
+        n, words = np.array([len(x) for x in items]), [sketch(x) for x in items]
+        width = min(map(len, words))
+        bits = np.stack([fold(x, width) for x in words])
+        root, pairs = np.unique(comp, return_inverse=True)[1], []
+        for r, others, apart, common in candidates(rule, i, j, own, comp, n, bits):
+            for o in np.argsort(apart, kind="stable"):
+                if root[others[o]] != root[r] and len(np.intersect1d(items[r], items[others[o]], assume_unique=True)) >= common[o]:
+                    pairs.append((cls[r], cls[others[o]]))
+                    root[root == root[others[o]]] = root[r]
+        yield from np.array(pairs, np.int64).reshape(-1, 2).T
+
+    return by_cell(rows, meet, PAIRS, "a long, b long")
 
 
 #: Parts that a component is cut into at least, once it has that many times LEAST_PART classes.
@@ -362,87 +461,57 @@ def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least:
     """
     size = F.least(F.greatest(F.ceil(F.col("k") / PARTS), F.lit(least)), F.lit(most))
     count = F.ceil(F.col("k") / size).cast("int")
-    low = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
-    high = F.transform(F.sequence(F.col("part"), F.col("count") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j")))
+    low = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.cast("long").alias("i"), F.col("part").cast("long").alias("j")))
+    high = F.transform(F.sequence(F.col("part"), F.col("count") - 1), lambda j: F.struct(F.col("part").cast("long").alias("i"), j.cast("long").alias("j")))
     cells = F.explode(F.array_distinct(F.concat(low, high)))
     rows = members.withColumn("count", count).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("count")).cast("int")).withColumn("cell", cells)
 
-    def meet(i, j, cls, copies, own, items):
-        """Each class's place and those of the classes it links to."""
-        n = np.array([len(x) for x in items])
-        raw = [sketch(x) for x in items]
-        width = min(map(len, raw))
-        bits = np.stack([fold(x, width) for x in raw])
+    def meet(key, i, j, cls, copies, own, raw):
+        items = [np.frombuffer(x, np.uint64) for x in raw]
+        n, words = np.array([len(x) for x in items]), [sketch(x) for x in items]
+        width = min(map(len, words))
+        bits = np.stack([fold(x, width) for x in words])
         universe, codes = np.unique(np.concatenate(items), return_inverse=True)
         codes, seen = np.split(codes, np.cumsum(n)[:-1]), np.zeros(len(universe), bool)
-        for r in np.flatnonzero(own == i):
-            with_whom = own == j
-            if i == j:
-                with_whom[: r + 1] = False
-            others = np.flatnonzero(with_whom)
-            total = n[others] + n[r]
-            common = -(-rule.num * total // (rule.num + rule.den))  # Rule.least_common
-            near = (np.minimum(n[others], n[r]) >= common) & (np.bitwise_count(bits[others] ^ bits[r]).sum(1) <= total - 2 * common)
-            others, common = others[near], common[near]
-            if len(others):
-                seen[codes[r]] = True
-                starts = np.cumsum(n[others]) - n[others]
-                shared = np.add.reduceat(seen[np.concatenate([codes[o] for o in others])], starts, dtype=np.int64)
-                seen[codes[r]] = False
-                yield r, others[shared >= common]
-
-    def run(batches):
-        """Rows come sorted by cell; the last cell of a batch may go on in the next one."""
-        held = None
-
-        def cells_of(batch, whole):
-            at = [batch.column(k).to_numpy() for k in range(6)]
-            new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
-            first = np.append(np.flatnonzero(new), len(new))
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for low, high in zip(first[: None if whole else -1], first[1 : None if whole else -1], strict=False):
-                cls, copies, own = (c[low:high] for c in at[3:6])
-                items = [np.frombuffer(x, np.uint64) for x in batch.column(6).slice(low, high - low).to_pylist()]
-                links = np.zeros(high - low, np.int64)
-                for r, others in meet(at[1][low], at[2][low], cls, copies, own, items):
-                    if pairs:
-                        found.append((np.minimum(cls[r], cls[others]), np.maximum(cls[r], cls[others])))
-                    links[r] += copies[others].sum()
-                    links[others] += copies[r]
-                if not pairs:
-                    found.append((cls[links > 0], links[links > 0]))
-            out = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
-            return pa.RecordBatch.from_arrays(out, schema=PAIRS if pairs else DEGREES), batch.slice(first[-2])
-
-        for batch in batches:
-            if batch.num_rows:
-                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                out, held = cells_of(batch, False)
-                yield out
-        if held is not None:
-            yield cells_of(held, True)[0]
-
-    shuffles = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["comp", F.col("cell.i").cast("long").alias("i"), F.col("cell.j").cast("long").alias("j"), "cls", "copies", F.col("part").cast("long"), "items"]
-    dealt = rows.select(*columns).repartition(shuffles, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long" if pairs else "cls long, links long")
+        found, links = [], np.zeros(len(cls), np.int64)
+        for r, others, _, common in candidates(rule, i, j, own, np.arange(len(cls)), n, bits):
+            seen[codes[r]] = True
+            starts = np.cumsum(n[others]) - n[others]
+            shared = np.add.reduceat(seen[np.concatenate([codes[o] for o in others])], starts, dtype=np.int64)
+            seen[codes[r]] = False
+            linked = others[shared >= common]
+            links[r] += copies[linked].sum()
+            links[linked] += copies[r]
+            if pairs:
+                found.append(np.stack([np.minimum(cls[r], cls[linked]), np.maximum(cls[r], cls[linked])]))
+        yield from np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1) if pairs else (cls[links > 0], links[links > 0])
+
+    rows = rows.select(F.col("comp").alias("key"), "cell.i", "cell.j", "cls", "copies", F.col("part").cast("long"), "items")
+    return by_cell(rows, meet, PAIRS, "a long, b long") if pairs else by_cell(rows, meet, DEGREES, "cls long, links long")
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """node, comp of the classes that link to another class; the class table."""
     multi = materialize(shared_blocks(index(docs, rule)), "parity-blocks")
     wanted = multi.select("cls").distinct()
-    chosen = sets.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("chosen_id"))
-    table = materialize(class_table(docs, materialize(chosen, "parity-chosen"), rule), "parity-classes")
+    chosen = materialize(sets.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("chosen_id")), "parity-chosen")
+    table = materialize(class_table(docs, chosen, rule), "parity-classes")
     pairs = materialize(multi.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "parity-pairs")
     links = materialize(verify(pairs, table, rule), "parity-links")
     comps = materialize(components(links), "parity-components")
-    members = open_members(multi, comps).join(table.select("cls", "n", "sketch"), "cls")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(verify(across(members, rule).join(tried, ["a", "b"], "left_anti"), table, rule), "parity-more")
-    if more.isEmpty():
-        return comps, table
-    return materialize(components(links.unionByName(more)), "parity-components"), table
+    open_rows = materialize(open_members(multi, comps), "parity-open")
+    discard(multi, chosen, pairs)
+    found = materialize(across(open_rows, table, rule), "parity-across")
+    joining = materialize(verify(found.where("left = 0").select("a", "b").distinct(), table, rule), "parity-joining")
+    links = links.unionByName(joining)
+    comps = materialize(components(links), "parity-components")
+    rest = found.where("left = 1").select("key", "i", "j", F.col("a").alias("cls"))
+    rest = rest.join(in_cells(open_rows).select("key", "i", "j", "cls", "part"), ["key", "i", "j", "cls"])
+    more = materialize(settle(rest, comps, table, rule), "parity-more")
+    if not more.isEmpty():
+        comps = materialize(components(links.unionByName(more)), "parity-components")
+    discard(open_rows, found)
+    return comps, table
 
 
 def grouped(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame, DataFrame]:
