@@ -2,14 +2,17 @@
 
 import hashlib
 import io
+import itertools
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from tidemark.llm import bpe, exact_dedup, packing, parity_join, pii, quality, simhash, sstable, token_counts, url_filter
+from tidemark.llm import bpe, exact_dedup, packing, parity_join, pii, quality, queries, simhash, sstable, token_counts, url_filter
 
 
 def texts_of(docs):
@@ -158,10 +161,31 @@ def test_mined_rules_block(spark):
     found = {r.page_id: r.verdict for r in url_filter.judge(frame, labels).collect()}
     assert found == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
     mined = url_filter.mine(frame.join(labels.where("bad is not null"), "page_id").select(url_filter.tokens_of(F.col("url")).alias("tokens"), "bad"))
-    assert [r.tokens for r in mined.collect()] == [["p:spam"]]  # longer rules are covered by it
+    assert [r.tokens for r in mined.collect()] == [["p1:spam"]]  # longer rules are covered by it
     assert url_filter.judge(frame.limit(0), labels).count() == 0
 
 
+def test_stated_verdicts_are_labels(spark):
+    """Pages of a host whose stated verdicts are mostly block are blocked too; labels' own columns may clash."""
+    urls = [f"http://bad.example.com/en/{i}" for i in range(10, 40)] + ["http://bad.example.com/fr/1", None, "no url"] + [f"http://good.example.com/fr/{i}" for i in range(12)]
+    frame = pages(spark, urls)
+    frame = frame.unionByName(frame.where("page_id >= 30")).withColumn("bad", F.lit("x")).withColumn("tokens", F.lit(1))
+    labels = spark.createDataFrame([(i, False, "y") for i in range(34, 45)], "page_id long, bad boolean, verdict string")
+    found = sorted((r.page_id, r.rule, r.verdict) for r in url_filter.judge(frame, labels).collect() if r.page_id >= 30)
+    assert found == sorted([(30, None, "block"), *((i, None, "allow") for i in range(31, 45))] * 2)
+
+
+def test_url_filter_equals_sql(spark):
+    """Mined rules of the small tables block pages that no stated rule fits, and the SQL agrees."""
+    sf = "/root/testdata/sf0.01"
+    for name in ("pages", "labels"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    expected = duckdb.sql(url_filter.ORACLE_SQL).fetchall()
+    found = queries.op3_url_filter(spark, sf).collect()
+    assert ordered(map(tuple, found)) == ordered(expected)
+    assert any(r.rule is None and r.verdict == "block" for r in found)
+
+
 # 4: personal data
 
 
@@ -204,10 +228,52 @@ def test_tagger_on_unseen_spans(tagger):
         texts.append(text + " and a few words after it to the end of this line")
         wanted.append(spans)
     found = pii.tag_texts(tagger, texts)
-    acceptable = [[s for s in w if pii.acceptable(s[0], t[s[1] : s[2]])] for t, w in zip(texts, wanted, strict=True)]
-    hits = sum(s in f for f, w in zip(found, acceptable, strict=True) for s in w)
-    assert hits >= 0.6 * sum(map(len, acceptable))
+    hits = sum(s in f for f, w in zip(found, wanted, strict=True) for s in w)
+    assert hits >= 0.6 * sum(map(len, wanted))
     assert hits >= 0.8 * sum(map(len, found))
+    assert any(s[0] == "secret" and s in f for f, w in zip(found, wanted, strict=True) for s in w)
+
+
+def test_tagger_adds_what_patterns_miss(tagger):
+    text = 'words here and token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and more words, then 9807915762804490 and the rest of it'
+    base = pii.base_spans(text)
+    added = [s for s in pii.all_spans(base, pii.tag_texts(tagger, [text])[0]) if s not in base]
+    assert {k for k, _, _ in added} >= {"secret"} and all(re.search("[0-9]", text[a:b]) for _, a, b in added)
+    assert pii.tag_texts(tagger, ["plain words without any of it, in version 3.0 of 2 parts " * 5]) == [[]]
+
+
+def test_decoding_equals_enumeration():
+    """Best sequence and marginals of a short stretch against all tag sequences."""
+    rng = np.random.default_rng(3)
+    w = {"T": rng.normal(0, 1, (pii.TAGS + 1, pii.TAGS))}
+    scores = rng.normal(0, 2, (4, 2, pii.TAGS))
+    trans = w["T"] + pii.forbidden()
+    ways = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+    for r in range(2):
+        total = trans[pii.TAGS, ways[:, 0]] + sum(scores[t, r, ways[:, t]] for t in range(4)) + sum(trans[ways[:, t - 1], ways[:, t]] for t in range(1, 4))
+        assert pii.viterbi(w, scores.astype(np.float32))[r].tolist() == ways[total.argmax()].tolist()
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        for t in range(4):
+            expected = np.bincount(ways[:, t], weights=p, minlength=pii.TAGS)
+            assert np.allclose(pii.marginals(w, scores)[t, r], expected, atol=1e-9)
+
+
+def test_windows_blend_over_a_long_stretch(tagger, monkeypatch):
+    """Scores of a stretch of many windows are the weighted mean of the windows' own."""
+    text, seen = "call 12 or a1@b.c " * 30, []
+    monkeypatch.setattr(pii, "viterbi", lambda w, scores: seen.append(scores) or np.zeros(scores.shape[1::-1], np.int64))
+    pii.tag_texts(tagger, [text])
+    sums, weights = np.zeros((len(text), pii.TAGS)), np.zeros((len(text), 1))
+    for s in range(0, len(text) - pii.WINDOW + pii.STRIDE, pii.STRIDE):
+        ids = np.full(pii.WINDOW, 5)
+        part = pii.char_ids(text[s : s + pii.WINDOW])
+        ids[: len(part)] = part
+        for k in range(len(part)):
+            weight = min(k + 1, pii.WINDOW - k)
+            sums[s + k] += pii.emissions(tagger, ids[None])[k, 0] * weight
+            weights[s + k] += weight
+    assert len(seen) == 1 and np.allclose(seen[0][:, 0], sums / weights, atol=1e-3)
 
 
 def test_gradient_is_right():

@@ -1,7 +1,8 @@
 """URL filters: stated host and path rules, then association rules mined from labelled URLs.
 
-A URL is taken apart into tokens: the labels of its host, its first path segment and its query names. Over labelled
-URLs, Spark's FP-growth mines token combinations; those that imply the label "bad" with enough confidence and support
+A URL is taken apart into tokens: the labels of its host, the segments of its path with their depth, and its query
+names. A page is labelled by the stated rule that fits its URL and otherwise by the table of labels, so that the rules
+carry the stated verdicts on to other pages of the same hosts and paths. Over labelled URLs, Spark's FP-growth mines token combinations; those that imply the label "bad" with enough confidence and support
 are pruned of rules that a shorter rule of no less confidence covers. The rest is kept as an inverted index from token
 to rules: a URL meets the rules of its own tokens alone, and a rule matches where all of its tokens have met it.
 """
@@ -16,7 +17,8 @@ from tidemark.session import materialize
 
 #: Stated rules: verdict, host and path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 20, 0.8, 3
+#: A rule holds in at least this share and number of the labelled pages, and this share of the pages it matches is bad.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.001, 20, 0.8
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the inverted index that are broadcast; a longer index is joined by shuffle.
@@ -43,16 +45,16 @@ def stated(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Sorted distinct tokens: h:<label of the host>, p:<first path segment>, q:<query name>; digits count as 0."""
-    labels = F.transform(F.split(host_of(url), r"\."), lambda x: F.concat(F.lit("h:"), x))
-    segment = F.regexp_replace(F.regexp_extract(path_of(url), r"^/([^/]*)", 1), "[0-9]+", "0")
+    """Sorted distinct tokens: h:<label of the host>, p<depth>:<path segment>, q:<query name>; digits of a path count as 0."""
+    named = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
+    segment = lambda x, i: F.when(x != "", F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
-    names = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("q:"), F.regexp_extract(x, "^([^=]*)", 1)))
-    found = F.concat(labels, F.array(F.concat(F.lit("p:"), segment)), names)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) > 2)))
+    names = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1))
+    found = F.concat(named("h:", F.split(host_of(url), r"\.")), F.array_compact(F.transform(F.split(path_of(url), "/"), segment)), named("q:", names))
+    return F.array_sort(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_confidence=MIN_CONFIDENCE, max_tokens=MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_confidence=MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence, count) that imply "bad", from labelled(tokens, bad).
 
     Support is at least min_support of the rows and min_count rows. A rule is dropped if a part of its tokens is a
@@ -64,7 +66,6 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_
     if least > 1 or not n:
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, count long")
     sets = materialize(FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(rows).freqItemsets, "url-itemsets")
-    sets = sets.where(F.size("items") <= max_tokens + 1)
     with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("bad"))
     alone = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
     rules = with_bad.join(alone, "tokens").select("tokens", (F.col("bad") / F.col("all")).alias("confidence"), F.col("bad").alias("count")).where(F.col("confidence") >= min_confidence)
@@ -85,15 +86,16 @@ def matches(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages(page_id, url).
 
-    labels(page_id, bad) marks some pages. Where no stated rule fits, a page is blocked if a mined rule matches and
-    allowed otherwise. A null url has empty host and path and is allowed; repeated rows and null page_ids stay as they
-    are; an empty table gives no rows, and without labels nothing is mined. Other columns are ignored.
+    labels(page_id, bad) marks some pages; where a stated rule fits, its verdict is the label instead. Where none fits, a
+    page is blocked if a mined rule matches and allowed otherwise. A null url has empty host and path and is allowed; repeated rows and null page_ids stay as they
+    are; an empty table gives no rows, and without labelled pages nothing is mined. Other columns are ignored.
     """
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     marked = labels.where("bad is not null and page_id is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.bool_or("bad").alias("bad"))
-    mined = mine(base.join(marked, "page_id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), **mining)
     rows = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens"))
     rows = rows.withColumn("stated", stated(F.col("host"), F.col("path"), rules))
+    told = rows.join(marked, "page_id", "left").select("tokens", F.coalesce(F.col("stated.verdict") == "block", "bad").alias("bad"))
+    mined = mine(told.where("bad is not null"), **mining)
     open_sets = rows.where("stated is null").select("tokens").distinct()
     blocked = materialize(matches(open_sets, mined), "url-blocked")
     few = blocked.count() <= BROADCAST_ROWS
@@ -104,7 +106,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFra
 
 
 ORACLE_SQL = f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
          coalesce(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '') AS query, row_number() OVER () AS n
@@ -117,17 +119,18 @@ fits AS (
     AND starts_with(path, substr(rule, strpos(rule, '/')))
   GROUP BY n),
 toks AS (
-  SELECT DISTINCT n, token FROM (
-    SELECT n, 'h:' || unnest(string_split(host, '.')) AS token FROM parts
-    UNION ALL SELECT n, 'p:' || regexp_replace(regexp_extract(path, '^/([^/]*)', 1), '[0-9]+', '0', 'g') FROM parts
-    UNION ALL SELECT n, 'q:' || split_part(unnest(string_split(query, '&')), '=', 1) FROM parts)
-  WHERE length(token) > 2),
+  SELECT DISTINCT n, kind || part AS token FROM (
+    SELECT n, 'h:' AS kind, unnest(string_split(host, '.')) AS part FROM parts
+    UNION ALL SELECT n, 'p' || unnest(range(len(string_split(path, '/')))) || ':', regexp_replace(unnest(string_split(path, '/')), '[0-9]+', '0', 'g') FROM parts
+    UNION ALL SELECT n, 'q:', split_part(unnest(string_split(query, '&')), '=', 1) FROM parts)
+  WHERE part <> ''),
 marks AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
-marked AS (SELECT n, bad FROM parts JOIN marks ON page_id = doc_id),
+marked AS (
+  SELECT n, coalesce(fits.verdict = 'block', marks.bad) AS bad FROM parts LEFT JOIN fits USING (n) LEFT JOIN marks ON page_id = doc_id
+  WHERE coalesce(fits.verdict = 'block', marks.bad) IS NOT NULL),
 combos AS (
   SELECT n, [token] AS s FROM toks
-  UNION ALL SELECT a.n, [a.token, b.token] FROM toks a JOIN toks b ON a.n = b.n AND a.token < b.token
-  UNION ALL SELECT a.n, [a.token, b.token, c.token] FROM toks a JOIN toks b ON a.n = b.n AND a.token < b.token JOIN toks c ON b.n = c.n AND b.token < c.token),
+  UNION ALL SELECT c.n, list_append(c.s, t.token) FROM combos c JOIN toks t ON c.n = t.n AND t.token > c.s[-1]),
 mined AS (
   SELECT s FROM combos JOIN marked USING (n) GROUP BY s
   HAVING count(*) FILTER (WHERE bad) >= greatest({MIN_COUNT}, {MIN_SUPPORT} * (SELECT count(*) FROM marked))
