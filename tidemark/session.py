@@ -43,19 +43,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting by which a finished write's shuffle files are deleted: the written table stands in for them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: a finished write's shuffle files are deleted, as the table stands in for them, and
+#: Python workers get small batches, as a row may hold a whole text.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def materialize(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
     """Write a table to shared storage and read it back: lineage is cut and survives lost executors."""
     spark, path = df.sparkSession, keep or scratch_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
