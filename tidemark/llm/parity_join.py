@@ -45,7 +45,7 @@ from tidemark.session import discard, materialize
 #: Rows of one block in one batch from which on they get a leader of their own.
 HOT = 32
 #: Index rows in a batch.
-BATCH_ROWS = 400_000
+BATCH_ROWS = 200_000
 #: Bits of the sketch that pairs are compared by, for each shingle of the larger set.
 BITS_A_SHINGLE = 4
 #: Ids that are broadcast at most (16 bytes each), beyond that they are joined by shuffle.
@@ -343,7 +343,7 @@ def by_cell(rows: DataFrame, meet, out: pa.Schema, kind: str) -> DataFrame:
     """
 
     def done(pieces):
-        whole = pa.Table.from_batches(pieces).combine_chunks()
+        whole = pa.Table.from_batches(pieces)
         at = [whole.column(k).to_numpy() for k in range(whole.num_columns - 1)]
         new = np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])])
         bounds = np.append(np.flatnonzero(new), len(new))
@@ -426,11 +426,13 @@ def across(members: DataFrame, sketches: DataFrame, rule: Rule = Rule(), parts:
 def settle(cells: DataFrame, comps: DataFrame, table: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Links (a, b) that join components within cells(key, i, j, cls, part), decided on the full sets.
 
-    Cells whose members are of one component by now are left out. A task joins components as it finds links and skips
+    Cells whose members are of one component by now are left out, and of cells with the same members one stays. A task joins components as it finds links and skips
     pairs that are joined already: a cell gives fewer links than it has members.
     """
     rows = cells.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("key", "i", "j").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "i", "j")
+    member = F.xxhash64("cls", F.col("part") == F.col("i"), F.col("i") == F.col("j")).cast("decimal(20,0)")
+    mixed = rows.groupBy("key", "i", "j").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(member).alias("members")).where("low <> high")
+    mixed = mixed.groupBy("members", "low", "high").agg(F.min(F.struct("key", "i", "j")).alias("cell")).select("cell.*")
     rows = rows.join(mixed, ["key", "i", "j"]).join(table.select("cls", "items"), "cls").select("key", "i", "j", "cls", "comp", "part", "items")
 
     def meet(key, i, j, cls, comp, own, raw):
