@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, packing, parity_join, pii, quality
-from tidemark.session import discard, materialize
+from tidemark.session import discard, materialize, small_batches
 
 #: SQL cannot express the classifier, the tagger and the packing; the tests hold each stage against a plain version.
 ORACLE_SQL = None
@@ -15,26 +15,31 @@ NEAR = parity_join.Rule(words=5, num=80, den=100)
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
+    small_batches(spark)
     return exact_dedup.keep_last(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id."""
+    small_batches(spark)
     return parity_join.keep_one(docs, NEAR)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced in the texts."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

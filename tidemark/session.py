@@ -45,7 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 #: Settings while a table is written: a finished write's shuffle files are deleted, as the table stands in for them, and
 #: Python workers get small batches, as a row may hold a whole text.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def materialize(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
@@ -62,6 +62,12 @@ def materialize(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of the session's Python workers as small as while a scratch table is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, WRITING[key])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
