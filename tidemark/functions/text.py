@@ -213,9 +213,14 @@ def text_match(a: Column, b: Column) -> Column:
     return F.contains(x, y) | F.contains(y, x) | ((F.size(first(x)) == 3) & (first(x) == first(y)))
 
 
+# Names that a file system keeps for devices.
+RESERVED = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "LPT1", "LPT2")
+
+
 def safe_name(text: Column) -> Column:
-    """A path name: other than letters, digits, dot, dash and underscore become an underscore."""
-    return F.regexp_replace(text, r"[^0-9A-Za-z._-]", "_")
+    """A path name: dots, slashes, brackets, question marks and null bytes as underscores, never empty or reserved."""
+    out = trim(F.regexp_replace(F.replace(text, F.lit("."), F.lit("_")), r"[/\[\]\x00?]", "_"))
+    return F.when(out == "", "unnamed").when(F.upper(out).isin(*RESERVED), F.concat(F.lit("_"), out)).otherwise(out)
 
 
 def ass_colour(colour: Column) -> Column:

@@ -75,3 +75,9 @@ def srt_line(start: Column, end: Column) -> Column:
 def vtt_to_srt(text: Column) -> Column:
     """The first dot as a comma."""
     return F.regexp_replace(text, r"^([^.]*)\.", "$1,")
+
+
+def ass_millis(text: Column) -> Column:
+    """H:M:S,ms in milliseconds with three parts and one comma or dot, the last a whole number; null if malformed."""
+    g = lambda i: _group(F.regexp_replace(text, "^([^,]*),", "$1."), r"^([+-]?[0-9]+):([+-]?[0-9]+):([+-]?[0-9]+)\.([+-]?[0-9]+)$", i)
+    return (g(1) * 3600 + g(2) * 60 + g(3)) * 1000 + g(4)

@@ -101,3 +101,19 @@ def lookup(rows: DataFrame, dimension: dict[str, str], key: str, name: str, defa
         raise ValueError("a dimension of over 1000 entries should be a table")
     table = rows.sparkSession.createDataFrame(sorted(dimension.items()) or [("", "")], f"{key} string, {name} string")
     return rows.join(F.broadcast(table), key, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+
+
+def prefixed_at_or_after(tokens: DataFrame, words: DataFrame, by: Names, text: str, word: str, at: str, time: str, length: int) -> DataFrame:
+    """n, first, last: how many words at or after a token's time begin with its text, and the first and last time.
+
+    Tokens have `length` characters, so the join is on equal heads. Matches are counted as running totals along the
+    words of one head, never expanded into pairs.
+    """
+    head = F.substring(word, 1, length)
+    w = words.select(*by, head.alias(text), F.col(time).cast("long").alias("__at"), F.lit(1).alias("__word"))
+    t = tokens.withColumn("__at", F.col(at).cast("long")).withColumn("__word", F.lit(0))
+    both = t.unionByName(w, allowMissingColumns=True)
+    ahead = W.partitionBy(*by, text).orderBy("__at").rangeBetween(0, W.unboundedFollowing)
+    when = F.when(F.col("__word") == 1, F.col("__at"))
+    found = both.withColumn("n", F.sum("__word").over(ahead)).withColumn("first", F.min(when).over(ahead)).withColumn("last", F.max(when).over(ahead))
+    return found.where("__word = 0 and n > 0").drop("__at", "__word")
