@@ -62,16 +62,21 @@ def tempo_chain(speed: Column) -> Column:
     return F.when(ok, F.array_join(steps, ","))
 
 
-def calibrated(pairs: DataFrame, by: str, order: list[str], estimated: str, actual: str) -> DataFrame:
+def calibrated(pairs: DataFrame, by: str, order: list[str], estimated: str, actual: str, width: int = 10_000) -> DataFrame:
     """by, factor: an exponential mean (0.7 old, 0.3 new) of actual over estimated, each clamped to 0.5 to 1.5.
 
-    The n-th of m ratios weighs 0.3 * 0.7^(m - n) and the start value 1 weighs 0.7^m: a weighted sum, so that no rows
-    of a language are gathered. Pairs with a value of 0 or less are left out.
+    The n-th of m ratios weighs 0.3 * 0.7^(m - n) and the start value 1 weighs 0.7^m. Rows are ranked within ranges of
+    `width` of the first, whole-numbered column of the order, each range is summed up, and the sums are put together by
+    how many rows come after a range: no task ranks a whole language. Pairs with a value of 0 or less are left out.
     """
     from pyspark.sql import Window as W
 
     good = pairs.where((F.col(estimated) > 0) & (F.col(actual) > 0))
     ratio = F.least(F.greatest(F.col(actual) / F.col(estimated), F.lit(0.5)), F.lit(1.5))
-    later = F.row_number().over(W.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])) - 1
-    rows = good.select(by, ratio.alias("ratio"), later.alias("later"))
-    return rows.groupBy(by).agg((F.sum(F.col("ratio") * 0.3 * F.pow(F.lit(0.7), F.col("later"))) + F.pow(F.lit(0.7), F.count(F.lit(1)))).alias("factor"))
+    part = F.floor(F.col(order[0]) / width)
+    later = F.row_number().over(W.partitionBy(by, "__part").orderBy(*[F.col(c).desc() for c in order])) - 1
+    rows = good.withColumn("__part", part).select(by, "__part", ratio.alias("ratio"), later.alias("later"))
+    parts = rows.groupBy(by, "__part").agg(F.sum(F.col("ratio") * 0.3 * F.pow(F.lit(0.7), F.col("later"))).alias("sum"), F.count(F.lit(1)).alias("n"))
+    after = F.coalesce(F.sum("n").over(W.partitionBy(by).orderBy(F.col("__part").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("after", after)
+    return placed.groupBy(by).agg((F.sum(F.col("sum") * F.pow(F.lit(0.7), F.col("after"))) + F.pow(F.lit(0.7), F.sum("n"))).alias("factor"))

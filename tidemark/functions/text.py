@@ -83,19 +83,24 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]*>", "")
 
 
+def unless_plain(text: Column, value: Column) -> Column:
+    """The value, but the text itself where it has ASCII letters and digits alone: most words need no further pattern."""
+    return F.when(text.rlike("^[A-Za-z0-9]*$"), text).otherwise(value)
+
+
 def trim_punctuation(text: Column) -> Column:
     """Without Unicode punctuation at either end."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\p{P}+", ""), r"\p{P}+$", "")
+    return unless_plain(text, F.regexp_replace(text, r"^\p{P}+|\p{P}+$", ""))
 
 
 def base_text(text: Column) -> Column:
     """Without punctuation, symbols and white space."""
-    return F.regexp_replace(text, rf"[\p{{P}}\p{{S}}{SPACE}]", "")
+    return unless_plain(text, F.regexp_replace(text, rf"[\p{{P}}\p{{S}}{SPACE}]", ""))
 
 
 def recognizable(text: Column) -> Column:
     """Latin, Han, Hangul and kana letters and numbers only."""
-    return F.regexp_replace(text, r"[^\p{IsLatin}\p{N}\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]", "")
+    return unless_plain(text, F.regexp_replace(text, r"[^\p{IsLatin}\p{N}\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]", ""))
 
 
 def plain_words(text: Column) -> Column:
@@ -151,7 +156,7 @@ def audio_cue(text: Column) -> Column:
 
 def single_word(text: Column) -> Column:
     """One word of 1 to 15 bytes that is neither an audio cue nor punctuation alone."""
-    return (text != "") & ~F.contains(text, F.lit(" ")) & ~audio_cue(text) & ~pure_punctuation(text) & (F.octet_length(text) <= 15)
+    return (text != "") & ~F.contains(text, F.lit(" ")) & (F.octet_length(text) <= 15) & ~F.lower(text).isin(*AUDIO_CUES) & (text.rlike("^[A-Za-z0-9]*$") | ~(text.rlike(f"[{MUSIC_NOTES}]") | pure_punctuation(text)))
 
 
 def lone_quote(text: Column) -> Column:

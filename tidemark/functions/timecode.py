@@ -29,9 +29,10 @@ def srt_millis(text: Column) -> Column:
 
 
 def strict_millis(text: Column) -> Column:
-    """H:M:S,ms with every part in its range, else null."""
-    g = lambda i: _group(text, STRICT_TIME, i)
-    return (g(1) * 3600 + g(2) * 60 + g(3)) * 1000 + g(4)
+    """H:M:S,ms with every part in its range, else null. The text is taken apart once."""
+    value = lambda p: ((p[0].try_cast("bigint") * 3600 + p[1].cast("bigint") * 60 + p[2].cast("bigint")) * 1000) + p[3].cast("bigint")
+    parts = F.array(F.split(F.regexp_replace(text, r"\s", ""), "[:,]"))
+    return F.when(text.rlike(STRICT_TIME), F.get(F.transform(parts, value), F.lit(0)))
 
 
 def _hms(millis: Column, sep: str, digits: int = 3, hours: str = "%02d") -> Column:

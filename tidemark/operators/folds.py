@@ -20,26 +20,32 @@ from pyspark.sql import types as T
 Names = list[str]
 
 # Words that sentences are cut before, words that none should end with, phrases that stay whole.
-BREAK_WORDS = frozenset(
-    "and but or so that which what who when where why how whose whom because since if unless although though while whereas "
-    "before after until whenever however therefore moreover furthermore meanwhile besides nonetheless".split()
-)
-BAD_ENDS = frozenset(
-    "a an the of in on at to for with by from about and but or is am are was were have has had will would could should "
-    "my your his her its our their this that these those up down out off away back into onto upon within without through "
-    "across under over before after during since until can may might must shall not never always often sometimes very quite "
-    "really just only more most less least much too so such even still".split()
-)
-PHRASES = tuple(
-    tuple(p.split())
-    for p in (
-        "fall apart,break down,give up,take off,put on,turn off,turn on,look up,look down,come back,go away,walk away,run away,"
-        "get up,sit down,stand up,wake up,grow up,pick up,drop off,find out,figure out,work out,sort out,carry on,move on,hold on,"
-        "hang on,right now,right away,right here,right there,all over,all around,all along,all together,once again,over again,"
-        "time after time,day after day,year after year,for good,for sure,for real,for now,at all,at once,at last,at first,in fact,"
-        "in general,in particular,in short,on purpose,on time,by chance,by accident,lose touch,get lost,make sense,take care"
-    ).split(",")
-)
+BREAK_WORDS = (
+    "and", "but", "or", "so", "that", "which", "what", "who", "when", "where", "why", "how", "whose", "whom",
+    "because", "since", "if", "unless", "although", "though", "while", "whereas", "before", "after", "until",
+    "whenever", "however", "therefore", "moreover", "furthermore", "meanwhile", "besides", "nonetheless",
+)
+BAD_ENDS = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "with", "by", "from", "about", "and", "but", "or", "is",
+    "am", "are", "was", "were", "have", "has", "had", "will", "would", "could", "should", "my", "your", "his",
+    "her", "its", "our", "their", "this", "that", "these", "those", "up", "down", "out", "off", "away", "back",
+    "into", "onto", "upon", "within", "without", "through", "across", "under", "over", "before", "after", "during",
+    "since", "until", "can", "may", "might", "must", "shall", "not", "never", "always", "often", "sometimes",
+    "very", "quite", "really", "just", "only", "more", "most", "less", "least", "much", "too", "so", "such", "even",
+    "still",
+)
+PHRASES = (
+    "fall apart", "break down", "give up", "take off", "put on", "turn off", "turn on", "look up", "look down",
+    "come back", "go away", "walk away", "run away", "get up", "sit down", "stand up", "wake up", "grow up",
+    "pick up", "drop off", "find out", "figure out", "work out", "sort out", "carry on", "move on", "hold on",
+    "hang on", "right now", "right away", "right here", "right there", "all over", "all around", "all along",
+    "all together", "once again", "over again", "time after time", "day after day", "year after year", "for good",
+    "for sure", "for real", "for now", "at all", "at once", "at last", "at first", "in fact", "in general",
+    "in particular", "in short", "on purpose", "on time", "by chance", "by accident", "lose touch", "get lost",
+    "make sense", "take care",
+)
+#: The phrases as lists of words.
+SPLIT_PHRASES = [p.split() for p in PHRASES]
 PAUSES = (",", ";", "，", "；")
 
 
@@ -67,16 +73,20 @@ def fold(df: DataFrame, by: Names, order: Names, columns: Names, rule: Callable[
         return made
 
     def run(batches):
-        held = None
+        held = []  # batches of the group at hand, put together once it ends
         for frame in batches:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if len(frame):
-                last = _starts(frame[by])[-1]
-                if last:
-                    yield closed(frame.iloc[:last].reset_index(drop=True))
-                held = frame.iloc[last:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield closed(held)
+            if not len(frame):
+                continue
+            cuts = _starts(frame[by] if not held else pd.concat([held[-1][by].iloc[-1:], frame[by]], ignore_index=True))[1:] - bool(held)
+            if len(cuts):
+                last = cuts[-1]
+                pieces = [*held, frame.iloc[:last]] if last else held
+                yield closed(pd.concat(pieces, ignore_index=True))
+                held = [frame.iloc[last:]]
+            else:
+                held.append(frame)
+        if held:
+            yield closed(pd.concat(held, ignore_index=True))
 
     return dealt.mapInPandas(run, schema)
 
@@ -126,7 +136,7 @@ def fixed_length(words: list[str], target: int = 12, least: int = 8, most: int =
         a = max(i + 1 - min(3, held), 0)
         near = low[a : i + 4]
         cut = i + 1 - a
-        return any(near[s : s + len(p)] == list(p) for p in PHRASES for s in range(max(0, cut - len(p) + 1), cut))
+        return any(near[s : s + len(p)] == p for p in SPLIT_PHRASES for s in range(max(0, cut - len(p) + 1), cut))
 
     sizes, held = [], 0
     for i in range(len(words)):

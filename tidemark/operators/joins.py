@@ -117,3 +117,20 @@ def prefixed_at_or_after(tokens: DataFrame, words: DataFrame, by: Names, text: s
     when = F.when(F.col("__word") == 1, F.col("__at"))
     found = both.withColumn("n", F.sum("__word").over(ahead)).withColumn("first", F.min(when).over(ahead)).withColumn("last", F.max(when).over(ahead))
     return found.where("__word = 0 and n > 0").drop("__at", "__word")
+
+
+def shared_character_spans(sentences: DataFrame, words: DataFrame, by: Names, key: str, text: str, at: str, word: str, time: str) -> DataFrame:
+    """by, key, first, last: from the first to the last word that shares a character with a sentence, at or after its time.
+
+    Where no such word comes that late, all words of the medium count. Sentences that share nothing are left out. Words
+    and sentences meet by character along one ordered pass, so that no pairs of them are made.
+    """
+    characters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))).alias("__ch")
+    s = sentences.select(*by, key, F.col(at).cast("long").alias("__at"), characters(text)).withColumn("__time", F.lit(None).cast("long"))
+    w = words.select(*by, F.col(time).cast("long").alias("__at"), characters(word)).distinct().withColumn("__time", F.col("__at"))
+    one = W.partitionBy(*by, "__ch")
+    ahead = one.orderBy("__at").rangeBetween(0, W.unboundedFollowing)
+    met = s.unionByName(w, allowMissingColumns=True).withColumn("__next", F.min("__time").over(ahead)).withColumn("__low", F.min("__time").over(one)).withColumn("__high", F.max("__time").over(one))
+    met = met.where(F.col("__time").isNull() & F.col("__low").isNotNull())
+    late = F.max(F.when(F.col("__next").isNotNull(), F.col("__high")))
+    return met.groupBy(*by, key).agg(F.coalesce(F.min("__next"), F.min("__low")).alias("first"), F.coalesce(late, F.max("__high")).alias("last"))

@@ -297,16 +297,17 @@ def asof_prev_next(spark, sf_dir):
 
 
 @query(
-    """SELECT b.item_id, l.doc_id FROM benchmark b JOIN (
-  SELECT doc_id, substr(lang, 1, 1) || substr(source, 4) AS code FROM documents JOIN labels USING (doc_id)) l
-ON len(list_intersect(list_filter(string_split(right(b.text, 3), ''), lambda x: x <> ''), list_filter(string_split(l.code, ''), lambda x: x <> ''))) > 0"""
+    f"""WITH {WORDS}, {LINES},
+wc AS (SELECT DISTINCT doc_id, pos::BIGINT AS pos, unnest(list_filter(string_split(word, ''), lambda x: x <> '')) AS ch FROM words),
+sc AS (SELECT DISTINCT doc_id, pos AS sentence, (pos * 5)::BIGINT AS at, unnest(list_filter(string_split(line, ''), lambda x: x <> '')) AS ch FROM lines),
+ends AS (SELECT doc_id, ch, min(pos) AS low, max(pos) AS high FROM wc GROUP BY doc_id, ch),
+found AS (SELECT sc.doc_id, sc.sentence, wc.pos AS nearest, e.low, e.high FROM sc ASOF LEFT JOIN wc ON sc.doc_id = wc.doc_id AND sc.ch = wc.ch AND sc.at <= wc.pos
+  JOIN ends e ON sc.doc_id = e.doc_id AND sc.ch = e.ch)
+SELECT doc_id, sentence, coalesce(min(nearest), min(low)) AS first, coalesce(max(high) FILTER (WHERE nearest IS NOT NULL), max(high)) AS last FROM found GROUP BY doc_id, sentence"""
 )
 def char_overlap_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    codes = docs.select("doc_id", F.concat(F.substring("lang", 1, 1), F.expr("substring(source, 4)")).alias("code"))
-    sides = lambda df, *keys: df.select(*keys[:-1], F.explode(F.array_distinct(F.filter(F.split(keys[-1], ""), lambda c: c != ""))).alias("c"))
-    tails = table(spark, sf_dir, "benchmark").select("item_id", F.expr("right(text, 3)").alias("tail"))
-    return sides(tails, "item_id", "tail").join(sides(codes, "doc_id", "code"), "c").select("item_id", "doc_id").distinct()
+    sentences = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("sentence"), (F.col("pos") * 5).cast("long").alias("at"), "line")
+    return joins.shared_character_spans(sentences, words(spark, sf_dir), ["doc_id"], "sentence", "line", "at", "word", "pos")
 
 
 @query(
