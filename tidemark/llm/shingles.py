@@ -10,7 +10,7 @@ BYTE[65:91] = BYTE[97:123]  # A-Z hash as a-z
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -48,6 +48,9 @@ def word_hashes(data: bytes) -> np.ndarray:
         return _hash_words(np.frombuffer(data, np.uint8))[0]
     out, at = [], 0
     while at < len(data):
+        if SPACE[data[at]]:
+            at += 1
+            continue
         end = min(len(data), at + CHUNK)
         while end < len(data) and end > at and not SPACE[data[end]]:
             end -= 1
@@ -62,7 +65,7 @@ def word_hashes(data: bytes) -> np.ndarray:
         else:
             out.append(_hash_words(np.frombuffer(data[at:end], np.uint8))[0])
         at = end
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
