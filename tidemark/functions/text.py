@@ -218,6 +218,22 @@ def text_match(a: Column, b: Column) -> Column:
     return F.contains(x, y) | F.contains(y, x) | ((F.size(first(x)) == 3) & (first(x) == first(y)))
 
 
+# Signs that go, and pairs of signs whose content stays as it is.
+SINGLE_SIGNS = ",.;:!?~，、。！？；：…"
+SIGN_PAIRS = ("「」", "『』", "“”", "‘’", "《》", "<>", "【】", "〔〕", "()", "[]", "{}")
+
+
+def spaced_signs(text: Column) -> Column:
+    """Single signs go at the end and are one space elsewhere, but for decimal points and within a pair, even an open one."""
+    esc = lambda c: "\\" + c if c in "[](){}" else c
+    pairs = one_of(f"{esc(a)}[^{esc(b)}]*{esc(b)}?" for a, b in SIGN_PAIRS)
+    opening = "".join(esc(a) for a, _ in SIGN_PAIRS)
+    bare = F.regexp_replace(text, f"[{SINGLE_SIGNS}{SPACE}]+$", "")
+    tokens = F.regexp_extract_all(bare, F.lit(f"({pairs}|\\p{{Nd}}+(?:\\.\\p{{Nd}}+)*|[{SINGLE_SIGNS}]|[^{opening}{SINGLE_SIGNS}\\p{{Nd}}]+)"))
+    after = lambda out, t: F.when(~t.rlike(f"^[{SINGLE_SIGNS}]$"), F.concat(out, t)).when(out.rlike(f"(^|[{SPACE}])$"), out).otherwise(F.concat(out, F.lit(" ")))
+    return trim(F.aggregate(tokens, F.lit(""), after))
+
+
 # Names that a file system keeps for devices.
 RESERVED = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "LPT1", "LPT2")
 

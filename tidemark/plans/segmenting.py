@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds
-from tidemark.plans.catalog import SENTENCES, _sentences, query
-from tidemark.plans.inputs import CUES, cues, table
+from tidemark.functions import text as T
+from tidemark.operators import folds, matching, splitting
+from tidemark.plans.catalog import SENTENCES, _sentences, _sql_trim, query
+from tidemark.plans.inputs import CUES, cues, lines, table
 
 
 def _places(rows):
@@ -94,3 +95,102 @@ def sentence_alignment(spark, sf_dir):
         return [(k, a, b) for k, (a, b) in zip(sentences, times, strict=True)]
 
     return folds.fold(_sentences(spark, sf_dir), ["doc_id"], ["pos"], ["sentence_id", "pos", "word"], rule, "sentence_id long, start double, end double")
+
+
+@query()
+def semantic_split(spark, sf_dir):
+    return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.semantic_breaks, "piece"))
+
+
+@query()
+def comma_parts(spark, sf_dir):
+    return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.comma_parts, "piece"))
+
+
+@query()
+def merge_short_lines(spark, sf_dir):
+    rule = lambda texts: list(enumerate(folds.merge_short(texts, 20, 70)))
+    return folds.fold(lines(spark, sf_dir), ["doc_id"], ["pos"], ["line"], rule, "k int, line string")
+
+
+@query()
+def short_line_times(spark, sf_dir):
+    """Words of 0.3 s every 0.4 s, in lines of some five words."""
+
+    def rule(places, texts):
+        timed = [(w, p * 0.4, p * 0.4 + 0.3) for w, p in zip(texts, places, strict=True)]
+        made = folds.short_lines(timed, timed[0][1], timed[-1][2], 0.0, 5)
+        return [(k, *line) for k, line in enumerate(made)]
+
+    return folds.fold(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], ["pos", "word"], rule, "k int, line string, start double, end double")
+
+
+@query()
+def piece_words(spark, sf_dir):
+    """Each comma piece of a sentence, sought among its words from the last word matched on."""
+
+    def rule(places, texts):
+        pieces: dict[int, list[str]] = {}
+        for k, w in zip(folds.comma_breaks(texts), texts, strict=True):
+            pieces.setdefault(k, []).append(w)
+        out, start = [], 0
+        for k, ws in pieces.items():
+            hits = folds.match_pieces(" ".join(ws), texts, start)
+            start = hits[-1] + 1 if hits else start
+            out.append((k, places[hits[0]] if hits else None, places[hits[-1]] if hits else None))
+        return out
+
+    return folds.fold(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], ["pos", "word"], rule, "piece int, first int, last int")
+
+
+@query()
+def protected_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(splitting.protected_sentences(F.col("text"))).alias("k", "sentence"))
+
+
+_SIGNS, _WHITE = T.SINGLE_SIGNS, r"\s\x0b\x{85}\p{Z}"
+_TOKENS = (
+    r"「[^」]*」?|『[^』]*』?|“[^”]*”?|‘[^’]*’?|《[^》]*》?|<[^>]*>?|【[^】]*】?|〔[^〕]*〕?|\([^)]*\)?|\[[^\]]*\]?|\{[^}]*\}?"
+    r"|\p{Nd}+(?:\.\p{Nd}+)*|[SIGNS]|[^「『“‘《<【〔(\[{SIGNS\p{Nd}]+"
+).replace("SIGNS", _SIGNS)
+_SPACED = rf"regexp_replace(regexp_replace(x, '([{_WHITE}])' || chr(57345) || '+', '\1', 'g'), chr(57345) || '+', ' ', 'g')"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[{_SIGNS}{_WHITE}]+$', ''), '{_TOKENS}') AS k FROM documents),
+j AS (SELECT doc_id, array_to_string(list_transform(k, lambda x: CASE WHEN regexp_full_match(x, '[{_SIGNS}]') THEN chr(57345) ELSE x END), '') AS x FROM t)
+SELECT doc_id, {_sql_trim(_SPACED)} AS text FROM j"""
+)
+def spaced_signs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.spaced_signs(F.col("text")).alias("text"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(generate_series(0, len(k) - 1))::INT AS pos, unnest(k) AS word
+  FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS k FROM conversations)),
+c AS (SELECT conv_id, turn, unnest(generate_series(0, len(k) - 1))::INT AS n, unnest(k) AS letter
+  FROM (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '[^\\p{Latin}\\p{N}\\p{Han}\\p{Hangul}\\p{Hiragana}\\p{Katakana}]', '', 'g'), ''), lambda x: x <> '') AS k FROM conversations))
+SELECT conv_id, turn, n, pos FROM c JOIN w USING (conv_id, turn) WHERE (starts_with(word, letter) OR lower(word) = lower(letter)) AND pos >= 2"""
+)
+def prefix_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    told = rows.select("conv_id", "turn", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("pos", "word"))
+    letters = F.filter(F.split(T.recognizable(F.col("text")), ""), lambda c: c != "")
+    chars = rows.select("conv_id", "turn", F.posexplode(letters).alias("n", "letter"), F.lit(2).alias("reached"))
+    return matching.prefix_matches(chars, told, ["conv_id", "turn"], "letter", "word", "pos", "reached").select("conv_id", "turn", "n", "pos")
+
+
+@query()
+def sentence_word_times(spark, sf_dir):
+    """Words of 0.3 s every 0.4 s; the sentences are those of the whole text, of which every seventh word is another one."""
+
+    def rule(ids, places, texts):
+        timed = matching.TimedWords(texts, [p * 0.4 for p in places], [p * 0.4 + 0.3 for p in places])
+        sentences: dict[int, list[str]] = {}
+        for k, p, w in zip(ids, places, texts, strict=True):
+            sentences.setdefault(k, []).append("another" if p % 7 == 5 else w)
+        times = matching.sentence_times(timed, list(sentences.values()))
+        return [(k, *(t or (None, None))) for k, t in zip(sentences, times, strict=True)]
+
+    return folds.fold(_sentences(spark, sf_dir), ["doc_id"], ["pos"], ["sentence_id", "pos", "word"], rule, "sentence_id long, start double, end double")
