@@ -13,6 +13,7 @@ padded; the few cuts i at such a distance are tried beside the queue.
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 
 import numpy as np
@@ -35,12 +36,12 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, limit: int = 2048)
     n = len(positions)
     p = positions.tolist()
     pen = penalties.tolist()
-    exact: list[list[int]] = [[] for _ in range(n)]
+    exact: dict[int, list[int]] = {}  # cuts at a power of two before a cut
     length = 1
     while length < limit:
         at = np.searchsorted(positions, positions - length)
         for j in np.flatnonzero(positions[np.minimum(at, n - 1)] == positions - length).tolist():
-            exact[j].append(int(at[j]))
+            exact.setdefault(j, []).append(int(at[j]))
         length *= 2
     cost, parent = [0.0] * n, [0] * n
     queue = deque([(0.0, 0)])  # d(i) + p(i), ascending, with i
@@ -50,7 +51,7 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, limit: int = 2048)
             queue.popleft()
         least, best = queue[0]
         least += limit - p[j]
-        for i in exact[j]:
+        for i in exact.get(j, ()):
             if cost[i] <= least:
                 least, best = cost[i], i
         cost[j], parent[j] = least + pen[j], best
@@ -65,16 +66,12 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, limit: int = 2048)
     return cuts[::-1]
 
 
-def sentence_ends(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions after a token that ends a sentence; ends: whether the token of an id does."""
-    return np.flatnonzero(ends[ids]) + 1
-
-
+@functools.cache
 def ending_tokens(path: str) -> np.ndarray:
     """By id, whether the token's text ends with a full stop, question or exclamation mark, or holds a line feed."""
-    tok = vocab.library(path)
-    out = np.zeros(max(tok.get_vocab().values()) + 2, bool)
-    for token, i in tok.get_vocab().items():
+    known = vocab.library(path).get_vocab()
+    out = np.zeros(max(known.values()) + 2, bool)
+    for token, i in known.items():
         out[i] = token.endswith((".", "!", "?")) or "Ċ" in token
     return out
 
@@ -92,24 +89,23 @@ class Packer:
         self.held += len(ids)
 
     def _cuts(self) -> tuple[np.ndarray, np.ndarray]:
-        places, penalties, at = [np.zeros(1, np.int64)], [np.zeros(1)], 0
-        for _, ids, gone in self.docs:
-            inner = sentence_ends(ids[gone:-1], self.ends)
-            own = np.concatenate([inner, [len(ids) - gone]])
-            cost = np.full(len(own), SENTENCE_PENALTY)
-            cost[-1] = 0
-            own, keep = np.unique(own[::-1], return_index=True)
-            cost = cost[::-1][keep]
-            gaps = np.diff(own, prepend=0)
-            if (gaps > LONG_SENTENCE).any():
-                more = np.concatenate([np.arange(e - g + LONG_SENTENCE, e, LONG_SENTENCE) for e, g in zip(own, gaps, strict=True)])
-                own, cost = np.concatenate([own, more]), np.concatenate([cost, np.full(len(more), FORCED_PENALTY)])
-                order = np.argsort(own, kind="stable")
-                own, cost = own[order], cost[order]
-            places.append(own + at)
-            penalties.append(cost)
-            at += len(ids) - gone
-        return np.concatenate(places), np.concatenate(penalties)
+        """Possible cuts over the open parts of the held documents, with their penalties."""
+        parts = [ids[gone:] for _, ids, gone in self.docs]
+        whole = np.concatenate(parts)
+        cut = self.ends[whole]
+        doc_ends = np.cumsum([len(p) for p in parts])
+        cut[doc_ends - 1] = True
+        places = np.flatnonzero(cut) + 1
+        penalties = np.full(len(places), SENTENCE_PENALTY)
+        penalties[np.searchsorted(places, doc_ends)] = 0
+        gaps = np.diff(places, prepend=0)
+        long = gaps > LONG_SENTENCE
+        if long.any():
+            more = np.concatenate([np.arange(e - g + LONG_SENTENCE, e, LONG_SENTENCE) for e, g in zip(places[long], gaps[long], strict=True)])
+            places, penalties = np.concatenate([places, more]), np.concatenate([penalties, np.full(len(more), FORCED_PENALTY)])
+            order = np.argsort(places, kind="stable")
+            places, penalties = places[order], penalties[order]
+        return np.concatenate([[0], places]), np.concatenate([[0.0], penalties])
 
     def rows(self, last: bool):
         if not self.held:

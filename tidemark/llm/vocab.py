@@ -73,11 +73,24 @@ def plain(text: str, path: str) -> bool:
     return SAFE.fullmatch(text) is not None and not any(s in text for s in special_strings(path))
 
 
+@functools.cache
+def byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write a byte: printable ones stand for themselves, the rest follow 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 @functools.cache
 def _byte_encoder(path: str):
     tok = library(path)
-    cache = PieceCache(lambda p: struct.pack(f"<{len(ids := tok.encode(p, add_special_tokens=False).ids)}I", *ids))
-    return tok, BYTE_PIECES.findall, cache
+    merge, letters = tok.model.tokenize, byte_letters()
+
+    def ids_of(piece: str) -> bytes:  # a pre-token needs the library's merges alone
+        ids = [token.id for token in merge(piece.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return tok, BYTE_PIECES.findall, PieceCache(ids_of)
 
 
 def encode_bytes(text: str, path: str) -> bytes:
