@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidemark.plans import parsing, projecting, segmenting  # noqa: F401
+    from tidemark.plans import checking, parsing, projecting, segmenting  # noqa: F401
 
     return QUERIES
 

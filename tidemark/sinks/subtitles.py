@@ -74,3 +74,10 @@ def replaced(values: DataFrame, pairs: dict[str, str]) -> DataFrame:
     for key in sorted(pairs, key=lambda k: (-len(k), k)):
         out = F.replace(out, F.lit(key), F.lit(pairs[key]))
     return values.withColumn("value", out)
+
+
+def json_report(rows: DataFrame, by: str, order: Names, items: Names, name: str) -> DataFrame:
+    """by, value: one JSON object per medium with its version, its key and the given columns of its rows in order."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.struct(*items).alias("__item"))))
+    report = F.struct(F.lit("1").alias("version"), F.col(by).alias("media"), F.transform(parts, lambda p: p["__item"]).alias(name))
+    return rows.groupBy(by).agg(F.to_json(report).alias("value"))
