@@ -126,6 +126,7 @@ def set_table(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n, cls of every row: size of its set and its class, null for an empty set."""
 
     def run(batches):
+        vocab.forget()
         for batch in batches:
             ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [(len(s), class_of(s) if len(s) else None) for s in shingles.text_sets(texts, rule.words)]
@@ -156,6 +157,7 @@ def index(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Rows (route, cls, hot): a class under the key of a block, or with the key and leader it has been given."""
 
     def run(batches):
+        vocab.forget()
         seen: set[int] = set()
         keys, classes, held = [], [], 0
         for batch in batches:

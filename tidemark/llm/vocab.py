@@ -114,6 +114,12 @@ def count_words(text: str, path: str) -> int:
     return sum(map(cache.__getitem__, cut(text.lower())))
 
 
+def forget() -> None:
+    """Give back the memory of encoders that an earlier stage has left in this worker."""
+    for kept in (_byte_encoder, _word_counter, library, special_strings):
+        kept.cache_clear()
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
