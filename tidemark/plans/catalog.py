@@ -24,6 +24,8 @@ def query(sql: str | None = None):
     """Register a query under its name, with its SQL."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

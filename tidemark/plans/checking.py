@@ -58,7 +58,7 @@ def style_faults(spark, sf_dir):
 s AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN floor(w * least(384::DOUBLE / w, 288::DOUBLE / h)) END AS scaled FROM m)
 SELECT event_id, greatest((CASE WHEN scaled >= 1 THEN scaled ELSE 384 END - coalesce(ml, 10) - coalesce(mr, 10)) * 0.92::DOUBLE, coalesce(size, 14)::DOUBLE) AS width FROM s"""
 )
-def line_widths(spark, sf_dir):
+def wrap_widths(spark, sf_dir):
     e = F.col("event_id")
     width = styles.line_width(e * 13 % 2000, e * 29 % 1100, F.when(e % 7 > 0, e % 220), F.when(e % 5 > 0, e % 50), F.when(e % 3 > 0, e % 90))
     return table(spark, sf_dir, "events").select("event_id", width.alias("width"))
