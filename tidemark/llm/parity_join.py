@@ -153,8 +153,11 @@ def _with_leaders(keys: np.ndarray, classes: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(classes[hot]), pairs], schema=INDEX)
 
 
-def index(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Rows (route, cls, hot): a class under the key of a block, or with the key and leader it has been given."""
+def index(docs: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> DataFrame:
+    """Rows (route, cls, hot): a class under the key of a block, or with the key and leader it has been given.
+
+    keys_of(items, rule) gives the keys of a set; those of another scheme than parity blocks may stand in.
+    """
 
     def run(batches):
         vocab.forget()
@@ -165,7 +168,7 @@ def index(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 if not len(items) or (cls := class_of(items)) in seen:
                     continue
                 seen.add(cls)
-                own = block_keys(items, rule)
+                own = keys_of(items, rule)
                 keys.append(own)
                 classes.append(np.full(len(own), cls, np.int64))
                 held += len(own)
@@ -494,9 +497,9 @@ def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least:
     return by_cell(rows, meet, PAIRS, "a long, b long") if pairs else by_cell(rows, meet, DEGREES, "cls long, links long")
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> tuple[DataFrame, DataFrame]:
     """node, comp of the classes that link to another class; the class table."""
-    multi = materialize(shared_blocks(index(docs, rule)), "parity-blocks")
+    multi = materialize(shared_blocks(index(docs, rule, keys_of)), "parity-blocks")
     wanted = multi.select("cls").distinct()
     chosen = materialize(sets.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("chosen_id")), "parity-chosen")
     table = materialize(class_table(docs, chosen, rule), "parity-classes")
@@ -518,11 +521,11 @@ def linked_classes(docs: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> tup
     return comps, table
 
 
-def grouped(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grouped(docs: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The set table; per class of more than one document or with links, cls, comp, copies (its rows), low (its least
     doc_id) and the least doc_id of comp; the classes with links as members of their components, see inside."""
     sets = materialize(set_table(docs, rule), "parity-sets")
-    comps, table = linked_classes(docs, sets, rule)
+    comps, table = linked_classes(docs, sets, rule, keys_of)
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").where("comp is not null or copies > 1")
     classes = classes.withColumn("comp", F.coalesce("comp", "cls"))
@@ -533,14 +536,14 @@ def grouped(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame,
     return sets, groups, members
 
 
-def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def join_documents(docs: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     A null, empty or blank text has an empty set, links with nothing and is its own component. Rows that repeat a
     doc_id are rows of their own; a null doc_id takes part, and gives the component's id only where it has no other.
     Ties fall to the least doc_id. An empty table gives no rows; other columns are ignored.
     """
-    sets, groups, _ = grouped(docs, rule)
+    sets, groups, _ = grouped(docs, rule, keys_of)
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     found = sets.join(groups.select("cls", "component_id", F.lit(True).alias("known")), "cls", "left")
     return found.select(*_joined())
@@ -573,12 +576,12 @@ def linked_pairs(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return inside(members, rule, pairs=True).join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b")
 
 
-def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> DataFrame:
     """The documents without near copies: of each component the row of least doc_id stays, with all its columns.
 
     Rows with an empty set all stay. Of rows that repeat the doc_id which stays, one stays.
     """
-    sets, groups, _ = grouped(docs, rule)
+    sets, groups, _ = grouped(docs, rule, keys_of)
     best = sets.join(groups.select("cls", "comp"), "cls").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "cls")).alias("best"))
     few = groups.count() <= BROADCAST_ROWS
     taken = groups.select("cls", "comp").join(best, "comp").select(F.col("cls").alias("__cls"), F.col("best.cls").alias("__best_cls"), F.col("best.doc_id").alias("__best_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, packing, parity_join, pii, quality, simhash, sstable, token_counts, url_filter
+from tidemark.llm import bpe, exact_dedup, minmax, packing, parity_join, pii, quality, resampling, simhash, spelling, sstable, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,20 @@ def op10_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.groups(_documents(spark, sf_dir))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_parity_join, op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op7_quality, op8_packing, op9_token_counts, op10_sorted_tables)}
+    return {f.__name__: f for f in (op1_parity_join, op2_byte_bpe, op3_url_filter, op4_pii, op5_exact_dedup, op6_simhash, op7_quality, op8_packing, op9_token_counts, op10_sorted_tables, op11_importance_resampling, op12_minmax_dedup, op13_spelling_groups)}
 
 
 #: Digest groups of the documents; null counts as empty.
@@ -71,4 +83,4 @@ FROM documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op3_url_filter": url_filter.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op13_spelling_groups": spelling.ORACLE_SQL}
