@@ -9,7 +9,7 @@ from tidemark.functions import predicates as P
 from tidemark.functions import text as T
 
 BLANK = r"\s\x0b\x{85}\p{Z}"
-#: Share of the font size by class of character; a character counts for the first class it is in, others for 0.62.
+# Share of the font size by class of character; a character counts for the first class it is in.
 CLASSES = ((BLANK, 0.33), (P.CJK, 1.0), (P.THAI, 0.92), (P.WIDE, 0.95), ("A-Z", 0.66), ("a-z", 0.56), ("0-9", 0.56), (r"\p{P}", 0.38))
 OTHER = 0.62
 

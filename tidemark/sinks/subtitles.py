@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions import timecode
+from tidemark.functions import timecode, wrapping
 
 Names = list[str]
 
@@ -54,13 +54,20 @@ def concat_list(pieces: DataFrame, by: Names, order: Names) -> DataFrame:
     return in_order(pieces, by, order, F.concat(F.lit("file '"), name, F.lit(".wav'\n")))
 
 
-def dialogue(blocks: DataFrame, major_tags: str = "", minor_tags: str = "", major_alignment: int = 2, minor_alignment: int = 2) -> DataFrame:
-    """ASS Dialogue rows of blocks(start_ms, end_ms, lines): the first line as Major, a second one below as Minor."""
-    major = F.concat(F.lit(f"{major_tags}{{\\an{major_alignment}}}{{\\rMajor}}"), F.element_at("lines", 1))
+def dialogue(blocks: DataFrame, major_tags: str = "", minor_tags: str = "", major_alignment: int = 2, minor_alignment: int = 2, wrap: wrapping.Line | None = None) -> DataFrame:
+    """ASS Dialogue rows of blocks(start_ms, end_ms, lines): the first line as Major, a second one below as Minor.
+
+    wrap: the first line is wrapped to this width, and blocks in which nothing is left of it go.
+    """
+    first = F.element_at("lines", 1)
+    if wrap:
+        blocks = blocks.withColumn("__first", F.array_join(wrapping.wrapped(first, wrap), "\\N")).where("__first <> ''")
+        first = F.col("__first")
+    major = F.concat(F.lit(f"{major_tags}{{\\an{major_alignment}}}{{\\rMajor}}"), first)
     minor = F.concat(F.lit(f"\\N{minor_tags}{{\\an{minor_alignment}}}{{\\rMinor}}"), F.get("lines", F.lit(1)))
     text = F.concat(major, F.when(F.size("lines") > 1, minor).otherwise(""))
     row = F.concat(F.lit("Dialogue: 0,"), timecode.ass_time(F.col("start_ms")), F.lit(","), timecode.ass_time(F.col("end_ms")), F.lit(",Major,,0,0,0,,"), text)
-    return blocks.where(F.size("lines") > 0).withColumn("dialogue", row)
+    return blocks.where(F.size("lines") > 0).withColumn("dialogue", row).drop("__first")
 
 
 def write_texts(values: DataFrame, path: str) -> None:
