@@ -163,6 +163,31 @@ combined.
     assert (cue.text, cue.start_ms, cue.end_ms) == ("hello there friend", 1000, 3010)
 
 
+def test_rolling_cues_equal_a_plain_version(spark):
+    rng, rows = random.Random(8), []
+    for m in ("a", "b"):
+        for cue in range(90):
+            lines = [" ".join(rng.choice(["go", "On", "on", "then", "the", "n", "Go on then"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([1, 1, 2]))]
+            rows.append((m, cue, f"00:00:{cue // 2:02d}.{cue % 2 * 500:03d}", f"00:01:{cue // 2:02d}.000", lines, rng.random() < 0.4, " ".join(lines)))
+    match = lambda a, b: bool(a and b) and (a in b or b in a or (len(a.split()) > 2 < len(b.split()) and a.lower().split()[:3] == b.lower().split()[:3]))
+    ms = lambda t: int(t[3:5]) * 60_000 + int(t[6:8]) * 1000 + int(t[9:])
+    expected = []
+    for m in ("a", "b"):
+        own, best = [r for r in rows if r[0] == m], {}
+        for i, (_, _, s, e, lines, timed, text) in enumerate(own):
+            if not timed and len(lines) == 1:
+                start = next((p[2] for p in own[:i][::-1] if match(text, p[6])), s)
+                end = next((p[2] for p in own[i + 1 :] if not p[5] and p[4][0] == text), e)
+                if text not in best or ms(end) - ms(start) > best[text][1] - best[text][0]:
+                    best[text] = (ms(start), ms(end), i)
+        cues = sorted((a, i, b, t) for t, (a, b, i) in best.items())
+        for k, (a, _, b, t) in enumerate(cues):
+            following = cues[k + 1][0] if k + 1 < len(cues) else b
+            expected.append((m, t, a, following - 50 if b > following and following - 50 > a else b))
+    frame = spark.createDataFrame(rows, "media string, cue int, start string, end string, lines array<string>, timed boolean, text string")
+    assert sorted(map(tuple, captions.rolling_cues(frame).collect())) == sorted(expected)
+
+
 def test_dash_words(spark):
     js = '{"language":"en","segments":[{"text":"x","words":[{"word":"a—b","start":1.0,"end":2.0},{"word":" c—d—e","start":2.0,"end":4.0}]}],"extra":1}'
     rows = transcripts.words_from_segments(files(spark, js)).orderBy("num").collect()
@@ -225,10 +250,14 @@ def test_lone_quotes(spark):
 
 
 def test_sequence_match(spark):
-    left = spark.createDataFrame([("m", 1, ["b", "c"]), ("m", 2, ["x"])], "media string, id int, wanted array<string>")
-    right = spark.createDataFrame([("m", ["a", "b", "c", "b", "c"])], "media string, words array<string>")
-    (r,) = joins.sequence_matches(left, right, ["media"], "wanted", "words").collect()
-    assert (r.id, r.position) == (1, 1)
+    said = [["Go", "on,", "then"], ["Well,", "go", "on", "then"], ["go", "on", "then"]]
+    words = [("m", s, i, w, 10.0 * s + i, 10.0 * s + i + 0.9) for s, ws in enumerate(said) for i, w in enumerate(ws)]
+    words += [("n", 0, 0, "go", 0.0, 1.0)]
+    blocks = [("m", 1, ["go", "ON"], 9.2, 12.0), ("m", 2, ["'Then.'"], None, None), ("m", 3, ["go", "on", "then"], 20.4, 23.0), ("m", 4, ["go", "on"], 5.0, 6.0), ("m", 5, [], 0.0, 1.0), ("m", 6, ["go", "on"], 10.0, 10.2), ("k", 7, ["go"], None, None)]
+    found = joins.sequence_matches(spark.createDataFrame(blocks, "media string, id int, wanted array<string>, start double, end double"), spark.createDataFrame(words, "media string, sentence int, pos int, word string, start double, end double"), ["media"], "id", "wanted", "sentence", "pos", "word")
+    rows = {r.id: (r.found_in, r.first, r.last, r.first_time, r.last_time) for r in found.collect()}
+    none = (None,) * 5
+    assert rows == {1: (1, 1, 2, 11, 12.9), 2: (0, 2, 2, 2, 2.9), 3: (2, 0, 2, 20, 22.9), 4: none, 5: none, 6: none, 7: none}
 
 
 def test_first_word_at_or_after(spark):

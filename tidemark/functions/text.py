@@ -211,11 +211,16 @@ def valid_translation(origin: Column, translated: Column, lang: Column) -> Colum
     return F.when(t == "", False).when(o == t, special_content(origin)).otherwise(target_script(translated, lang) & sized)
 
 
+def first_words(text: Column, n: int = 3) -> Column:
+    """The first n words in lower case, null with fewer."""
+    found = F.slice(fields(F.lower(text)), 1, n)
+    return F.when(F.size(found) == n, found)
+
+
 def text_match(a: Column, b: Column) -> Column:
-    """Either contains the other, or their first three words are equal, in lower case."""
-    x, y = F.lower(a), F.lower(b)
-    first = lambda c: F.slice(fields(c), 1, 3)
-    return F.contains(x, y) | F.contains(y, x) | ((F.size(first(x)) == 3) & (first(x) == first(y)))
+    """Either contains the other, or their first three words are equal, in lower case; an empty text matches nothing."""
+    heads = F.coalesce(first_words(a) == first_words(b), F.lit(False))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | heads)
 
 
 # Signs that go, and pairs of signs whose content stays as it is.

@@ -337,7 +337,12 @@ def solid(text: str) -> str:
 
 
 def align(sentences: list[str], words: list[tuple[str, float, float]]) -> list[tuple[float, float]]:
-    """Times of sentences one after the other among timed words.
+    """Times of sentences one after the other among timed words."""
+    return align_from(sentences, words, 0.0)[0]
+
+
+def align_from(sentences: list[str], words: list[tuple[str, float, float]], last: float) -> tuple[list[tuple[float, float]], float]:
+    """Times of sentences one after the other among timed words, from a time reached before on, and the time then reached.
 
     A sentence is sought in the words' joined text. The first place whose words lie at or after the time reached gives
     its times; without any place, the words that share a character with it do; without these it has no length. Times
@@ -352,7 +357,7 @@ def align(sentences: list[str], words: list[tuple[str, float, float]]) -> list[t
         end = next((e for _, _, e in reversed(words[:beyond]) if e >= last), None) if beyond else None
         return (start, end) if start is not None and end is not None and start < end else None
 
-    out, last = [], 0.0
+    out = []
     for sentence in sentences:
         wanted, found = solid(sentence), None
         if wanted:
@@ -372,7 +377,7 @@ def align(sentences: list[str], words: list[tuple[str, float, float]]) -> list[t
         out.append((start, end))
         if end - start < 5:
             last = end
-    return out
+    return out, last
 
 
 def match_pieces(piece: str, words: list[str], start: int) -> list[int]:

@@ -47,12 +47,48 @@ def next_equal(rows: DataFrame, by: Names, order: Names, text: str, value: str,
     return rows.withColumn(name, F.lead(value).over(W.partitionBy(*by, text).orderBy(*order)))
 
 
-def sequence_matches(left: DataFrame, right: DataFrame, by: Names, wanted: str, words: str) -> DataFrame:
-    """position (from 0) of the first place where the array `wanted` stands in the array `words`, pairs without left out."""
-    n, m = F.size(wanted), F.size(words)
-    places = F.filter(F.sequence(F.lit(0), m - n), lambda i: F.slice(F.col(words), i + 1, n) == F.col(wanted))
-    met = left.join(right, by).where((n > 0) & (m >= n))
-    return met.withColumn("position", F.get(places, F.lit(0))).where("position is not null")
+#: Signs that words lose at either end before they are compared.
+WORD_SIGNS = "\".,!?;:'"
+#: Words by which a sequence is looked up.
+ANCHOR = 3
+
+
+def word_key(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, f"^[{WORD_SIGNS}]+|[{WORD_SIGNS}]+$", ""))
+
+
+def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str, wanted: str, sentence: str, pos: str, word: str, times: tuple[str, str] = ("start", "end"), early: float = 0.5, late: float = 1.0, slack: float = 0.5) -> DataFrame:
+    """blocks with found_in, first, last, first_time, last_time: where a block's words are said in a row, null if nowhere.
+
+    blocks(by, block: its key, wanted: array of words, start, end), words(by, sentence, pos from 0, word, start, end); both sides compare
+    by word_key. Of the sentences that begin between `early` before and `late` after a block's start, the first is taken
+    in which the block's words stand in a row and overlap the block's time, `slack` aside, at the first such place. A
+    block without times takes the first sentence that says it. A block without words has no match.
+
+    A block is looked up by its first words among the runs of as many words (ANCHOR at most) of all sentences, a timed
+    one under the bucket of its time too, so that only sentences that say its first words are compared with it.
+    """
+    start, end = times
+    keyed = words.select(*by, F.col(sentence).alias("__s"), F.struct(F.col(pos).alias("pos"), word_key(F.col(word)).alias("key"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")).alias("w"))
+    said = keyed.groupBy(*by, "__s").agg(F.array_sort(F.collect_list("w")).alias("__w")).withColumn("__keys", F.col("__w.key")).withColumn("__begin", F.get("__w", F.lit(0))["a"])
+    width = early + late
+    n = F.size("__keys")
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("at"), F.slice("__keys", i + 1, k).alias("run")))).otherwise(F.array().cast("array<struct<at:int,run:array<string>>>"))
+    index = said.select(*by, "__s", "__begin", F.floor(F.col("__begin") / width).alias("__bucket"), F.inline(F.concat(*[runs(k) for k in range(1, ANCHOR + 1)]))).withColumnRenamed("at", "__at").withColumnRenamed("run", "__run")
+    asks = blocks.withColumn("__want", F.transform(wanted, word_key)).where(F.size("__want") > 0).select(*by, F.col(block).alias("__id"), "__want", F.slice("__want", 1, ANCHOR).alias("__run"), F.col(start).cast("double").alias("__a"), F.col(end).cast("double").alias("__b"))
+    timed = asks.where("__a is not null and __b is not null")
+    timed = timed.withColumn("__bucket", F.explode(F.sequence(F.floor((F.col("__a") - early) / width), F.floor((F.col("__a") + late) / width))))
+    timed = timed.join(index, [*by, "__run", "__bucket"]).where((F.col("__begin") >= F.col("__a") - early) & (F.col("__begin") <= F.col("__a") + late))
+    free = asks.where("__a is null or __b is null").join(index.drop("__bucket"), [*by, "__run"])
+    met = timed.drop("__bucket").unionByName(free).join(said.select(*by, "__s", "__w", "__keys"), [*by, "__s"])
+    m = F.size("__want")
+    met = met.where(F.slice("__keys", F.col("__at") + 1, m) == F.col("__want"))
+    first, last = F.get("__w", F.col("__at")), F.get("__w", F.col("__at") + m - 1)
+    overlaps = (first["a"] <= F.col("__b") + slack) & (last["b"] >= F.col("__a") - slack)
+    met = met.where(F.col("__a").isNull() | F.col("__b").isNull() | overlaps)
+    best = met.groupBy(*by, F.col("__id").alias(block)).agg(F.min(F.struct("__s", "__at", first["pos"].alias("first"), last["pos"].alias("last"), first["a"].alias("first_time"), last["b"].alias("last_time"))).alias("__best"))
+    found = blocks.join(best, [*by, block], "left")
+    return found.select(*blocks.columns, F.col("__best.__s").alias("found_in"), *[F.col(f"__best.{c}").alias(c) for c in ("first", "last", "first_time", "last_time")])
 
 
 def shares_character(a: Column, b: Column) -> Column:

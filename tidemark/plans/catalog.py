@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidemark.plans import checking, parsing, projecting, segmenting, wrapping  # noqa: F401
+    from tidemark.plans import captioning, checking, parsing, projecting, segmenting, wrapping  # noqa: F401
 
     return QUERIES
 

@@ -23,19 +23,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+#: Temporary folders by application, for local sessions that name no folder.
+OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set for the session.
+    Only where that is unset, as in tests on one machine, a temporary folder stands in for it, one for each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in OWN_DIRS:
+        OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return OWN_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured streams over timed text."""
