@@ -1,4 +1,4 @@
-"""Queries of the ordered folds; SQL has no plain way to say most of them, so tests hold them against other models."""
+"""Queries of the ordered folds; those that SQL has no plain way to say are held against other models by the tests."""
 
 from __future__ import annotations
 
@@ -7,7 +7,41 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import folds, matching, splitting
 from tidemark.plans.catalog import SENTENCES, _sentences, _sql_trim, query
-from tidemark.plans.inputs import CUES, cues, lines, table
+from tidemark.plans.inputs import CUES, LINES, cues, lines, table
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_PAIRS, _TRIPLES = ([p for p in folds.PHRASES if p.count(" ") == k] for k in (1, 2))
+_EFFECTIVE = "length(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+_ENDED = "({x} <> '' AND contains('。！？.!?…', right({x}, 1)))"
+_MARK = r"[!-/:-@\[-`{{-~\x{{2000}}-\x{{206f}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}]".replace("{{", "{").replace("}}", "}")
+#: comma, semantic and fixed piece of every word: one recursion over the words of a sentence carries all three rules.
+BREAKS = f"""{SENTENCES},
+near AS (SELECT doc_id, sentence_id, pos, word, lower(word) AS low, lead(lower(word)) OVER s AS n1, lead(lower(word), 2) OVER s AS n2, lag(lower(word)) OVER s AS b1
+  FROM sentences WINDOW s AS (PARTITION BY doc_id, sentence_id ORDER BY pos)),
+flags AS (SELECT doc_id, sentence_id, pos, word, low IN {_in(folds.BAD_ENDS)} AS bad, low IN {_in(folds.BREAK_WORDS)} AS brk, right(word, 1) IN {_in(folds.PAUSES)} AS pause, strlen(word) + 1 AS bytes,
+  coalesce(low || ' ' || n1 IN {_in(_PAIRS)}, false) OR coalesce(low || ' ' || n1 || ' ' || n2 IN {_in(_TRIPLES)}, false) AS s1, coalesce(b1 || ' ' || low || ' ' || n1 IN {_in(_TRIPLES)}, false) AS s2 FROM near),
+packed AS (SELECT doc_id, sentence_id, min(pos) AS p0, count(*) AS n, sum({_EFFECTIVE.format(x='word')}) AS eff, list(bad ORDER BY pos) AS bad, list(brk ORDER BY pos) AS brk, list(pause ORDER BY pos) AS pause,
+  list(bytes ORDER BY pos) AS bytes, list(s1 ORDER BY pos) AS s1, list(s2 ORDER BY pos) AS s2 FROM flags GROUP BY ALL),
+walk AS (SELECT *, 0 AS i, 0 AS f, 0 AS f_held, 0 AS f_next, 0 AS m, 0 AS m_held, 0::BIGINT AS m_used, 0 AS m_next, 0 AS c, 0 AS c_held, 0 AS c_next FROM packed
+  UNION ALL SELECT doc_id, sentence_id, p0, n, eff, bad, brk, pause, bytes, s1, s2, i + 1,
+    f_next, CASE WHEN f_close THEN 0 ELSE f_held + 1 END, CASE WHEN f_close THEN f_next + 1 ELSE f_next END,
+    CASE WHEN m_cut AND brk[i + 1] THEN m_next + 1 ELSE m_next END, CASE WHEN m_cut THEN CASE WHEN brk[i + 1] THEN 1 ELSE 0 END ELSE m_held + 1 END,
+    CASE WHEN m_cut THEN CASE WHEN brk[i + 1] THEN bytes[i + 1] ELSE 0 END ELSE m_used + bytes[i + 1] END, CASE WHEN m_cut THEN m_next + 1 ELSE m_next END,
+    c_next, CASE WHEN pause[i + 1] AND c_held >= 2 THEN 0 ELSE c_held + 1 END, CASE WHEN pause[i + 1] AND c_held >= 2 THEN c_next + 1 ELSE c_next END
+  FROM (SELECT *, f_held >= 17 OR (f_held >= 11 AND NOT bad[i + 1] AND (i + 1 = n OR NOT (s1[i + 1] OR (s2[i + 1] AND f_held >= 1)))) OR (i + 1 = n AND f_held < 11) AS f_close,
+    m_held >= 2 AND i + 1 < n AND ((brk[i + 1] AND m_used + bytes[i + 1] >= 60) OR m_used + bytes[i + 1] >= 85) AS m_cut FROM walk WHERE i < n)),
+loose AS (SELECT *, max(CASE WHEN i = n AND f_held > 0 AND f_next > 0 THEN f_next END) OVER w AS f_loose, max(CASE WHEN i = n AND m_held BETWEEN 1 AND 2 AND m_next > 0 THEN m_next END) OVER w AS m_loose,
+  max(c) OVER w AS c_top FROM walk WHERE i > 0 WINDOW w AS (PARTITION BY doc_id, sentence_id)),
+kept AS (SELECT doc_id, sentence_id, p0, n, i, eff, c, c_top, CASE WHEN f = f_loose THEN f - 1 ELSE f END AS f, CASE WHEN m = m_loose THEN m - 1 ELSE m END AS m FROM loose),
+sizes AS (SELECT doc_id, sentence_id, f, count(*) AS k FROM kept GROUP BY ALL),
+joint AS (SELECT doc_id, sentence_id, f, sum(CASE WHEN k > 3 OR f = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sentence_id ORDER BY f) - 1 AS fixed FROM sizes),
+three AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, n, eff, c, c_top, fixed::INT AS fixed,
+  CASE WHEN n <= 5 THEN 0 WHEN max(m) OVER (PARTITION BY doc_id, sentence_id) > 0 THEN m ELSE fixed END::INT AS semantic FROM kept JOIN joint USING (doc_id, sentence_id, f)),
+breaks AS (SELECT doc_id, sentence_id, pos, fixed, semantic, CASE WHEN c_top > 0 THEN c WHEN eff > 70 THEN semantic ELSE 0 END::INT AS comma FROM three)"""
 
 
 def _places(rows):
@@ -27,12 +61,16 @@ def greedy_pack(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", lambda w: folds.pack_by_bytes(w, 20), "piece"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BREAKS} SELECT doc_id, sentence_id, pos, comma AS piece FROM breaks"
+)
 def comma_split(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.comma_breaks, "piece"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BREAKS} SELECT doc_id, sentence_id, pos, fixed AS piece FROM breaks"
+)
 def fixed_split(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.fixed_length, "piece"))
 
@@ -65,7 +103,19 @@ def batch_pack(spark, sf_dir):
     return folds.fold(sizes, ["doc_id"], ["sentence_id"], ["sentence_id", "n"], rule, "sentence_id long, batch int")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS (SELECT conv_id, turn, unnest(generate_series(1, len(x))) AS k, unnest(x) AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS x FROM conversations)),
+t AS (SELECT conv_id, list(line ORDER BY turn, k) AS l FROM p WHERE line <> '' GROUP BY conv_id),
+r AS (SELECT conv_id, l, 0 AS i, '' AS held, []::VARCHAR[] AS given, 0 AS k FROM t
+  UNION ALL SELECT conv_id, l, i + 1, CASE WHEN full_ THEN '' ELSE now END, list_concat(first, CASE WHEN full_ THEN [now] ELSE []::VARCHAR[] END), k + len(given)
+  FROM (SELECT *, length(now) >= 22 OR ({_ENDED.format(x='now')} AND length(now) >= 15) AS full_ FROM (
+    SELECT *, CASE WHEN held = '' OR cuts OR wide THEN line ELSE held || joint || line END AS now, CASE WHEN held = '' THEN []::VARCHAR[] WHEN cuts THEN [held] WHEN wide THEN [held || joint] ELSE []::VARCHAR[] END AS first FROM (
+      SELECT *, {_ENDED.format(x='held')} AND (NOT {_ENDED.format(x='line')} OR length(held) >= 15) AS cuts, length(held) + length(joint) + length(line) > 22 AS wide FROM (
+        SELECT *, l[i + 1] AS line, CASE WHEN {_ENDED.format(x='held')} OR regexp_matches(held, '{_MARK}$') THEN '' ELSE ',' END AS joint FROM r WHERE i < len(l)))))),
+e AS (SELECT conv_id, k + unnest(generate_series(0, len(given) - 1)) AS k, unnest(given) AS line FROM r WHERE len(given) > 0
+  UNION ALL SELECT conv_id, k + len(given), held FROM r WHERE i = len(l) AND held <> '')
+SELECT conv_id, k::INT AS k, line FROM e"""
+)
 def reflow_lines(spark, sf_dir):
     rule = lambda texts: list(enumerate(folds.reflow([x for t in texts for x in (t or "").split("\n") if x], False)))
     return folds.fold(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["text"], rule, "k int, line string")
@@ -97,23 +147,43 @@ def sentence_alignment(spark, sf_dir):
     return folds.fold(_sentences(spark, sf_dir), ["doc_id"], ["pos"], ["sentence_id", "pos", "word"], rule, "sentence_id long, start double, end double")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BREAKS} SELECT doc_id, sentence_id, pos, semantic AS piece FROM breaks"
+)
 def semantic_split(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.semantic_breaks, "piece"))
 
 
-@query()
+@query(
+    f"""WITH {SENTENCES},
+m AS (SELECT *, coalesce(sum((right(word, 1) IN {_in(folds.PAUSES)})::INT) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM sentences),
+z AS (SELECT doc_id, sentence_id, part, (count(*) > 1)::INT AS many FROM m GROUP BY ALL),
+g AS (SELECT *, coalesce(sum(many) OVER (PARTITION BY doc_id, sentence_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(many) OVER (PARTITION BY doc_id, sentence_id) AS every FROM z)
+SELECT doc_id, sentence_id, pos, least(before, greatest(every - 1, 0))::INT AS piece FROM m JOIN g USING (doc_id, sentence_id, part)"""
+)
 def comma_parts(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.comma_parts, "piece"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, t AS (SELECT doc_id, list({_sql_trim('line')} ORDER BY pos) AS l FROM lines GROUP BY doc_id),
+r AS (SELECT doc_id, l, 0 AS i, '' AS held, NULL::VARCHAR AS given, 0 AS k FROM t
+  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN closes THEN '' ELSE now END, CASE WHEN closes THEN now END, CASE WHEN given IS NULL THEN k ELSE k + 1 END
+  FROM (SELECT *, l[i + 1] <> '' AND NOT (coalesce(l[i + 2], '') <> '' AND {_EFFECTIVE.format(x='now')} < 20 AND {_EFFECTIVE.format(x="(now || ' ' || l[i + 2])")} <= 70) AS closes
+    FROM (SELECT *, CASE WHEN l[i + 1] = '' THEN held WHEN held = '' THEN l[i + 1] ELSE held || ' ' || l[i + 1] END AS now FROM r WHERE i < len(l))))
+SELECT doc_id, k, given AS line FROM r WHERE given IS NOT NULL"""
+)
 def merge_short_lines(spark, sf_dir):
     rule = lambda texts: list(enumerate(folds.merge_short(texts, 20, 70)))
     return folds.fold(lines(spark, sf_dir), ["doc_id"], ["pos"], ["line"], rule, "k int, line string")
 
 
-@query()
+@query(
+    f"""WITH {SENTENCES},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id, sentence_id) AS n FROM sentences),
+z AS (SELECT *, CASE WHEN n <= 10 THEN n // 2 + 1 WHEN n <= 15 THEN n // 3 + 1 WHEN n <= 20 THEN n // 4 + 1 WHEN n <= 25 THEN n // 5 + 1 ELSE 5 END AS size FROM o)
+SELECT doc_id, sentence_id, (i // size)::INT AS k, string_agg(word || ' ', '' ORDER BY pos) AS line, min(pos) * 0.4::DOUBLE AS "start", max(pos) * 0.4::DOUBLE + 0.3::DOUBLE AS "end" FROM z GROUP BY doc_id, sentence_id, k"""
+)
 def short_line_times(spark, sf_dir):
     """Words of 0.3 s every 0.4 s, in lines of some five words."""
 
