@@ -204,3 +204,22 @@ def test_roots_follow_a_long_chain(spark):
     chain = [(f"w{i}", f"w{i + 1}") for i in range(37)] + [("x", "y")]
     found = {r.word: r.root for r in spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()}
     assert found == {f"w{i}": "w37" for i in range(37)} | {"x": "y"}
+
+
+# 3: tokens that always come together
+
+
+def test_url_templates_are_one_item(spark):
+    import time
+
+    from tidemark.llm import url_filter
+
+    names = "&".join(f"name{i}=1" for i in range(30))
+    rows = [(i, f"http://a.xyz/go?{names}") for i in range(60)] + [(100 + i, f"http://b.xyz/stay/{i}?{names if i % 2 else 'x=1'}") for i in range(40)]
+    rows += [(200, "http://c.xyz/go?name3=5"), (201, "http://a.xyz/"), (202, "http://c.xyz/other?name3=5"), (203, None)]
+    labels = spark.createDataFrame([(i, i < 60) for i, _ in rows if i < 200], "page_id long, bad boolean")
+    begun = time.perf_counter()
+    found = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert time.perf_counter() - begun < 40
+    assert all(found[i] == "block" for i in range(60)) and all(found[100 + i] == "allow" for i in range(40))
+    assert (found[200], found[201], found[202], found[203]) == ("block", "block", "allow", "allow")

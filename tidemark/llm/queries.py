@@ -23,6 +23,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents stand in for labels of pages, joined by equal number; most labels are the stated verdicts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad)

@@ -54,6 +54,23 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def interchangeable(labelled: DataFrame) -> DataFrame:
+    """token, item: the least of the tokens that stand on the same rows of labelled(tokens).
+
+    Rows are told apart by their token sets, of which two hashes are summed up for each token.
+    """
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("tokens")).cast("decimal(20,0)"))
+    found = labelled.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y"))
+    return found.join(found.groupBy("n", "x", "y").agg(F.min("token").alias("item")), ["n", "x", "y"]).select("token", "item")
+
+
+def folded(token_sets: DataFrame, items: DataFrame) -> DataFrame:
+    """tokens, folded: the distinct sets of token_sets(tokens), and their items; tokens that no item stands for go."""
+    sets = token_sets.select("tokens").distinct()
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("folded"))
+    return sets.join(found, "tokens", "left").select("tokens", F.coalesce("folded", F.array().cast("array<string>")).alias("folded"))
+
+
 def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_confidence=MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence, count) that imply "bad", from labelled(tokens, bad).
 
@@ -87,17 +104,21 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFra
     """page_id, host, path, rule, verdict for every row of pages(page_id, url).
 
     labels(page_id, bad) marks some pages; where a stated rule fits, its verdict is the label instead. Where none fits, a
-    page is blocked if a mined rule matches and allowed otherwise. A null url has empty host and path and is allowed; repeated rows and null page_ids stay as they
-    are; an empty table gives no rows, and without labelled pages nothing is mined. Other columns are ignored.
+    page is blocked if a mined rule matches and allowed otherwise. A null url has empty host and path and is allowed;
+    repeated rows and null page_ids stay as they are; an empty table gives no rows, and without labelled pages nothing is
+    mined. Other columns are ignored.
     """
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     marked = labels.where("bad is not null and page_id is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.bool_or("bad").alias("bad"))
     rows = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens"))
     rows = rows.withColumn("stated", stated(F.col("host"), F.col("path"), rules))
     told = rows.join(marked, "page_id", "left").select("tokens", F.coalesce(F.col("stated.verdict") == "block", "bad").alias("bad"))
-    mined = mine(told.where("bad is not null"), **mining)
-    open_sets = rows.where("stated is null").select("tokens").distinct()
-    blocked = materialize(matches(open_sets, mined), "url-blocked")
+    told = materialize(told.where("bad is not null"), "url-told")
+    items = materialize(interchangeable(told), "url-items")
+    mined = mine(told.join(folded(told, items), "tokens").select(F.col("folded").alias("tokens"), "bad"), **mining)
+    open_sets = materialize(folded(rows.where("stated is null"), items), "url-open")
+    hits = matches(open_sets.select(F.col("folded").alias("tokens")).distinct(), mined).withColumnRenamed("tokens", "folded")
+    blocked = materialize(open_sets.join(hits, "folded").select("tokens"), "url-blocked")
     few = blocked.count() <= BROADCAST_ROWS
     blocked = blocked.withColumn("hit", F.lit(True))
     rows = rows.join(F.broadcast(blocked) if few else blocked, "tokens", "left")
