@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.functions.predicates import VERBS
+
 Names = list[str]
 
 # Words that sentences are cut before, words that none should end with, phrases that stay whole.
@@ -179,6 +181,45 @@ def semantic_breaks(words: list[str], limit: int = 70) -> list[int]:
     return _numbers(sizes) if len(sizes) > 1 else fixed_length(words)
 
 
+# Words that open a new sentence, that may open one where both sides are short enough, that seldom do.
+OPENERS = (
+    "however", "therefore", "moreover", "furthermore", "nonetheless", "meanwhile", "afterwards", "consequently",
+    "additionally", "besides", "similarly", "likewise", "nevertheless", "subsequently", "alternatively", "first", "second",
+    "third", "finally", "lastly", "next", "then", "now", "later", "previously", "although", "though", "whereas", "despite",
+)
+JOINERS = ("and", "but", "or", "so", "because", "since", "when", "while", "if", "unless", "until", "before", "after", "during")
+RELATIVES = ("who", "whom", "whose", "which", "that")
+
+
+def contextual_breaks(words: list[str], limit: int = 70, least: int = 5) -> list[int]:
+    """Cuts before words that open a sentence, in view of what is held and what remains; one group if any has under three.
+
+    An opener cuts once `least` words are there, itself included. A joiner does if the held words have a verb that is not
+    their last and both they and all that remains have at most `limit` letters and digits. A relative pronoun does from
+    twice as many words on, if the held words have a verb and more than `limit`. Counts come from running sums, so that a
+    word costs the same whatever remains.
+    """
+    n = len(words)
+    if n <= 5:
+        return [0] * n
+    low = [w.strip().lower() for w in words]
+    length, verbs = [0, *accumulate(map(effective, words))], [0, *accumulate(w in VERBS for w in low)]
+    cuts, a = [], 0
+    for i, w in enumerate(low[:-1]):
+        held = i - a + 1
+        if held < least or held < 2:
+            continue
+        whole = i - a >= 3 and verbs[i - 1] > verbs[a]
+        before, after = length[i] - length[a], length[n] - length[i]
+        joins = w in JOINERS and whole and max(before, after) <= limit
+        relates = w in RELATIVES and whole and held >= 2 * least and before > limit
+        if w in OPENERS or joins or relates:
+            cuts.append(i)
+            a = i
+    sizes = [b - a for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+    return _numbers(sizes) if min(sizes) >= 3 else [0] * n
+
+
 def comma_breaks(words: list[str], limit: int = 70, least: int = 3) -> list[int]:
     """Cuts after a comma or semicolon once three words are held; without a cut, semantic breaks if the text is too long."""
     sizes, held = [], 0

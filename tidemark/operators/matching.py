@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 Names = list[str]
 #: A word's number, start and end; a token without a word has the number 0 and no length at 0.
@@ -102,3 +105,37 @@ def sentence_times(words: TimedWords, sentences: list[list[str]]) -> list[tuple[
         out.append(found[:2] if kept else None)
         last = found[2] if kept else last
     return out
+
+
+def indel_distance(a: str, b: str) -> int:
+    """Characters to insert or delete to make one text of the other; a replaced one counts twice.
+
+    The longest common subsequence comes from a row of bits for all places of `b` at once, one step a character of `a`.
+    """
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(b)) - 1
+    row = every
+    for c in a:
+        met = row & places.get(c, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) + len(b) - 2 * (len(b) - row.bit_count())
+
+
+@F.pandas_udf(LongType())
+def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel_distance(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def closest_run(words: DataFrame, wanted: DataFrame, by: Names, order: Names, num: str, text: str, target: str) -> DataFrame:
+    """by, first, last, distance: of each group's runs of words with consecutive numbers the one whose joined text is
+    nearest to wanted(by, target) by indel_distance, the first of equals. Groups without words or target are left out."""
+    w = W.partitionBy(*by).orderBy(*order)
+    run = F.sum(F.when(F.col(num) == F.lag(num).over(w) + 1, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    part = F.struct(*order, F.coalesce(text, F.lit("")).alias("__t"))
+    runs = words.withColumn("__run", run).groupBy(*by, "__run").agg(F.array_sort(F.collect_list(part)).alias("__p"), F.min(F.struct(*order, F.col(num).alias("n"))).alias("__a"), F.max(F.struct(*order, F.col(num).alias("n"))).alias("__b"))
+    joined = F.array_join(F.transform("__p", lambda p: p["__t"]), "")
+    met = runs.join(wanted.where(F.col(target).isNotNull()).select(*by, F.col(target).alias("__target")), by)
+    met = met.select(*by, "__run", F.col("__a.n").alias("first"), F.col("__b.n").alias("last"), _indel(joined, F.col("__target")).alias("distance"))
+    return met.groupBy(*by).agg(F.min(F.struct("distance", "__run", "first", "last")).alias("b")).select(*by, "b.first", "b.last", "b.distance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import DOUBLE_QUOTES
 from tidemark.operators.folds import effective, merge_short
 
+#: English words of two letters that are no country's ending: a sentence that begins with one right after a dot is cut off.
+#: The other pairs of letters count as endings, in place of a table of them; a caller may bring one, see kept_patterns.
+TWO_LETTER_WORDS = ("ah", "eh", "go", "ha", "he", "hi", "if", "oh", "of", "ok", "on", "or", "ow", "ox", "up", "we", "ya", "yo")
 # What stays whole, in this order. Digits, letters and boundaries are ASCII.
 KEPT = (
     r"\b\d+\.[a-zA-Z]",
-    r"\b[a-zA-Z0-9-]+\.(?:com|org|net|edu|gov|mil|int|[a-z]{2})\b",
+    r"\b[a-zA-Z0-9-]+\.(?:com|org|net|edu|gov|mil|int|(?!WORDS)[a-z]{2})\b",
     r"(?i:\b[ap]\.m\.)",
     r"\b\d{1,2}[:\.]\d{2}[\t\n\f\r ]*(?:[ap]\.?m\.?|AM|PM)?\b",
     r"\b\d+\.\d+\b",
@@ -26,17 +30,24 @@ KEPT = (
     r"\b[a-zA-Z]\.[\t\n\f\r ]",
 )
 SENTENCE_MARKS, CLAUSE_MARKS = ".!?。！？；\n\r", ".!?。！？；,，;\n\r"
-_KEPT = [re.compile(p, re.ASCII) for p in KEPT]
+
+
+def kept_patterns(endings: Sequence[str] | None = None) -> list[re.Pattern]:
+    """KEPT, compiled; endings: the countries' endings, else all pairs of letters but TWO_LETTER_WORDS."""
+    pair = f"(?!(?:{'|'.join(TWO_LETTER_WORDS)})\\b)[a-z]{{2}}" if endings is None else "|".join(endings) or "(?!)"
+    return [re.compile(p.replace("(?!WORDS)[a-z]{2}", pair), re.ASCII) for p in KEPT]
+
+
+_KEPT = kept_patterns()
 _CUT = {marks: re.compile(f"(?<=[{marks}])(?![{marks}])") for marks in (SENTENCE_MARKS, CLAUSE_MARKS)}
 _SIGN = "\ue000"
 _STAND_IN = re.compile(f"{_SIGN}([0-9]+){_SIGN}")
 
 
-def protect(text: str) -> tuple[str, list[str]]:
-    """The text with a numbered stand-in for each part that stays whole, and these parts.
+def protect(text: str, patterns: list[re.Pattern] = _KEPT) -> tuple[str, list[str]]:
+    """The text with a numbered stand-in for each part that stays whole, and these parts; patterns: see kept_patterns.
 
-    A country ending is any two lower-case letters, not a table of them. A text that has the stand-ins' private sign
-    already loses the sign.
+    A text that has the stand-ins' private sign already loses the sign.
     """
     parts: list[str] = []
 
@@ -45,7 +56,7 @@ def protect(text: str) -> tuple[str, list[str]]:
         return f"{_SIGN}{len(parts) - 1}{_SIGN}"
 
     text = text.replace(_SIGN, "")
-    for pattern in _KEPT:
+    for pattern in patterns:
         text = pattern.sub(stand_in, text)
     return text, parts
 
@@ -59,13 +70,13 @@ def cut(text: str, marks: str) -> list[str]:
     return [p for p in (x.strip() for x in _CUT[marks].split(text)) if p]
 
 
-def split_text(text: str | None, most: int = 70) -> list[str]:
+def split_text(text: str | None, most: int = 70, patterns: list[re.Pattern] = _KEPT) -> list[str]:
     """Sentences; one of `most` letters and digits or more is cut into clauses, of which short ones are joined again.
 
     A stand-in counts with the digits of its number. A quotation mark alone joins the sentence before it, and goes where
     there is none. Null, empty and blank texts have no sentence.
     """
-    held, parts = protect(text or "")
+    held, parts = protect(text or "", patterns)
     out: list[str] = []
     for sentence in cut(held, SENTENCE_MARKS):
         pieces = [sentence] if effective(sentence) < most else merge_short(cut(sentence, CLAUSE_MARKS), 20, most)
@@ -77,11 +88,12 @@ def split_text(text: str | None, most: int = 70) -> list[str]:
     return out
 
 
-def protected_sentences(text: Column, most: int = 70) -> Column:
-    """split_text as a column: an array of strings."""
+def protected_sentences(text: Column, most: int = 70, endings: Sequence[str] | None = None) -> Column:
+    """split_text as a column: an array of strings; endings: of countries' host names, see kept_patterns."""
+    patterns = kept_patterns(endings)
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, most))
+        return texts.map(lambda t: split_text(t, most, patterns))
 
     return split(text)

@@ -240,3 +240,18 @@ def invalid_plan(chunks: DataFrame, by: Names, order: Names, start: str, end: st
     before = F.coalesce(F.lag(end).over(_w(by, order)), F.lit(0.0))
     reason = F.when(F.col(start) < before, "starts before previous end").when(F.col(end) <= F.col(start), "end not after start").when(~(F.col(speed) > 0) | F.isnan(speed) | (F.col(speed) == float("inf")), "speed not positive and finite")
     return chunks.withColumn("reason", reason).where("reason is not null")
+
+
+# How much of a segment's share each of its steps is, and the range that all segments share.
+STEP_WEIGHTS = {"split": 0.1, "transcribe": 0.4, "translate": 0.5}
+FROM_PERCENT, TO_PERCENT = 15.0, 90.0
+
+
+def progress(steps: DataFrame, by: Names, order: Names, step: str, segments: str) -> DataFrame:
+    """steps with percent: the whole percentage reached once a step is done, of so many segments with three steps each.
+
+    A step that is none of STEP_WEIGHTS moves nothing. Shares are added up as thousandths, so that no sum is rounded.
+    """
+    weight = F.coalesce(*[F.when(F.col(step) == name, round(w * 1000)) for name, w in STEP_WEIGHTS.items()], F.lit(0))
+    done = F.sum(weight).over(_w(by, order).rowsBetween(W.unboundedPreceding, 0))
+    return steps.withColumn("percent", F.floor(FROM_PERCENT + done * (TO_PERCENT - FROM_PERCENT) / (F.col(segments) * 1000)).cast("int"))

@@ -264,3 +264,37 @@ def sentence_word_times(spark, sf_dir):
         return [(k, *(t or (None, None))) for k, t in zip(sentences, times, strict=True)]
 
     return folds.fold(_sentences(spark, sf_dir), ["doc_id"], ["pos"], ["sentence_id", "pos", "word"], rule, "sentence_id long, start double, end double")
+
+
+@query(
+    f"""WITH RECURSIVE {SENTENCES},
+kinds AS (SELECT *, lower(word) IN {_in(folds.OPENERS)} AS o, lower(word) IN {_in(folds.JOINERS)} AS j, lower(word) IN {_in(folds.RELATIVES)} AS r, lower(word) IN {_in(folds.VERBS)} AS v, {_EFFECTIVE.format(x='word')} AS e FROM sentences),
+held AS (SELECT doc_id, sentence_id, min(pos) AS p0, count(*) AS n, list(o ORDER BY pos) AS o, list(j ORDER BY pos) AS j, list(r ORDER BY pos) AS r, list(v ORDER BY pos) AS v, list(e ORDER BY pos) AS e FROM kinds GROUP BY ALL),
+walk AS (SELECT *, 0 AS i, 1 AS a, 0 AS piece FROM held
+  UNION ALL SELECT doc_id, sentence_id, p0, n, o, j, r, v, e, i + 1, CASE WHEN cuts THEN i + 1 ELSE a END, CASE WHEN cuts THEN piece + 1 ELSE piece END
+  FROM (SELECT *, n > 5 AND i + 1 < n AND i + 2 - a >= 5 AND (o[i + 1] OR (whole AND j[i + 1] AND list_sum(e[a:i]) <= 70 AND list_sum(e[i + 1:n]) <= 70) OR (whole AND r[i + 1] AND i + 2 - a >= 10 AND list_sum(e[a:i]) > 70)) AS cuts
+    FROM (SELECT *, i + 1 - a >= 3 AND list_contains(v[a:i - 1], true) AS whole FROM walk WHERE i < n))),
+sized AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, piece, count(*) OVER (PARTITION BY doc_id, sentence_id, piece) AS k FROM walk WHERE i > 0)
+SELECT doc_id, sentence_id, pos, CASE WHEN min(k) OVER (PARTITION BY doc_id, sentence_id) >= 3 THEN piece ELSE 0 END::INT AS piece FROM sized"""
+)
+def contextual_split(spark, sf_dir):
+    return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.contextual_breaks, "piece"))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT conv_id, turn, unnest(range(len(k)))::INT AS pos, unnest(k) AS word FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS k FROM conversations)),
+g AS (SELECT conv_id, turn, string_agg(word, '' ORDER BY pos) FILTER (pos BETWEEN 3 AND 6) || 'x' AS target FROM w GROUP BY ALL HAVING target IS NOT NULL),
+r AS (SELECT conv_id, turn, pos // 4 AS run, min(pos) AS first, max(pos) AS last, string_agg(word, '' ORDER BY pos) AS text FROM w WHERE pos % 4 <> 3 GROUP BY ALL),
+t AS (SELECT conv_id, turn, run, first, last, string_split(text, '') AS a, string_split(target, '') AS b FROM r JOIN g USING (conv_id, turn)),
+d AS (SELECT *, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) AS row_ FROM t
+  UNION ALL SELECT conv_id, turn, run, first, last, a, b, i + 1, list_prepend(0::BIGINT, list_transform(range(1, len(b) + 1), lambda y: list_max(c[1:y])))
+  FROM (SELECT *, list_transform(range(1, len(b) + 1), lambda x: greatest(row_[x + 1], CASE WHEN a[i + 1] = b[x] THEN row_[x] + 1 ELSE 0 END)) AS c FROM d WHERE i < len(a)))
+SELECT conv_id, turn, first, last, (len(a) + len(b) - 2 * row_[len(b) + 1])::BIGINT AS distance FROM d WHERE i = len(a)
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY distance, run) = 1"""
+)
+def closest_run(spark, sf_dir):
+    """Words of a turn but each fourth are runs of three; the text sought is that of its fourth to seventh word and an x."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("pos", "word"))
+    some = rows.where("pos between 3 and 6").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p"))
+    wanted = some.select("conv_id", "turn", F.concat(F.array_join(F.transform("p", lambda x: x["word"]), ""), F.lit("x")).alias("target"))
+    return matching.closest_run(rows.where("pos % 4 <> 3"), wanted, ["conv_id", "turn"], ["pos"], "pos", "word", "target")

@@ -48,6 +48,33 @@ def interleaved(blocks: DataFrame, shorts: DataFrame, by: Names) -> DataFrame:
     return rows.select(*by, "idx", "start_ms", "end_ms", "text")
 
 
+def segment_files(blocks: DataFrame, shorts: DataFrame, by: Names, target_first: bool = True) -> DataFrame:
+    """by, file, value: the three files of a segment from one pass over its blocks.
+
+    blocks(by, idx, start_ms, end_ms, origin, target), shorts(by, idx, part, start_ms, end_ms, origin). `bilingual` has
+    each block under its own number with both languages; `mixed` each block's target and then its short origin lines;
+    `short` these lines alone. The last two are numbered anew from 1, by the parts of the blocks before. write_texts puts
+    each file under its own folder.
+    """
+    times = lambda a, b: timecode.srt_line(timecode.srt_from_millis(a), timecode.srt_from_millis(b))
+    entry = lambda number, time, *lines: F.concat(number.cast("string"), F.lit("\n"), time, F.lit("\n"), *[x for line in lines for x in (line, F.lit("\n"))], F.lit("\n"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    parts = shorts.groupBy(*by, "idx").agg(F.array_sort(F.collect_list(F.struct("part", times(F.col("start_ms"), F.col("end_ms")).alias("time"), text(F.col("origin")).alias("line")))).alias("__parts"))
+    rows = blocks.join(parts, [*by, "idx"], "left").withColumn("__parts", F.coalesce("__parts", F.array().cast(parts.schema["__parts"].dataType)))
+    before = W.partitionBy(*by).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__place", F.row_number().over(W.partitionBy(*by).orderBy("idx"))).withColumn("__gone", F.coalesce(F.sum(F.size("__parts")).over(before), F.lit(0)))
+    time, both = times(F.col("start_ms"), F.col("end_ms")), [text(F.col("target")), text(F.col("origin"))]
+    lines = lambda start: F.array_join(F.transform("__parts", lambda p, i: entry(start + i, p["time"], p["line"])), "")
+    place = F.col("__place") + F.col("__gone")
+    files = {
+        "bilingual": entry(F.col("idx"), time, *(both if target_first else both[::-1])),
+        "mixed": F.concat(entry(place, time, both[0]), lines(place + 1)),
+        "short": lines(F.col("__gone") + 1),
+    }
+    each = rows.select(*by, "idx", F.explode(F.array(*[F.struct(F.lit(name).alias("file"), value.alias("__v")) for name, value in files.items()])).alias("f")).select(*by, "idx", "f.*")
+    return in_order(each, [*by, "file"], ["idx"], F.col("__v"))
+
+
 def concat_list(pieces: DataFrame, by: Names, order: Names) -> DataFrame:
     """The list of audio files to join: file lines for silences and chunks in order."""
     name = F.when(F.col("piece") == "silence", F.concat(F.lit("silence_chunk_"), F.col("chunk_id").cast("string"))).otherwise(F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string")))
