@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import folds, matching, splitting
+from tidemark.operators import folds, grouping, matching, splitting
 from tidemark.plans.catalog import SENTENCES, _sentences, _sql_trim, query
-from tidemark.plans.inputs import CUES, LINES, cues, lines, table
+from tidemark.plans.inputs import CUES, LINES, cues, lines, table, words
 
 
 def _in(words) -> str:
@@ -298,3 +298,20 @@ def closest_run(spark, sf_dir):
     some = rows.where("pos between 3 and 6").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p"))
     wanted = some.select("conv_id", "turn", F.concat(F.array_join(F.transform("p", lambda x: x["word"]), ""), F.lit("x")).alias("target"))
     return matching.closest_run(rows.where("pos % 4 <> 3"), wanted, ["conv_id", "turn"], ["pos"], "pos", "word", "target")
+
+
+_LONG = "list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')))) > 70 AND len(w) > 1 AND len(path) < 5"
+
+
+@query(
+    f"""WITH RECURSIVE {BREAKS},
+pieces AS (SELECT b.doc_id, b.sentence_id, CASE WHEN p.eff > 70 THEN comma ELSE 0 END AS piece, list(word ORDER BY b.pos) AS w, min(b.pos) AS start FROM breaks b JOIN sentences s USING (doc_id, sentence_id, pos) JOIN packed p USING (doc_id, sentence_id) GROUP BY ALL),
+parts AS (SELECT doc_id, sentence_id, piece, start, []::INT[] AS path, w FROM pieces
+  UNION ALL SELECT doc_id, sentence_id, piece, start, list_append(path, k), CASE WHEN k = 0 THEN w[1:(len(w) + 1) // 2] ELSE w[(len(w) + 1) // 2 + 1:len(w)] END FROM (SELECT *, unnest([0, 1]) AS k FROM parts WHERE {_LONG})),
+leaves AS (SELECT *, array_to_string(w, ' ') AS text, array_to_string(w, ' ') IN ('"', '“', '”', '') AND row_number() OVER o > 1 AS alone FROM parts WHERE NOT ({_LONG}) WINDOW o AS (PARTITION BY doc_id ORDER BY sentence_id, piece, path)),
+numbered AS (SELECT *, sum((NOT alone)::INT) OVER (PARTITION BY doc_id ORDER BY sentence_id, piece, path) AS k FROM leaves)
+SELECT doc_id, string_agg(text, ' ' ORDER BY sentence_id, piece, path) AS text, arg_min(start, (sentence_id, piece, path)) AS start FROM numbered GROUP BY doc_id, k"""
+)
+def grouped_sentences(spark, sf_dir):
+    """Over-long parts are cut into halves, five times at most."""
+    return grouping.grouped_sentences(words(spark, sf_dir), ["doc_id"], ["pos"], "word", grouping.halves).select("doc_id", "text", "start")
