@@ -293,6 +293,17 @@ def pack_batches(sizes: list[int], most: int = 10) -> list[int]:
     return out
 
 
+def pack_blocks(sizes: list[int], most: int = 10) -> list[tuple[int, int, int, int]]:
+    """Sentence, batch, first block and number of blocks: as pack_batches, with one of over `most` blocks cut into batches
+    of its own."""
+    out, shift = [], 0
+    for i, (k, n) in enumerate(zip(pack_batches(sizes, most), sizes, strict=True)):
+        for j in range(0, n, most):
+            out.append((i, k + shift, j, min(most, n - j)))
+            shift += j + most < n
+    return out
+
+
 END_MARKS = "。！？.!?…"
 MARK = re.compile(r"[!-/:-@\[-`{-~\u2000-\u206f\u3000-\u303f\uff00-\uffef]$")
 

@@ -92,9 +92,13 @@ def parse_vtt_blocks(spark, sf_dir):
     return captions.block_captions(_vtt_files(spark, sf_dir)).select("media", "start", "end", "timed", "text")
 
 
-@query("SELECT DISTINCT user_id AS media, count(*) OVER (PARTITION BY user_id) <> 0 AS word_level FROM events")
+@query("SELECT DISTINCT user_id AS media, user_id % 3 = 2 OR (user_id % 3 = 1 AND user_id % 40 * 5 + 4 < 100) AS word_level FROM events")
 def detect_vtt(spark, sf_dir):
-    return captions.has_word_times(_vtt_files(spark, sf_dir))
+    """A third of the files have no inline times, in a third they come after up to 195 lines of notes."""
+    kind, notes = F.col("media") % 3, F.repeat(F.lit("NOTE\n"), (F.col("media") % 40 * 5).cast("int"))
+    bare = F.regexp_replace("value", captions.INLINE, " ")
+    files = _vtt_files(spark, sf_dir).withColumn("value", F.when(kind == 0, bare).when(kind == 1, F.concat(notes, "value")).otherwise(F.col("value")))
+    return captions.has_word_times(files)
 
 
 def _json_files(spark, sf_dir):

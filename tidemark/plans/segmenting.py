@@ -195,7 +195,7 @@ def short_line_times(spark, sf_dir):
     return folds.fold(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], ["pos", "word"], rule, "k int, line string, start double, end double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BREAKS} SELECT doc_id, sentence_id, comma AS piece, min(pos)::INT AS "first", max(pos)::INT AS "last" FROM breaks GROUP BY ALL""")
 def piece_words(spark, sf_dir):
     """Each comma piece of a sentence, sought among its words from the last word matched on."""
 
@@ -315,3 +315,21 @@ SELECT doc_id, string_agg(text, ' ' ORDER BY sentence_id, piece, path) AS text,
 def grouped_sentences(spark, sf_dir):
     """Over-long parts are cut into halves, five times at most."""
     return grouping.grouped_sentences(words(spark, sf_dir), ["doc_id"], ["pos"], "word", grouping.halves).select("doc_id", "text", "start")
+
+
+@query(
+    f"""WITH RECURSIVE {SENTENCES},
+z AS (SELECT doc_id, sentence_id, count(*) AS n FROM sentences GROUP BY ALL),
+s AS (SELECT doc_id, list(n ORDER BY sentence_id) AS n FROM z GROUP BY doc_id),
+r AS (SELECT doc_id, n, 0 AS i, 0 AS take, 0::BIGINT AS batch, 0::BIGINT AS used FROM s
+  UNION ALL SELECT doc_id, n, i + take, t, batch + used, CASE WHEN t = 1 THEN (n[i + take + 1] + 9) // 10 ELSE 1 END FROM (SELECT *, CASE WHEN i + take + 3 <= len(n) AND n[i+take+1] + n[i+take+2] + n[i+take+3] <= 10 THEN 3
+      WHEN i + take + 2 <= len(n) AND n[i+take+1] + n[i+take+2] <= 10 THEN 2 ELSE 1 END AS t FROM r WHERE i + take < len(n))),
+e AS (SELECT doc_id, n, i, take, batch, used, unnest(range(take)) AS k FROM r WHERE take > 0),
+f AS (SELECT *, unnest(range(CASE WHEN take = 1 THEN used ELSE 1 END)) AS j FROM e)
+SELECT doc_id, (i + k)::BIGINT AS sentence_id, (batch + j)::INT AS batch, (j * 10)::INT AS first_block, least(10, n[i + k + 1] - j * 10)::INT AS blocks FROM f"""
+)
+def batch_slices(spark, sf_dir):
+    """A sentence's words stand for its blocks; sentences of over ten are met and cut."""
+    sizes = _sentences(spark, sf_dir).groupBy("doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("n"))
+    rule = lambda ids, n: [(ids[i], k, j, m) for i, k, j, m in folds.pack_blocks(n)]
+    return folds.fold(sizes, ["doc_id"], ["sentence_id"], ["sentence_id", "n"], rule, "sentence_id long, batch int, first_block int, blocks int")
