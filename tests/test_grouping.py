@@ -5,8 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import folds, grouping, matching, splitting, windows
 from tidemark.sinks import subtitles
+from tidemark.sources import captions
 
 
 def test_contextual_breaks():
@@ -82,3 +84,46 @@ def test_country_endings():
     assert split("See example.fr today.") == ["See example.fr today."]
     assert split("See example.fr today.", endings=["uk"]) == ["See example.", "fr today."]
     assert split("See example.com today.", endings=[]) == ["See example.com today."]
+
+
+def test_task_names(spark):
+    cases = {
+        "https://x.org/watch?t=3&v=abcDEF": "abcDEF", "https://x.org/watch?v=&t=1": "task", "https://x.org/video/BV1 xx/?p=1": "BV1xx", "local:/data/some very long file name.mp4": "someverylongfile",
+        " https://x.org ": "https:__x_org", "https://x.org/": "task", "": "task", None: "task", "https://x.org/a.b/con": "_con", "x?u=v=1": "x",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "address string, name string")
+    assert [r for r in rows.withColumn("found", T.task_name(F.col("address"))).collect() if r.found != r.name] == []
+
+
+def test_first_caption_file_of_a_folder(spark):
+    files = [("f/b.vtt", "2"), ("f/a.VTT", "1"), ("f/0.srt", "x"), ("g/h/z.vtt", "3"), ("e/x.txt", "y")]
+    found = captions.first_caption_files(spark.createDataFrame(files, "media string, value string"))
+    assert sorted(map(tuple, found.collect())) == [("f", "f/a.VTT", "1"), ("g/h", "g/h/z.vtt", "3")]
+
+
+def test_smart_breaks():
+    words = [f"w{i}" for i in range(12)]
+    starts = [i + (2.0 if i >= 5 else 0.0) for i in range(12)]
+    assert folds.smart_breaks(words, starts, [s + 0.9 for s in starts]) == [0] * 5 + [1] * 7
+    steady = [float(i) for i in range(12)]
+    assert folds.smart_breaks(words, steady, [s + 0.9 for s in steady]) == folds.fixed_length(words)
+    assert folds.smart_breaks([], [], []) == []
+    many = [f"w{i}" for i in range(230)]
+    found = folds.smart_breaks(many, [float(i) for i in range(230)], [i + 0.9 for i in range(230)])
+    assert found == sorted(found) and found[49] != found[50] and found[199] != found[200] and len(found) == 230
+
+
+def test_scratch_folder_without_a_setting():
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    made = lambda master, app: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master, applicationId=app))
+    one, other = session.shared_dir(made("local[4]", "app-1")), session.shared_dir(made("local[4]", "app-2"))
+    assert one != other and one == session.shared_dir(made("local[4]", "app-1")) and one.startswith("file:///")
+    try:
+        session.shared_dir(made("spark://x", "app-3"))
+    except ValueError:
+        return
+    raise AssertionError("a cluster without a shared folder was taken")

@@ -259,3 +259,28 @@ def ass_colour(colour: Column) -> Column:
 def fill_template(template: str, values: dict[str, Column]) -> Column:
     """Each {{key}} replaced."""
     return reduce(lambda c, kv: F.replace(c, F.lit("{{" + kv[0] + "}}"), kv[1]), values.items(), F.lit(template))
+
+
+#: Characters of an address that the name of its task keeps.
+TASK_CHARACTERS = 16
+
+
+def task_name(address: Column) -> Column:
+    """A name for the task of an address: its parameter v, else the last part of its path, else all of it, made safe.
+
+    Blanks go, 16 characters stay, and where nothing is left it is "task". Percent signs are not decoded.
+    """
+    whole = trim(F.coalesce(address, F.lit("")))
+    asked = F.regexp_extract(whole, r"(?s)^[^?#]*\?(?:[^#]*&)?v=([^&#]*)", 1)
+    has = whole.rlike(r"(?s)^[^?#]*\?(?:[^#]*&)?v=")
+    path = F.regexp_extract(whole, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    last = F.element_at(F.split(F.regexp_replace(path, "^/+|/+$", ""), "/"), -1)
+    found = F.when(has, asked).when(path != "", last).otherwise(whole)
+    short = F.substring(F.replace(found, F.lit(" "), F.lit("")), 1, TASK_CHARACTERS)
+    safe = safe_name(F.when(trim(short) == "", F.lit("task")).otherwise(short))
+    return F.when(safe == "", F.lit("task")).otherwise(safe)
+
+
+def task_id(address: Column, key: Column) -> Column:
+    """task_name with a suffix of eight hexadecimal digits that the key fixes, so that a task run again keeps its id."""
+    return F.concat(task_name(address), F.lit("_"), F.substring(F.sha2(key.cast("string"), 256), 1, 8))

@@ -268,6 +268,41 @@ def gap_breaks(starts: list[float], ends: list[float], gap: float = 0.8, least:
     return _numbers(sizes)
 
 
+def _groups(numbers: list[int]) -> list[tuple[int, int]]:
+    """First place and place beyond of each group of equal numbers in a row."""
+    cuts = [i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]]
+    return list(zip([0, *cuts], [*cuts, len(numbers)], strict=True)) if numbers else []
+
+
+def smart_breaks(words: list[str], starts: list[float], ends: list[float], gap: float = 0.8, rough: float = 0.5, large: int = 200, chunk: int = 50) -> list[int]:
+    """Contextual breaks, without any those at gaps in time, without these by fixed length.
+
+    More than `large` words are first cut at gaps of `rough`, without any into chunks of `chunk` words, and each part is
+    broken by itself; there, gaps that would leave under three words are not used.
+    """
+
+    def strategies(a: int, b: int, layered: bool) -> list[int]:
+        ws = words[a:b]
+        found = contextual_breaks(ws)
+        if found[-1:] > [0]:
+            return found
+        found = gap_breaks(starts[a:b], ends[a:b], gap)
+        if found[-1:] > [0] and not (layered and min(y - x for x, y in _groups(found)) < 3):
+            return found
+        return fixed_length(ws)
+
+    n = len(words)
+    if n <= large:
+        return strategies(0, n, False) if n else []
+    parts = gap_breaks(starts, ends, rough)
+    parts = parts if parts[-1] else [i // chunk for i in range(n)]
+    out: list[int] = []
+    for a, b in _groups(parts):
+        base = out[-1] + 1 if out else 0
+        out += [base + k for k in strategies(a, b, True)]
+    return out
+
+
 def merge_short(parts: list[str], least: int, most: int) -> list[str]:
     """Parts joined with the next while of under `least` letters and digits, if both together have at most `most`."""
     out, held = [], ""

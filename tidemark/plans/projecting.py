@@ -402,3 +402,17 @@ def prefix_join(spark, sf_dir):
     tokens = rows.where((F.col("pos") % 10 == 0) & (F.char_length("word") >= 2)).select("doc_id", F.expr("pos div 10").alias("sentence"), F.substring("word", 1, 2).alias("head"), F.expr("pos div 10 * 10").alias("at"))
     met = joins.prefixed_at_or_after(tokens, rows.where("pos % 10 < 3"), ["doc_id"], "head", "word", "at", "pos", 2)
     return met.groupBy("doc_id", "sentence").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '?a=1&v=' || page_id || ' x' WHEN 1 THEN ' a name with blanks ' WHEN 2 THEN '  ' WHEN 3 THEN 'http://host.' || page_id ELSE url END AS u FROM pages),
+t AS (SELECT page_id, {_sql_trim('u')} AS u FROM u),
+p AS (SELECT *, regexp_matches(u, '(?s)^[^?#]*\\?(?:[^#]*&)?v=') AS has, regexp_extract(u, '(?s)^[^?#]*\\?(?:[^#]*&)?v=([^&#]*)', 1) AS v, regexp_extract(u, '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path FROM t),
+l AS (SELECT page_id, left(replace(CASE WHEN has THEN v WHEN path <> '' THEN string_split(trim(path, '/'), '/')[-1] ELSE u END, ' ', ''), 16) AS s FROM p),
+f AS (SELECT page_id, {_sql_trim("regexp_replace(replace(CASE WHEN " + _sql_trim('s') + " = '' THEN 'task' ELSE s END, '.', '_'), '[/\\[\\]\\x00?]', '_', 'g')")} AS s FROM l)
+SELECT page_id, CASE WHEN s = '' THEN 'unnamed' WHEN upper(s) IN ({_in(T.RESERVED)}) THEN '_' || s ELSE s END || '_' || left(sha256(page_id::VARCHAR), 8) AS task FROM f"""
+)
+def task_ids(spark, sf_dir):
+    k, url = F.col("page_id") % 5, F.col("url")
+    address = F.when(k == 0, F.concat(url, F.lit("?a=1&v="), F.col("page_id").cast("string"), F.lit(" x"))).when(k == 1, " a name with blanks ").when(k == 2, "  ").when(k == 3, F.concat(F.lit("http://host."), F.col("page_id").cast("string"))).otherwise(url)
+    return table(spark, sf_dir, "pages").select("page_id", T.task_id(address, F.col("page_id")).alias("task"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -44,6 +45,18 @@ three AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, n, eff, c, c_top, fixed
 breaks AS (SELECT doc_id, sentence_id, pos, fixed, semantic, CASE WHEN c_top > 0 THEN c WHEN eff > 70 THEN semantic ELSE 0 END::INT AS comma FROM three)"""
 
 
+def _contextual(source: str, to: str) -> str:
+    """SQL of contextual_breaks over source(doc_id, sentence_id, pos, word): to(doc_id, sentence_id, pos, piece)."""
+    return f"""{to}_kinds AS (SELECT *, lower(word) IN {_in(folds.OPENERS)} AS o, lower(word) IN {_in(folds.JOINERS)} AS j, lower(word) IN {_in(folds.RELATIVES)} AS r, lower(word) IN {_in(folds.VERBS)} AS v, {_EFFECTIVE.format(x='word')} AS e FROM {source}),
+{to}_held AS (SELECT doc_id, sentence_id, min(pos) AS p0, count(*) AS n, list(o ORDER BY pos) AS o, list(j ORDER BY pos) AS j, list(r ORDER BY pos) AS r, list(v ORDER BY pos) AS v, list(e ORDER BY pos) AS e FROM {to}_kinds GROUP BY doc_id, sentence_id),
+{to}_walk AS (SELECT *, 0 AS i, 1 AS a, 0 AS piece FROM {to}_held
+  UNION ALL SELECT doc_id, sentence_id, p0, n, o, j, r, v, e, i + 1, CASE WHEN cuts THEN i + 1 ELSE a END, CASE WHEN cuts THEN piece + 1 ELSE piece END
+  FROM (SELECT *, n > 5 AND i + 1 < n AND i + 2 - a >= 5 AND (o[i + 1] OR (whole AND j[i + 1] AND list_sum(e[a:i]) <= 70 AND list_sum(e[i + 1:n]) <= 70) OR (whole AND r[i + 1] AND i + 2 - a >= 10 AND list_sum(e[a:i]) > 70)) AS cuts
+    FROM (SELECT *, i + 1 - a >= 3 AND list_contains(v[a:i - 1], true) AS whole FROM {to}_walk WHERE i < n))),
+{to}_sized AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, piece, count(*) OVER (PARTITION BY doc_id, sentence_id, piece) AS k FROM {to}_walk WHERE i > 0),
+{to} AS (SELECT doc_id, sentence_id, pos, CASE WHEN min(k) OVER (PARTITION BY doc_id, sentence_id) >= 3 THEN piece ELSE 0 END::INT AS piece FROM {to}_sized)"""
+
+
 def _places(rows):
     return rows.select("doc_id", "sentence_id", "pos", "piece")
 
@@ -266,17 +279,7 @@ def sentence_word_times(spark, sf_dir):
     return folds.fold(_sentences(spark, sf_dir), ["doc_id"], ["pos"], ["sentence_id", "pos", "word"], rule, "sentence_id long, start double, end double")
 
 
-@query(
-    f"""WITH RECURSIVE {SENTENCES},
-kinds AS (SELECT *, lower(word) IN {_in(folds.OPENERS)} AS o, lower(word) IN {_in(folds.JOINERS)} AS j, lower(word) IN {_in(folds.RELATIVES)} AS r, lower(word) IN {_in(folds.VERBS)} AS v, {_EFFECTIVE.format(x='word')} AS e FROM sentences),
-held AS (SELECT doc_id, sentence_id, min(pos) AS p0, count(*) AS n, list(o ORDER BY pos) AS o, list(j ORDER BY pos) AS j, list(r ORDER BY pos) AS r, list(v ORDER BY pos) AS v, list(e ORDER BY pos) AS e FROM kinds GROUP BY ALL),
-walk AS (SELECT *, 0 AS i, 1 AS a, 0 AS piece FROM held
-  UNION ALL SELECT doc_id, sentence_id, p0, n, o, j, r, v, e, i + 1, CASE WHEN cuts THEN i + 1 ELSE a END, CASE WHEN cuts THEN piece + 1 ELSE piece END
-  FROM (SELECT *, n > 5 AND i + 1 < n AND i + 2 - a >= 5 AND (o[i + 1] OR (whole AND j[i + 1] AND list_sum(e[a:i]) <= 70 AND list_sum(e[i + 1:n]) <= 70) OR (whole AND r[i + 1] AND i + 2 - a >= 10 AND list_sum(e[a:i]) > 70)) AS cuts
-    FROM (SELECT *, i + 1 - a >= 3 AND list_contains(v[a:i - 1], true) AS whole FROM walk WHERE i < n))),
-sized AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, piece, count(*) OVER (PARTITION BY doc_id, sentence_id, piece) AS k FROM walk WHERE i > 0)
-SELECT doc_id, sentence_id, pos, CASE WHEN min(k) OVER (PARTITION BY doc_id, sentence_id) >= 3 THEN piece ELSE 0 END::INT AS piece FROM sized"""
-)
+@query(f"WITH RECURSIVE {SENTENCES}, {_contextual('sentences', 'context')} SELECT doc_id, sentence_id, pos, piece FROM context")
 def contextual_split(spark, sf_dir):
     return _places(folds.number(_sentences(spark, sf_dir), ["doc_id", "sentence_id"], ["pos"], "word", folds.contextual_breaks, "piece"))
 
@@ -333,3 +336,41 @@ def batch_slices(spark, sf_dir):
     sizes = _sentences(spark, sf_dir).groupBy("doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("n"))
     rule = lambda ids, n: [(ids[i], k, j, m) for i, k, j, m in folds.pack_blocks(n)]
     return folds.fold(sizes, ["doc_id"], ["sentence_id"], ["sentence_id", "n"], rule, "sentence_id long, batch int, first_block int, blocks int")
+
+
+def _gapped(source: str, to: str, least: int) -> str:
+    """SQL of gap_breaks over source(doc_id, sentence_id, pos, gap), with n, the number of words, and k, of the piece's."""
+    return f"""{to}_list AS (SELECT doc_id, sentence_id, list(gap ORDER BY pos) AS g, count(*) AS n, min(pos) AS p0 FROM {source} GROUP BY doc_id, sentence_id),
+{to}_walk AS (SELECT *, 1 AS i, 1 AS held, 0 AS piece FROM {to}_list
+  UNION ALL SELECT doc_id, sentence_id, g, n, p0, i + 1, CASE WHEN cuts THEN 1 ELSE held + 1 END, CASE WHEN cuts THEN piece + 1 ELSE piece END FROM (SELECT *, g[i + 1] >= {least} AND held >= 3 AS cuts FROM {to}_walk WHERE i < n)),
+{to} AS (SELECT doc_id, sentence_id, p0 + i - 1 AS pos, i, n, piece, count(*) OVER (PARTITION BY doc_id, sentence_id, piece) AS k FROM {to}_walk)"""
+
+
+_PAUSE = "CASE WHEN length(word) % 11 = 0 THEN 900 WHEN length(word) % 7 = 0 THEN 500 ELSE 0 END"
+
+
+@query(
+    f"""WITH RECURSIVE {SENTENCES},
+spaced AS (SELECT *, pos * 400 + coalesce(sum({_PAUSE}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM sentences),
+apart AS (SELECT *, coalesce(a - lag(a) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos) - 300, 0) AS gap FROM spaced),
+{_gapped('apart', 'rough', 500)},
+marks AS (SELECT doc_id, sentence_id, pos, n > 30 AS large, CASE WHEN n <= 30 THEN 0 WHEN max(piece) OVER (PARTITION BY doc_id, sentence_id) = 0 THEN (i - 1) // 50 ELSE piece END AS chunk FROM rough),
+chunks AS (SELECT doc_id, sentence_id * 1000 + chunk AS sentence_id, pos, word, gap, large FROM apart JOIN marks USING (doc_id, sentence_id, pos)),
+{BREAKS.removeprefix(SENTENCES + "," + chr(10)).replace("FROM sentences", "FROM chunks")},
+{_contextual('chunks', 'context')},
+{_gapped('chunks', 'gaps', 800)},
+every AS (SELECT c.doc_id, c.sentence_id, c.pos, x.piece AS by_context, g.piece AS by_gap, b.fixed, max(x.piece) OVER w AS n_context, max(g.piece) OVER w AS n_gap, large AND min(g.k) OVER w < 3 AS unfit
+  FROM chunks c JOIN context x USING (doc_id, sentence_id, pos) JOIN gaps g USING (doc_id, sentence_id, pos) JOIN breaks b USING (doc_id, sentence_id, pos) WINDOW w AS (PARTITION BY c.doc_id, c.sentence_id)),
+chosen AS (SELECT doc_id, sentence_id // 1000 AS sentence_id, sentence_id AS part, pos, CASE WHEN n_context > 0 THEN by_context WHEN n_gap > 0 AND NOT unfit THEN by_gap ELSE fixed END AS piece FROM every)
+SELECT doc_id, sentence_id, pos, (dense_rank() OVER (PARTITION BY doc_id, sentence_id ORDER BY part, piece) - 1)::INT AS piece FROM chosen"""
+)
+def smart_split(spark, sf_dir):
+    """Words of 0.3 s every 0.4 s, with pauses after those of some lengths; over 30 words are split in layers."""
+    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    pause = F.when(F.char_length("word") % 11 == 0, 900).when(F.char_length("word") % 7 == 0, 500).otherwise(0)
+    rows = _sentences(spark, sf_dir).withColumn("start", F.col("pos") * 400 + F.coalesce(F.sum(pause).over(w), F.lit(0))).withColumn("end", F.col("start") + 300)
+
+    def rule(places, texts, starts, ends):
+        return list(zip(places, folds.smart_breaks(texts, starts, ends, 800, 500, 30), strict=True))
+
+    return _places(folds.fold(rows, ["doc_id", "sentence_id"], ["pos"], ["pos", "word", "start", "end"], rule, "pos int, piece int"))
