@@ -188,7 +188,7 @@ def test_variants_of_odd_texts(spark, made, nothing):
 def test_no_pair_is_lost_by_splitting(spark, depth, leaf):
     rng = random.Random(5)
     words = {"".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(250)}
-    words |= {"prefix" * 3 + "".join(rng.choices("ab", k=rng.randint(0, 5))) for _ in range(60)} | {"z" * 40, "z" * 41}
+    words |= {"prefix" * 2 + "".join(rng.choices("ab", k=rng.randint(0, 5))) for _ in range(60)} | {"z" * 13, "z" * 14}
     found = spelling.near_words(spark.createDataFrame([(w,) for w in words], "word string"), depth, leaf).collect()
     assert len(found) == len({tuple(r) for r in found})
     assert {tuple(r) for r in found} == {(a, b) for a in words for b in words if near(a, b)}
