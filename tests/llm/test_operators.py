@@ -87,7 +87,7 @@ def test_links_inside_a_component_meet_once(spark):
         base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
         for m in range(size):
             items = np.unique(np.concatenate([base[int(rng.integers(0, 8)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 6)), dtype=np.uint64)]))
-            rows.append((comp, size, comp * 1000 + m, int(rng.integers(1, 5)), items.tobytes()))
+            rows.append((comp, len(items), comp * 1000 + m, int(rng.integers(1, 5)), items.tobytes()))
     expected, degrees = set(), {}
     for i, a in enumerate(rows):
         for b in rows[:i]:
@@ -96,12 +96,12 @@ def test_links_inside_a_component_meet_once(spark):
                 expected.add((b[2], a[2]))
                 degrees[a[2]] = degrees.get(a[2], 0) + b[3]
                 degrees[b[2]] = degrees.get(b[2], 0) + a[3]
-    frame = spark.createDataFrame(rows, "comp long, k long, cls long, copies long, items binary")
+    frame = spark.createDataFrame(rows, "comp long, n long, cls long, copies long, items binary")
     assert 70 < len(expected) < 2400
-    for least, most in ((4, 8), (64, 1024)):
-        pairs = [tuple(r) for r in parity_join.inside(frame, rule, True, least, most).collect()]
+    for sizes in ((4, 8), (64, 1024), (64, 1024, 300), (4, 1024, 200)):
+        pairs = [tuple(r) for r in parity_join.inside(frame, rule, True, *sizes).collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == expected
-        assert {r.cls: r.s for r in parity_join.inside(frame, rule, False, least, most).groupBy("cls").agg(F.sum("links").alias("s")).collect()} == degrees
+        assert {r.cls: r.s for r in parity_join.inside(frame, rule, False, *sizes).groupBy("cls").agg(F.sum("links").alias("s")).collect()} == degrees
 
 
 # 2: byte-level BPE

@@ -18,8 +18,8 @@ gives a forest of near pairs, which are verified, and names the members with nea
 still of different components after that, they meet again with their full sets, and a task gives the links that join
 components alone. So no link between components is lost, and no step gives more rows than it has members.
 
-All links. Linked classes are in one component, so that every two classes of a component meet in exactly one cell,
-where sketches and then the full sets are compared. A cell gives either the links themselves (linked_pairs) or how
+All links. Linked classes are in one component, so that every two classes of a component whose size bands allow a link
+meet in exactly one cell, bounded by classes and shingles, where sketches and then the full sets are compared. A cell gives either the links themselves (linked_pairs) or how
 many rows each of its classes links to (count_links), which is added up without a row for each link.
 
 Skew. Exact copies are one class, indexed once per task. A block that a batch of rows meets HOT times has a leader in
@@ -458,20 +458,37 @@ def settle(cells: DataFrame, comps: DataFrame, table: DataFrame, rule: Rule = Ru
 
 #: Parts that a component is cut into at least, once it has that many times LEAST_PART classes.
 PARTS, LEAST_PART = 16, 64
+#: Shingles in a part (8 bytes each), but that a set is never cut: long sets make more parts than their number asks for.
+PART_ITEMS = 2_000_000
 
 
-def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least: int = LEAST_PART, most: int = PART) -> DataFrame:
+def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least: int = LEAST_PART, most: int = PART, most_items: int = PART_ITEMS) -> DataFrame:
     """All links inside components: (a, b) of each, or cls and the number of rows it links to, summed over a cell.
 
-    members(comp, k, cls, copies, items). A component of k classes is cut into parts of `least` to `most` classes, and
-    each two parts meet in one cell, so that two classes are compared once and a cell holds about 2 * most rows.
+    members(comp, cls, copies, n, items). A component of more than `least` classes is taken apart by size bands, as sets
+    link within a band and the next alone. What is left is cut into parts of `least` to `most` classes and about
+    `most_items` shingles, and each two parts that may link meet in one cell, so that two classes are compared once.
     """
+    starts = F.array(*(F.lit(int(s)) for s in band_starts(rule)))
+    rows = members.withColumn("band", F.size(F.filter(starts, lambda s: s <= F.col("n"))))
+    sums = rows.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    sums = sums.groupBy("comp").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.collect_list(F.struct("band", "k", "n")).alias("bands"))
     size = F.least(F.greatest(F.ceil(F.col("k") / PARTS), F.lit(least)), F.lit(most))
-    count = F.ceil(F.col("k") / size).cast("int")
-    low = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.cast("long").alias("i"), F.col("part").cast("long").alias("j")))
-    high = F.transform(F.sequence(F.col("part"), F.col("count") - 1), lambda j: F.struct(F.col("part").cast("long").alias("i"), j.cast("long").alias("j")))
-    cells = F.explode(F.array_distinct(F.concat(low, high)))
-    rows = members.withColumn("count", count).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("count")).cast("int")).withColumn("cell", cells)
+    few = F.col("k") <= least
+    parts_of = lambda k, n: F.greatest(F.ceil(k / size), F.ceil(n / most_items)).cast("int")
+    by_band = F.transform("bands", lambda b: F.struct(b["band"].alias("band"), parts_of(b["k"], b["n"]).alias("parts")))
+    whole = F.array(F.struct(F.lit(0).alias("band"), parts_of(F.col("k"), F.col("n")).alias("parts")))
+    layout = sums.select("comp", few.alias("few"), F.map_from_entries(F.when(few, whole).otherwise(by_band)).alias("parts"))
+
+    rows = rows.join(layout, "comp").withColumn("band", F.when(F.col("few"), 0).otherwise(F.col("band")))
+    band = F.col("band")
+    count = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
+    code = lambda b, s: F.shiftleft(b.cast("long"), 32) + s
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("cls"), count(band)).cast("int")).withColumn("part", code(band, F.col("sub")))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
+    meets = lambda b: F.transform(upto(count(b)), lambda s: cell(code(b, s), F.col("part")))
+    rows = rows.withColumn("cell", F.explode(F.concat(meets(band - 1), meets(band), meets(band + 1))))
 
     def meet(key, i, j, cls, copies, own, raw):
         items = [np.frombuffer(x, np.uint64) for x in raw]
@@ -493,7 +510,7 @@ def inside(members: DataFrame, rule: Rule = Rule(), pairs: bool = False, least:
                 found.append(np.stack([np.minimum(cls[r], cls[linked]), np.maximum(cls[r], cls[linked])]))
         yield from np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1) if pairs else (cls[links > 0], links[links > 0])
 
-    rows = rows.select(F.col("comp").alias("key"), "cell.i", "cell.j", "cls", "copies", F.col("part").cast("long"), "items")
+    rows = rows.select(F.col("comp").alias("key"), "cell.i", "cell.j", "cls", "copies", "part", "items")
     return by_cell(rows, meet, PAIRS, "a long, b long") if pairs else by_cell(rows, meet, DEGREES, "cls long, links long")
 
 
@@ -531,8 +548,7 @@ def grouped(docs: DataFrame, rule: Rule = Rule(), keys_of=block_keys) -> tuple[D
     classes = classes.withColumn("comp", F.coalesce("comp", "cls"))
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
     groups = materialize(classes.select("cls", "comp", "copies", "low").join(lowest, "comp"), "parity-groups")
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
-    members = groups.select("cls", "comp", "copies").join(sizes, "comp").join(table.select("cls", "items"), "cls")
+    members = groups.select("cls", "comp", "copies").join(comps.select(F.col("node").alias("cls")), "cls", "left_semi").join(table.select("cls", "n", "items"), "cls")
     return sets, groups, members
 
 
