@@ -51,24 +51,107 @@ def bad_tags(value: Column) -> Column:
     return (bare != "") & (bare.rlike(r"[{}\n\r]") | ~bare.startswith("\\"))
 
 
+def _field_checks(s: Column, expected: str) -> list[tuple[str, Column]]:
+    """Each field in turn and whether it may not stay as it is."""
+    raw = F.split(s["raw_ass_style"], ",")
+    checks = [("raw_ass_style", (s["raw_ass_style"] != "") & ((F.size(raw) != RAW_PARTS) | (raw[0] != f"Style: {expected}")))]
+    checks += [(f, s[f].rlike("[,\n\r]")) for f in LINE_FIELDS]
+    checks += [(f, bad_colour(s[f])) for f in COLOUR_FIELDS]
+    checks += [(f, ~s[f].between(*limits)) for f, limits in (WHOLE_FIELDS | REAL_FIELDS | LATE_FIELDS).items()]
+    return [*checks, ("override_tags", bad_tags(s["override_tags"]))]
+
+
+def _misread(json: Column, path: str, s: Column) -> list[Column]:
+    """Whether the object at a path has unknown fields, or fields of another type than a style's."""
+    keys = F.json_object_keys(F.get_json_object(json, path))
+    mistyped = [F.get_json_object(json, f"{path}.{name}").isNotNull() & s[name].isNull() for name in KINDS if KINDS[name] != "string"]
+    return [F.exists(keys, lambda k: ~k.isin(*KINDS)), *mistyped]
+
+
 def style_fault(json: Column, expected: str) -> Column:
     """The first field of a style that may not stay as it is; null for a good style.
 
     `json` stands for an object that is no JSON, an unknown field or a value of another type; null texts are such, too.
     """
     s, keys = style(json), F.json_object_keys(json)
-    mistyped = [F.get_json_object(json, f"$.{name}").isNotNull() & s[name].isNull() for name in KINDS if KINDS[name] != "string"]
-    unknown = F.exists(keys, lambda k: ~k.isin(*KINDS))
-    checks = [("json", F.coalesce(keys.isNull() | s.isNull() | unknown, F.lit(True))), *(("json", m) for m in mistyped)]
-    raw = F.split(s["raw_ass_style"], ",")
-    checks.append(("raw_ass_style", (s["raw_ass_style"] != "") & ((F.size(raw) != RAW_PARTS) | (raw[0] != f"Style: {expected}"))))
-    checks += [(f, s[f].rlike("[,\n\r]")) for f in LINE_FIELDS]
-    checks += [(f, bad_colour(s[f])) for f in COLOUR_FIELDS]
-    checks += [(f, ~s[f].between(*limits)) for f, limits in (WHOLE_FIELDS | REAL_FIELDS | LATE_FIELDS).items()]
-    checks.append(("override_tags", bad_tags(s["override_tags"])))
+    checks = [("json", F.coalesce(keys.isNull() | s.isNull(), F.lit(True))), *(("json", m) for m in _misread(json, "$", s)), *_field_checks(s, expected)]
     return F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in checks))
 
 
+# The screens and roles of a set of styles with the name of each role's raw line, and the fields of the
+# styles that stand where no file sets one.
+SCREENS, ROLES = ("horizontal", "vertical"), {"major": "Major", "minor": "Minor"}
+SHARED_DEFAULTS = {
+    "font_name": "Arial",
+    "primary_color": "#FFBF00",
+    "secondary_color": "&H000000FF",
+    "outline_color": "&H00000000",
+    "back_color": "&H64000000",
+    "bold": True,
+    "italic": False,
+    "underline": False,
+    "strike_out": False,
+    "scale_x": 100,
+    "scale_y": 100,
+    "spacing": 0.0,
+    "angle": 0.0,
+    "border_style": 1,
+    "alignment": 2,
+    "margin_l": 10,
+    "margin_r": 10,
+    "encoding": 1,
+}
+OWN_FIELDS = ("font_size", "outline", "shadow", "margin_v")
+OWN_DEFAULTS = {
+    ("horizontal", "major"): (14, 2.5, 1.5, 20),
+    ("horizontal", "minor"): (10, 2.5, 1.5, 30),
+    ("vertical", "major"): (12, 2.2, 1.2, 92),
+    ("vertical", "minor"): (7, 2.0, 1.0, 101),
+}
+
+_SCREEN = ", ".join(f"{role}: struct<{', '.join(f'{n}: {k}' for n, k in KINDS.items())}>" for role in ROLES)
+SET_SCHEMA = f"struct<version: int, {', '.join(f'{screen}: struct<{_SCREEN}>' for screen in SCREENS)}>"
+
+
+def default_set() -> Column:
+    """The set of styles that stands before any file is read."""
+
+    def one(screen: str, role: str) -> Column:
+        values = {"name": ROLES[role]} | SHARED_DEFAULTS | dict(zip(OWN_FIELDS, OWN_DEFAULTS[screen, role], strict=True))
+        return F.struct(*(F.lit(values.get(name)).cast(kind).alias(name) for name, kind in KINDS.items()))
+
+    screens = (F.struct(*(one(screen, role).alias(role) for role in ROLES)).alias(screen) for screen in SCREENS)
+    return F.struct(F.lit(1).alias("version"), *screens)
+
+
+def style_set(json: Column) -> Column:
+    """A file's set of styles as a struct; what it does not set, or sets by another type, is null."""
+    return F.from_json(json, SET_SCHEMA)
+
+
+def set_fault(json: Column) -> Column:
+    """Path of the first field of a set of styles that may not stay as it is, as in vertical.minor.outline; else null.
+
+    `json` stands for a text that is not one JSON object alone, an unknown field at any level or a value of another
+    type, which are looked for before any limit. A JSON null counts as not set.
+    """
+    s, at = style_set(json), lambda *names: ".".join(("$", *names))
+    keys = lambda path: F.json_object_keys(F.get_json_object(json, path))
+    lost = lambda path, value: F.get_json_object(json, path).isNotNull() & value.isNull()
+    # text after the object would break one of these, as it had to begin with the end of either
+    only = (F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1) & F.json_object_keys(F.concat(F.lit('{"a":'), json, F.lit("}"))).isNotNull()
+    top = ~F.coalesce(only, F.lit(False)) | F.json_object_keys(json).isNull() | s.isNull()
+    misread = [F.coalesce(top, F.lit(True)), F.exists(F.json_object_keys(json), lambda k: ~k.isin("version", *SCREENS)), lost("$.version", s["version"])]
+    checks = []
+    for screen in SCREENS:
+        misread += [lost(at(screen), s[screen]), F.exists(keys(at(screen)), lambda k: ~k.isin(*ROLES))]
+        for role, expected in ROLES.items():
+            one = s[screen][role]
+            misread += [lost(at(screen, role), one), *_misread(json, at(screen, role), one)]
+            checks += [(f"{screen}.{role}.{name}", bad) for name, bad in _field_checks(one, expected)]
+    return F.coalesce(*(F.when(bad, F.lit("json")) for bad in misread), *(F.when(bad, F.lit(path)) for path, bad in checks))
+
+
 def line_width(render_width: Column, render_height: Column, margin_l: Column, margin_r: Column, font_size: Column) -> Column:
     """Width that a line may have: the safe share of what margins leave of the scaled picture, but one character at least.
 

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from tidemark.functions import styles, timecode
 from tidemark.functions import text as T
-from tidemark.functions import timecode
 
 Names = list[str]
 
@@ -83,6 +83,41 @@ def merged(base: Column, override: Column, kind: K.StructType) -> Column:
     return F.struct(*out)
 
 
+def resolved_styles(rows: DataFrame, keys: Names, shared: str, own: str) -> DataFrame:
+    """keys, source, fault, styles: the defaults, below the set of the shared file, below that of the row's own file.
+
+    Files come as JSON texts; a null shared file, or a null or blank own one, sets nothing. Where a file is at fault there are no
+    styles, but its source (shared before own) and the path that styles.set_fault gives. A field is checked by itself,
+    so that what good files give together is good.
+    """
+    given = rows.select(*keys, F.col(shared).alias("__a"), F.when(T.trim(F.col(own)) != "", F.col(own)).alias("__b"))
+    fault = lambda c: F.when(F.col(c).isNotNull(), styles.set_fault(F.col(c)))
+    found = given.select("*", fault("__a").alias("__fa"), fault("__b").alias("__fb"), styles.default_set().alias("__d"), styles.style_set(F.col("__a")).alias("__sa"), styles.style_set(F.col("__b")).alias("__sb"))
+    kind = found.schema["__d"].dataType
+    # a version of 0 counts as none
+    numbered = lambda c: F.col(c).withField("version", F.nullif(F.col(c)["version"], F.lit(0)))
+    laid = merged(merged(F.col("__d"), numbered("__sa"), kind), numbered("__sb"), kind)
+    source = F.when(F.col("__fa").isNotNull(), "shared").when(F.col("__fb").isNotNull(), "own")
+    fault = F.coalesce("__fa", "__fb")
+    return found.select(*keys, source.alias("source"), fault.alias("fault"), F.when(fault.isNull(), laid).alias("styles"))
+
+
+# What is said of tasks that are not known or have failed, and the status of the latter.
+UNKNOWN_TASK, FAILED_TASK, FAILED = "任务不存在", "任务失败，原因：", 3
+
+
+def task_states(wanted: DataFrame, tasks: DataFrame, fields: Names) -> DataFrame:
+    """For each wanted task_id, error and the task's fields: these are null where the task is unknown or has failed.
+
+    tasks(task_id, status, fail_reason, ...) has one row for each task.
+    """
+    known = tasks.select("task_id", F.lit(True).alias("__known"), F.col("status").alias("__status"), F.col("fail_reason").alias("__reason"), *fields)
+    failed = F.col("__status") == FAILED
+    error = F.when(F.col("__known").isNull(), UNKNOWN_TASK).when(failed, F.concat(F.lit(FAILED_TASK), F.coalesce("__reason", F.lit(""))))
+    rows = wanted.join(known, "task_id", "left").withColumn("error", error)
+    return rows.select(*wanted.columns, "error", *(F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields))
+
+
 MANIFEST = "struct<provider: map<string, string>, stages: map<string, struct<ok: boolean, error: string>>>"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import styles, timecode
-from tidemark.plans.catalog import query
+from tidemark.operators import projections
+from tidemark.plans.catalog import SENTENCES, _sentences, query
 from tidemark.plans.inputs import table
 from tidemark.plans.parsing import _SRT, SMALL, _small
 from tidemark.sinks import subtitles
@@ -109,3 +110,81 @@ FROM small GROUP BY user_id"""
 )
 def json_reports(spark, sf_dir):
     return subtitles.json_report(_small(spark, sf_dir), "user_id", ["idx"], ["idx", "text", "start_ms", "end_ms"], "cues")
+
+
+#: Files of style sets made from the number of an event, e: one that many events share and one of its own; some are at fault.
+_SHARED = """CASE e % 4 WHEN 1 THEN '{"vertical": {"major": {"font_size": 20}}}'
+  WHEN 2 THEN '{"version": 2, "horizontal": {"major": {"primary_color": "#00ff00"}, "minor": {"margin_v": ' || e % 90 || '}}}'
+  WHEN 3 THEN '{"horizontal": {"major": {"font_size": ' || e % 230 || '}}}' END"""
+_OWN = """CASE e % 5 WHEN 0 THEN '  '
+  WHEN 1 THEN '{"vertical": {"minor": {"outline": ' || e % 23 || ', "name": "' || CASE WHEN e % 7 = 3 THEN 'a,b' ELSE 'mine' END || '"}}}'
+  WHEN 2 THEN '{"vertical": {"major": {"font_size": ' || e % 210 || '}}, "version": 3}'
+  WHEN 3 THEN CASE e % 3 WHEN 0 THEN '{"horizontal": {"left": {}}}' WHEN 1 THEN '{} {}' ELSE '{"horizontal": 3}' END
+  ELSE '{"horizontal": {"minor": {"margin_v": ' || e % 2100 || '}}, "vertical": {"major": {"primary_color": ""}}}' END"""
+
+
+@query(
+    f"""WITH m AS (SELECT event_id, event_id AS e, {_SHARED.replace("e %", "event_id %")} AS a, trim({_OWN.replace("e %", "event_id %")}) AS b FROM events),
+j AS (SELECT *, CASE WHEN json_valid(b) THEN b ELSE '{{}}' END AS o FROM m),
+f AS (SELECT *, CASE WHEN e % 4 = 3 AND (e % 230 > 200 OR e % 230 = 0) THEN 'horizontal.major.font_size' END AS fa,
+  CASE WHEN e % 5 = 3 THEN 'json' WHEN contains(o->>'$.vertical.minor.name', ',') THEN 'vertical.minor.name' WHEN (o->>'$.vertical.minor.outline')::INT > 20 THEN 'vertical.minor.outline'
+    WHEN (o->>'$.vertical.major.font_size')::INT NOT BETWEEN 1 AND 200 THEN 'vertical.major.font_size' WHEN (o->>'$.horizontal.minor.margin_v')::INT > 2000 THEN 'horizontal.minor.margin_v' END AS fb FROM j),
+s AS (SELECT *, coalesce(fa, fb) AS fault FROM f)
+SELECT event_id, CASE WHEN fa IS NOT NULL THEN 'shared' WHEN fb IS NOT NULL THEN 'own' END AS source, fault,
+  CASE WHEN fault IS NULL THEN coalesce((o->>'$.version')::INT, (a->>'$.version')::INT, 1) END AS version,
+  CASE WHEN fault IS NULL THEN coalesce((a->>'$.horizontal.major.font_size')::INT, 14) END AS size,
+  CASE WHEN fault IS NULL THEN coalesce(a->>'$.horizontal.major.primary_color', '#FFBF00') END AS colour,
+  CASE WHEN fault IS NULL THEN coalesce((o->>'$.horizontal.minor.margin_v')::INT, (a->>'$.horizontal.minor.margin_v')::INT, 30) END AS margin,
+  CASE WHEN fault IS NULL THEN coalesce((o->>'$.vertical.major.font_size')::INT, (a->>'$.vertical.major.font_size')::INT, 12) END AS tall_size,
+  CASE WHEN fault IS NULL THEN '#FFBF00' END AS tall_colour,
+  CASE WHEN fault IS NULL THEN coalesce((o->>'$.vertical.minor.outline')::DOUBLE, 2.0::DOUBLE) END AS tall_outline,
+  CASE WHEN fault IS NULL THEN coalesce(o->>'$.vertical.minor.name', 'Minor') END AS tall_name FROM s"""
+)
+def style_sets(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select("event_id", F.expr(_SHARED.replace("e %", "event_id %")).alias("a"), F.expr(_OWN.replace("e %", "event_id %")).alias("b"))
+    s, at = projections.resolved_styles(made, ["event_id"], "a", "b"), F.col("styles")
+    across, tall = at["horizontal"], at["vertical"]
+    fields = {"size": across["major"]["font_size"], "colour": across["major"]["primary_color"], "margin": across["minor"]["margin_v"], "tall_size": tall["major"]["font_size"]}
+    fields |= {"tall_colour": tall["major"]["primary_color"], "tall_outline": tall["minor"]["outline"], "tall_name": tall["minor"]["name"]}
+    return s.select("event_id", "source", "fault", at["version"].alias("version"), *(c.alias(name) for name, c in fields.items()))
+
+
+@query(
+    """WITH w AS (SELECT c_custkey, c_custkey * 13 AS k FROM customer),
+j AS (SELECT c_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM w LEFT JOIN orders ON o_orderkey = k)
+SELECT 't' || c_custkey * 13 AS task_id, CASE WHEN o_orderkey IS NULL THEN '任务不存在' WHEN o_orderstatus = 'F' THEN '任务失败，原因：' || CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '' END END AS error,
+  CASE WHEN o_orderstatus <> 'F' THEN o_orderkey % 101 END AS process_percent, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS title,
+  CASE WHEN o_orderstatus <> 'F' THEN 'origin' || CASE WHEN o_orderkey % 2 = 0 THEN ',target' ELSE '' END END AS files FROM j"""
+)
+def task_states(spark, sf_dir):
+    """Orders as tasks, asked for by numbers of customers, some beyond the last order."""
+    k, task_id = F.col("o_orderkey"), lambda c: F.concat(F.lit("t"), c.cast("string")).alias("task_id")
+    file = lambda name: F.struct(F.lit(name).alias("name"), F.concat(F.lit("/files/"), k.cast("string"), F.lit(f"/{name}.srt")).alias("download_url"))
+    status = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1).alias("status")
+    files = F.when(k % 2 == 0, F.array(file("origin"), file("target"))).otherwise(F.array(file("origin"))).alias("files")
+    tasks = table(spark, sf_dir, "orders").select(task_id(k), status, F.when(k % 5 > 0, F.col("o_orderpriority")).alias("fail_reason"), (k % 101).alias("process_percent"), F.col("o_orderpriority").alias("title"), files)
+    wanted = table(spark, sf_dir, "customer").select(task_id(F.col("c_custkey") * 13))
+    found = projections.task_states(wanted, tasks, ["process_percent", "title", "files"])
+    return found.withColumn("files", F.array_join(F.transform("files", lambda f: f["name"]), ","))
+
+
+@query(
+    """WITH f AS (SELECT '/in/' || o_custkey AS folder, o_orderpriority || '-' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.vtt' WHEN 1 THEN '.VTT' ELSE '.srt' END AS name, 'v' || o_orderkey AS value FROM orders)
+SELECT folder, folder || '/' || min(name) AS media, arg_min(value, name) AS value FROM f WHERE lower(name) LIKE '%.vtt' GROUP BY folder"""
+)
+def caption_folders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = F.concat("o_orderpriority", F.lit("-"), k.cast("string"), F.when(k % 3 == 0, ".vtt").when(k % 3 == 1, ".VTT").otherwise(".srt"))
+    media = F.concat(F.lit("/in/"), F.col("o_custkey").cast("string"), F.lit("/"), name)
+    return captions.first_caption_files(table(spark, sf_dir, "orders").select(media.alias("media"), F.concat(F.lit("v"), k.cast("string")).alias("value")))
+
+
+@query(
+    f"""WITH {SENTENCES}, s AS (SELECT doc_id, sentence_id, string_agg(word, ' ' ORDER BY pos) AS text, min(pos) AS a, max(pos) AS b, count(*) AS n FROM sentences GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS i FROM s)
+SELECT doc_id, string_agg('Sentence ' || i || ':' || chr(10) || 'Text: ' || text || chr(10) || 'Start: ' || a || ', End: ' || b || chr(10) || 'Word count: ' || n || chr(10) || chr(10), '' ORDER BY i) AS value FROM o GROUP BY doc_id"""
+)
+def sentence_dump(spark, sf_dir):
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    rows = _sentences(spark, sf_dir).groupBy("doc_id", "sentence_id").agg(said.alias("text"), F.min("pos").cast("string").alias("a"), F.max("pos").cast("string").alias("b"), F.count(F.lit(1)).alias("n"))
+    return subtitles.sentence_dump(rows, ["doc_id"], ["sentence_id"], "text", "a", "b", "n")

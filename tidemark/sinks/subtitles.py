@@ -115,3 +115,11 @@ def json_report(rows: DataFrame, by: str, order: Names, items: Names, name: str)
     parts = F.array_sort(F.collect_list(F.struct(*order, F.struct(*items).alias("__item"))))
     report = F.struct(F.lit("1").alias("version"), F.col(by).alias("media"), F.transform(parts, lambda p: p["__item"]).alias(name))
     return rows.groupBy(by).agg(F.to_json(report).alias("value"))
+
+
+def sentence_dump(sentences: DataFrame, by: Names, order: Names, text: str, start: str, end: str, words: str) -> DataFrame:
+    """by, value: a readable list of a medium's sentences with number, text, times and number of words."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    rows = sentences.withColumn("__n", place)
+    entry = F.concat(F.lit("Sentence "), F.col("__n").cast("string"), F.lit(":\nText: "), F.col(text), F.lit("\nStart: "), F.col(start), F.lit(", End: "), F.col(end), F.lit("\nWord count: "), F.col(words).cast("string"), F.lit("\n\n"))
+    return in_order(rows, by, ["__n"], entry)
