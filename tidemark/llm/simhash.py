@@ -103,7 +103,8 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
     The edited text gives up its last quarter for the beginning of the next document's text. A null text counts as
     empty, and a null doc_id as the smallest identifier. Rows that share a doc_id have the same next document, of the
     next other doc_id; if that has several rows, the smallest beginning and the smallest fingerprint count. A single
-    document follows itself. An empty table gives no rows; other columns are ignored.
+    document follows itself. An empty table gives no rows; other columns are ignored. Rows are numbered where docs is
+    read: docs must give the same rows in the same order when a task runs again, as a table of files does.
 
     Rows whose doc_id is divisible by `every` are searched for. n_near counts the other rows whose fingerprint is within
     RADIUS of a searched row's, those of the same fingerprint included, and is null for others. near lists the other
@@ -116,15 +117,16 @@ def fingerprint_documents(docs: DataFrame, every: int = 20) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     least = F.lit(-(1 << 63))
-    base = docs.select(F.coalesce(doc_id, least).alias("k"), text.alias("text"))  # both joins read this one exchange
+    # numbered as they are read, before any shuffle; both joins read the one exchange that follows
+    base = docs.select(F.coalesce(doc_id, least).alias("k"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     ids = materialize(base.groupBy("k").agg(F.max(F.char_length("text")).cast("long").alias("n")), "simhash-ids")
     links = materialize(followers(ids, ranges), "simhash-next")
     takes = links.select(F.col("next_k").alias("k"), F.col("k").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    heads = base.join(takes, "k").select(F.col("before").alias("k"), F.expr("substring(text, 1, take)").alias("head"))
-    heads = heads.groupBy("k").agg(F.min("head").alias("head"))
+    heads = base.join(takes, "k").select(F.col("before").alias("k"), F.struct(F.expr("substring(text, 1, take)").alias("head"), "row").alias("head"))
+    heads = heads.groupBy("k").agg(F.min("head")["head"].alias("head"))
     n = F.char_length("text")
     edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 4), substring(head, 1, cast(char_length(text) div 4 as int)))")
-    rows = base.join(heads, "k").select("k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
+    rows = base.join(heads, "k").select("k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "row")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"))))
     both = rows.select("k", "n_chars", "row", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), sides.alias("s")).select("k", "n_chars", "row", "sha", "s.*")
     fps = fingerprints(both, ["k", "n_chars", "row", "sha", "side"])
