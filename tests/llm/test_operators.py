@@ -242,6 +242,27 @@ def test_tagger_adds_what_patterns_miss(tagger):
     assert pii.tag_texts(tagger, ["plain words without any of it, in version 3.0 of 2 parts " * 5]) == [[]]
 
 
+def test_added_cards_and_addresses_hold(tagger):
+    rng, texts = random.Random(5), []
+    for _ in range(200):
+        number = "".join(rng.choice("0123456789") for _ in range(15))
+        wrong = next(c for c in "0123456789" if not pii.luhn(number + c))
+        texts.append(f"some words before {number}{wrong} and at 300.20.{rng.randint(0, 99)}.1 a few words after it")
+    for text, found in zip(texts, pii.tag_texts(tagger, texts), strict=True):
+        assert all(pii.holds(k, text[a:b]) for k, a, b in found)
+    assert pii.holds("card", "4111-1111 11111111") and not pii.holds("card", "4111111111111112") and not pii.holds("card", "411111111111")
+    assert pii.holds("ip", "255.0.10.1") and not pii.holds("ip", "256.0.10.1") and not pii.holds("ip", "1.2.3")
+
+
+def test_whole_texts_add_nothing_to_the_stretches(small, tagger):
+    """Windows near signs find what windows over whole texts find: every span of the sample, but for its place's windows."""
+    texts = [r.text or "" for r in small.select("text").limit(20).collect()] + ["", "ab", "no sign at all in this one"]
+    near, whole = pii.tag_texts(tagger, texts), pii.tag_texts(tagger, texts, everywhere=True)
+    assert near == whole
+    rows = pii.detect(small.limit(20), tagger, everywhere=True)
+    assert rows.count() == small.limit(20).count()
+
+
 def test_decoding_equals_enumeration():
     """Best sequence and marginals of a short stretch against all tag sequences."""
     rng = np.random.default_rng(3)
