@@ -263,6 +263,65 @@ def test_whole_texts_add_nothing_to_the_stretches(small, tagger):
     assert rows.count() == small.limit(20).count()
 
 
+def test_spans_far_from_signs_are_found(spark, tagger):
+    """Secrets of letters alone in texts without a digit, an @, a = or a :, far into them."""
+    rng, texts, wanted = random.Random(17), [], []
+    for _ in range(40):
+        before = "some words of a text without any sign in it " * rng.randint(3, 9) + "and the token is "
+        secret = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        texts.append(before + secret + " and a few words after it to the end")
+        wanted.append(("secret", len(before), len(before) + 40))
+    assert not any(pii.stretches(t) for t in texts)
+    found = pii.tag_texts(tagger, texts)
+    assert sum(s in f for s, f in zip(wanted, found, strict=True)) >= 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_secret for r in pii.detect(docs, tagger).collect()} == {i: len(f) for i, f in enumerate(found)}
+
+
+def test_every_character_is_scored(docs, tagger, monkeypatch):
+    """All characters of all texts lie in a window, whatever is near them."""
+    texts, seen = [t or "" for _, t in texts_of(docs)], []
+    whole = pii.blended
+    monkeypatch.setattr(pii, "blended", lambda scorer, parts: seen.extend(parts) or whole(scorer, parts))
+    pii.tag_texts(tagger, texts)
+    assert seen == [t for t in texts if t]
+
+
+def test_window_scores_equal_emissions(tagger):
+    rng = np.random.default_rng(4)
+    scorer = pii.WindowScores(tagger, 7)
+    for rows in (7, 3, 1):
+        ids = rng.integers(0, pii.N_CLASSES, (rows, pii.WINDOW))
+        x = np.take(scorer.embedding, ids.T, axis=1)
+        assert np.allclose(scorer.of(x[:, :50], x[:, 50:]), pii.emissions(tagger, ids).transpose(0, 2, 1), atol=1e-4)
+
+
+def test_deciding_around_likely_places_equals_deciding_everywhere(small, tagger, monkeypatch):
+    texts = [r.text or "" for r in small.select("text").collect()] + ["", "ab", "word token = 04dbebab91ab85687d33eeaaf9ac699e1188f962", "192.168.0.254"]
+    found = pii.tag_texts(tagger, texts)
+    monkeypatch.setattr(pii, "UNLIKELY", 1e-300)
+    assert found == pii.tag_texts(tagger, texts) and any(found)
+
+
+def test_no_span_is_likelier_than_its_bound(monkeypatch):
+    """The bound against the probability of every span, over all tag sequences of two texts of four characters."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(pii, "STRIDE", 4)
+    w = {"T": rng.normal(0, 1, (pii.TAGS + 1, pii.TAGS))}
+    scores = rng.normal(0, 2, (4, pii.TAGS, 2))
+    scores[:, 0] += 3
+    bound = np.exp(pii.likeliest_spans(w, scores, np.array([0, 1, 2]))).reshape(2, 4)
+    trans, ways = w["T"] + pii.forbidden(), np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+    for r in range(2):
+        total = trans[pii.TAGS, ways[:, 0]] + sum(scores[t, ways[:, t], r] for t in range(4)) + sum(trans[ways[:, t - 1], ways[:, t]] for t in range(1, 4))
+        p, chance = np.exp(total - total.max()), {}
+        p /= p.sum()
+        for way, share in zip(ways[p > 0], p[p > 0], strict=True):
+            for span in pii.spans_of(way):
+                chance[span] = chance.get(span, 0) + share
+        assert len(chance) > 20 and all(share <= bound[r, t] * (1 + 1e-6) for (_, a, b), share in chance.items() for t in range(a, b))
+
+
 def test_decoding_equals_enumeration():
     """Best sequence and marginals of a short stretch against all tag sequences."""
     rng = np.random.default_rng(3)

@@ -5,16 +5,16 @@ documents, labelled by their base spans, and windows of the same documents with
 places: also where a pattern fails because two kinds run into each other, and a fifth kind that has no pattern,
 secrets (the value of a key, token or password).
 
-Over a text, overlapping windows are scored and their scores blended, weighing each character by its distance from the
-window's edge; one Viterbi pass over the blended scores then decides for the whole stretch. A span found so is added
-where it touches no base span and each of its characters has a marginal probability of CONFIDENCE or more. An exact
-check follows: the tagger learns the shape of a card and of an address of four parts, but no check digit and no limit of
-255, so that of these two kinds only spans are added that hold by the rule.
-
-A span of the four kinds with patterns has a digit or an @ in it, and a secret has a digit in it or a = or : just before
-it. So windows are laid only over stretches of CONTEXT characters on either side of one of these; stretches that touch
-are one, of any length. With everywhere=True they are laid over whole texts, which finds secrets of letters alone that
-no = or : announces, at several times the cost.
+Over a whole text, overlapping windows are scored and their scores blended, weighing each character by its distance from
+the window's edge; the CRF then decides over the blended scores. A span found so is added where it touches no base span
+and each of its characters has a marginal probability of CONFIDENCE or more. An exact check follows: the tagger learns
+the shape of a card and of an address of four parts, but no check digit and no limit of 255, so that of these two kinds
+only spans are added that hold by the rule.
+
+Every character of every text is scored. A bound computed from all scores shows where no span can be likely; there the
+best sequence is outside, and Viterbi and marginals are worked out only around the other places. With everywhere=False,
+windows are laid only over stretches of CONTEXT characters on either side of a digit, an @, a = or a :, which is cheaper
+and misses secrets of letters alone that no such sign announces. The queries read whole texts.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ TAGS = 1 + 2 * len(TAG_KINDS)  # outside; begin and inside of each kind
 WINDOW, STRIDE, CONTEXT = 96, 48, 48
 #: Least marginal probability of each character of an added span.
 CONFIDENCE = 0.5
+#: Where every span's odds are below this, the CRF need not be asked; it is from MARGIN characters before other places on.
+UNLIKELY, MARGIN = 1e-2, 12
+#: Characters that the CRF decides at a time, unless one piece is longer.
+TOGETHER = 1 << 15
 #: Training alone: documents in the sample and their longest text, windows of either sort, passes.
 SAMPLE_DOCS, SAMPLE_CHARS, WINDOWS, PASSES = 400, 20_000, 1_800, 8
 #: Windows of one sampled text that are labelled by patterns, so that a long text does not fill the sample.
@@ -50,7 +54,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Where a span may be near; and what is taken out of a text before invented data are put in.
+#: Signs near which most spans are; and what is taken out of a text before invented data are put in.
 HOT = re.compile(r"[0-9@=:]+")
 SIGNS = re.compile(r"[0-9@=]+")
 #: Runs that may be a secret: windows of the sample that hold one beside base spans are not used as labels.
@@ -182,8 +186,9 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return w
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+#: Slope of the gates' hard sigmoid, min(1, max(0, SLOPE * x + 0.5)); the hyperbolic tangent is cut at -1 and 1 likewise.
+#: Both cost a fifth of the smooth functions, which is what lets whole texts be read.
+SLOPE = 0.2
 
 
 def _lstm(x: np.ndarray, wx, wh, bias, keep: bool):
@@ -194,11 +199,11 @@ def _lstm(x: np.ndarray, wx, wh, bias, keep: bool):
     inputs = x @ wx + bias
     for t in range(steps):
         z = inputs[t] + h @ wh
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
+        gates = np.clip(SLOPE * z[:, : 3 * HIDDEN] + 0.5, 0, 1)
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-        g = np.tanh(z[:, 3 * HIDDEN :])
+        g = np.clip(z[:, 3 * HIDDEN :], -1, 1)
         before, c = c, f * c + i * g
-        tc = np.tanh(c)
+        tc = np.clip(c, -1, 1)
         if keep:
             held.append((h, before, i, f, o, g, tc))
         h = o * tc
@@ -213,8 +218,9 @@ def _lstm_back(x, wx, wh, held, dout):
     for t in range(len(held) - 1, -1, -1):
         h, before, i, f, o, g, tc = held[t]
         dh = dh + dout[t]
-        dc = dc + dh * o * (1 - tc**2)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
+        dc = dc + dh * o * (np.abs(tc) < 1)
+        open_ = lambda gate: SLOPE * ((gate > 0) & (gate < 1))
+        dz = np.concatenate([dc * g * open_(i), dc * before * open_(f), dh * tc * open_(o), dc * i * (np.abs(g) < 1)], axis=1).astype(x.dtype)
         dwx += x[t].T @ dz
         dwh += h.T @ dz
         db += dz.sum(0)
@@ -233,6 +239,53 @@ def emissions(w: dict, ids: np.ndarray, keep: bool = False):
     return (scores, (x, both, held_f, held_b)) if keep else scores
 
 
+class WindowScores:
+    """Scores of up to `rows` windows at a time: those of emissions, with rows last, in arrays that are used again.
+
+    Both directions take a step at once, and every product and cut runs over whole rows in place.
+    """
+
+    def __init__(self, w: dict, rows: int):
+        scale = np.repeat(np.array([SLOPE, 1]), (3 * HIDDEN, HIDDEN))[:, None]
+        shift = np.repeat(np.array([0.5, 0]), (3 * HIDDEN, HIDDEN))[:, None]
+        one = lambda d: np.concatenate([scale * w[f"H{d}"].T, scale * w[f"X{d}"].T, scale * w[f"g{d}"][:, None] + shift], axis=1)
+        self.mix = np.stack([one("f"), one("b")]).astype(np.float32)
+        self.embedding = np.ascontiguousarray(w["E"].T, np.float32)
+        self.last, self.added, self.rows = np.ascontiguousarray(w["W"].T, np.float32), w["c"][:, None].astype(np.float32), rows
+        make = lambda *shape: np.empty((*shape, rows), np.float32)
+        self.x, self.state, self.z = make(EMBED, WINDOW), make(2, HIDDEN + EMBED + 1), make(2, 4 * HIDDEN)
+        self.cells, self.both, self.out = make(2, 2, HIDDEN), make(WINDOW, 2 * HIDDEN), make(WINDOW, TAGS)
+
+    def of(self, *halves: np.ndarray) -> np.ndarray:
+        """(WINDOW, tags, rows) for windows given by the embeddings (EMBED, steps, rows) of their parts; valid until the next call."""
+        n, at = halves[0].shape[2], 0
+        x, state, z, both, out = (a[..., :n] for a in (self.x, self.state, self.z, self.both, self.out))
+        if n < self.rows:
+            state, z, both, out = (np.empty(a.shape, np.float32) for a in (state, z, both, out))
+        for half in halves:
+            x[:, at : at + half.shape[1]] = half
+            at += half.shape[1]
+        c, cut = self.cells[..., :n]
+        gates, g, h = z[:, : 3 * HIDDEN], z[:, 3 * HIDDEN :], state[:, :HIDDEN]
+        i, f, o = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        none, one = np.float32(0), np.float32(1)
+        h[:], c[:], state[:, -1] = 0, 0, 1
+        for t in range(WINDOW):
+            state[0, HIDDEN:-1], state[1, HIDDEN:-1] = x[:, t], x[:, WINDOW - 1 - t]
+            np.matmul(self.mix, state, out=z)
+            gates.clip(none, one, gates)
+            g.clip(-one, one, g)
+            np.multiply(f, c, out=c)
+            np.multiply(i, g, out=g)
+            np.add(c, g, out=c)
+            c.clip(-one, one, cut)
+            np.multiply(o, cut, out=h)
+            both[t, :HIDDEN], both[WINDOW - 1 - t, HIDDEN:] = h
+        np.matmul(self.last, both, out=out)
+        out += self.added
+        return out
+
+
 def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
@@ -290,7 +343,7 @@ def invented(rng: random.Random) -> list[tuple[str | None, str]]:
             digits += next(c for c in "0123456789" if luhn(digits + c))
             return gap.join(digits[i : i + 4] for i in range(0, 16, 4)) if len(digits) == 16 else digits
         if kind == "secret":
-            letters = rng.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"])
+            letters = rng.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
             return "".join(rng.choice(letters) for _ in range(rng.choice([40, 40, rng.randint(12, 64)])))
         return rng.choice([f"+1 ({d(3)}) 555-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}"])
 
@@ -299,7 +352,7 @@ def invented(rng: random.Random) -> list[tuple[str | None, str]]:
         if kind != "secret":
             return [(kind, one(kind))]
         key = rng.choice(["token", "token", "key", "api_key", "secret", "password", "access_token", "auth"])
-        quote, given = rng.choice(['"', '"', "'", ""]), rng.choice([" = ", " = ", "=", ": ", ":"])
+        quote, given = rng.choice(['"', '"', "'", ""]), rng.choice([" = ", " = ", "=", ": ", ":", " ", " is "])
         return [(None, (key.upper() if rng.random() < 0.2 else key) + given + quote), (kind, one(kind)), (None, quote)]
 
     other = rng.choice([d(rng.randint(1, 6)), f"{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.{d(2)}", f"{d(4)}-{d(2)}-{d(2)}", "".join(rng.choice("0123456789abcdef") for _ in range(20)), d(rng.randint(8, 12)), d(rng.randint(21, 30)), f"{d(2)}:{d(2)}", f"{name()} = {d(2)}", f'{name()}="{name()}"', f"{name()} @{name()}"])
@@ -313,7 +366,7 @@ def invented(rng: random.Random) -> list[tuple[str | None, str]]:
 
 
 def training_windows(texts: list[str], seed: int = 7, limit: int = WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Class ids and tags of up to `limit` windows labelled by patterns and as many with invented data."""
+    """Class ids and tags of up to `limit` windows labelled by patterns, near signs and elsewhere by turns, and as many with invented data."""
     rng, ids, tags = random.Random(seed), [], []
 
     def put(text, spans):
@@ -326,7 +379,8 @@ def training_windows(texts: list[str], seed: int = 7, limit: int = WINDOWS) -> t
         if len(text) < WINDOW:
             continue
         found = list(raw_matches(text))
-        for hot in [m.start() for m in HOT.finditer(text)][:TEXT_WINDOWS]:
+        near = [m.start() for m in HOT.finditer(text)][:TEXT_WINDOWS]
+        for hot in [p for h in near for p in (h, rng.randrange(len(text)))]:
             a = max(0, min(len(text) - WINDOW, hot - rng.randint(10, WINDOW - 10)))
             touched = [(k, s, e, ok) for k, s, e, ok in found if s < a + WINDOW and e > a]
             doubtful = any(not ok and k in ("card", "phone") and len(_digits(text[s:e])) > 12 for k, s, e, ok in touched)
@@ -424,58 +478,135 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-BLEND = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+def blended(scorer: WindowScores, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Blended scores (STRIDE, tags, blocks) of texts laid out in blocks of STRIDE characters, and each text's first block.
+
+    A window covers two blocks in a row. A character's scores are the mean of those of its one or two windows, weighed
+    by its distance from their edges; windows over blocks of two texts weigh nothing.
+    """
+    blocks = [1 + max(1, -(-(len(p) - STRIDE) // STRIDE)) for p in parts]
+    first = np.cumsum([0, *blocks])
+    ids = np.full(first[-1] * STRIDE, 5)
+    for at, part in zip(first * STRIDE, parts):  # noqa: B905
+        ids[at : at + len(part)] = char_ids(part)
+    ids = np.ascontiguousarray(ids.reshape(-1, STRIDE).T)
+    opening = np.repeat(np.arange(1, STRIDE + 1, dtype=np.float32)[:, None], first[-1], axis=1)
+    closing = STRIDE + 1 - opening
+    opening[:, first[1:] - 1] = closing[:, first[:-1]] = 0
+    total = opening + closing
+    opening, closing = opening / total, closing / total
+    x = np.take(scorer.embedding, ids, axis=1)
+    scores = np.zeros((STRIDE, TAGS, first[-1]), np.float32)
+    for i in range(0, first[-1] - 1, scorer.rows):
+        j = min(first[-1] - 1, i + scorer.rows)
+        found = scorer.of(x[:, :, i:j], x[:, :, i + 1 : j + 1])
+        found[:STRIDE] *= opening[:, None, i:j]
+        found[STRIDE:] *= closing[:, None, i + 1 : j + 1]
+        scores[:, :, i:j] += found[:STRIDE]
+        scores[:, :, i + 1 : j + 1] += found[STRIDE:]
+    return scores, first
+
+
+def likeliest_spans(w: dict, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each character in the layout of `blended`, a bound on the log odds of any one span that holds it.
+
+    Whatever tags stand around a span, putting outside in its place changes the likelihood by its scores and transitions
+    alone. So the odds of a span from a to b are at most a term of a, a sum over a to b and a constant of its kind, and
+    the largest over all a and b around a place comes from running sums and their running extremes.
+    """
+    trans, begins = w["T"].astype(np.float64) + forbidden(), range(1, TAGS, 2)
+    lead = np.ascontiguousarray((scores - scores[:, :1]).transpose(1, 2, 0)).reshape(TAGS, -1)
+    most = np.full(lead.shape[1], -np.inf)
+    for k in begins:
+        enter = (trans[:, k] - trans[:, 0]).max()
+        leave = max(0, *((trans[k : k + 2, m] - trans[0, m]).max() for m in (0, *begins)))
+        run = lead[k + 1] + (trans[k : k + 2, k + 1].max() - trans[0, 0])
+        run[first[:-1] * STRIDE] -= 1e4  # no span goes on into the next text
+        run = np.cumsum(run, dtype=np.float64)
+        odds = np.maximum.accumulate(lead[k] - run)
+        odds += np.maximum.accumulate(run[::-1])[::-1]
+        odds += enter + leave
+        np.maximum(most, odds, out=most)
+    return most
+
+
+def joined_places(places: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Parts of a text within MARGIN characters of a place; those that touch are one."""
+    if not len(places):
+        return []
+    cuts = np.flatnonzero(np.diff(places) > 2 * MARGIN + 1)
+    starts, ends = places[[0, *(cuts + 1)]], places[[*cuts, -1]]
+    return [(max(0, a - MARGIN), min(length, b + 1 + MARGIN)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def tag_texts(w: dict, texts: list[str], rows: int = 512, everywhere: bool = False) -> list[list[Span]]:
-    """Spans that the tagger is sure of and that hold, for each text: in its stretches, or everywhere in it.
+def tag_texts(w: dict, texts: list[str], rows: int = 768, everywhere: bool = True) -> list[list[Span]]:
+    """Spans that the tagger is sure of and that hold, for each text: everywhere in it, or in its stretches alone.
 
-    About 4 * `rows` windows are in memory at a time, besides one text.
+    All characters are scored. The CRF then decides around the places where some span's odds may reach UNLIKELY. Between
+    them the best sequence is outside, by a bound that holds for every span, so that it is the same as over the whole. About 4 * `rows` windows are in memory at a time, besides
+    one text.
     """
     found: list[list[Span]] = [[] for _ in texts]
+    scorer = WindowScores(w, rows)
     pending: list[tuple[int, int, str]] = []
+    pieces: list[tuple[bool, int, int, str, np.ndarray]] = []
 
     def flush():
-        starts = [(j, s) for j, (_, _, part) in enumerate(pending) for s in range(0, max(1, len(part) - WINDOW + STRIDE), STRIDE)]
-        sums = [np.zeros((len(p), TAGS), np.float32) for _, _, p in pending]
-        weights = [np.zeros((len(p), 1), np.float32) for _, _, p in pending]
-        classes = [char_ids(p) for _, _, p in pending]
-        for i in range(0, len(starts), rows):
-            some = starts[i : i + rows]
-            ids = np.full((len(some), WINDOW), 5)
-            for r, (j, s) in enumerate(some):
-                part = classes[j][s : s + WINDOW]
-                ids[r, : len(part)] = part
-            scores = emissions(w, ids)
-            for r, (j, s) in enumerate(some):
-                n = min(WINDOW, len(sums[j]) - s)
-                sums[j][s : s + n] += scores[:n, r] * BLEND[:n, None]
-                weights[j][s : s + n] += BLEND[:n, None]
-        order = sorted(range(len(pending)), key=lambda j: len(sums[j]))
-        for i in range(0, len(order), 64):
-            some = order[i : i + 64]
-            longest = len(sums[some[-1]])
+        scores, first = blended(scorer, [part for _, _, part in pending])
+        unsure = np.flatnonzero(likeliest_spans(w, scores, first) >= np.log(UNLIKELY))
+        bounds = np.searchsorted(unsure, [first[:-1] * STRIDE, first[:-1] * STRIDE + [len(part) for _, _, part in pending]])
+        for (doc, offset, part), at, end, low, high in zip(pending, first[:-1], first[1:], *bounds, strict=True):
+            near = joined_places(unsure[low:high] - at * STRIDE, len(part))
+            own = scores[:, :, at:end].transpose(2, 0, 1).reshape(-1, TAGS) if near else None
+            for a, b in near:
+                inside = own[a:b].copy()
+                if a > 0:
+                    inside[0, 1:] = -1e4
+                if b < len(part):
+                    inside[-1, 1:] = -1e4
+                pieces.append((b == len(part), doc, offset + a, part[a:b], inside))
+        pending.clear()
+
+    def decide():
+        """The best tags of all pieces, of like length together.
+
+        Those that end within their text may be filled up with outside; those at its end go with others as long.
+        """
+        pieces.sort(key=lambda p: (p[0], len(p[3])))
+        i = 0
+        while i < len(pieces):
+            n, longest = 1, len(pieces[i][3])
+            while i + n < len(pieces):
+                at_end, _, _, part, _ = pieces[i + n]
+                if (n + 1) * len(part) > TOGETHER or at_end and (not pieces[i][0] or len(part) != longest):
+                    break
+                n, longest = n + 1, len(part)
+            some, i = pieces[i : i + n], i + n
             scores = np.full((longest, len(some), TAGS), 0, np.float32)
-            for r, j in enumerate(some):
-                scores[: len(sums[j]), r] = sums[j] / weights[j]
-                scores[len(sums[j]) :, r, 1:] = -1e4  # nothing after the end
+            for r, (_, _, _, part, inside) in enumerate(some):
+                scores[: len(part), r] = inside
+                scores[len(part) :, r, 1:] = -1e4  # nothing after the end
             best = viterbi(w, scores)
             sure = np.take_along_axis(marginals(w, scores), best.T[:, :, None], 2)[:, :, 0] >= CONFIDENCE
-            for r, tags in enumerate(best):
-                doc, offset, part = pending[some[r]]
-                found[doc] += [(k, offset + a, offset + b) for k, a, b in spans_of(tags[: len(part)]) if sure[a:b, r].all() and holds(k, part[a:b])]
-        pending.clear()
+            for r in np.flatnonzero(best.any(1)):
+                _, doc, offset, part, _ = some[r]
+                found[doc] += [(k, offset + a, offset + b) for k, a, b in spans_of(best[r, : len(part)]) if sure[a:b, r].all() and holds(k, part[a:b])]
+        pieces.clear()
 
     held = 0
     for doc, text in enumerate(texts):
-        for a, b in [(0, len(text))] if everywhere and text else stretches(text):
+        for a, b in [(0, len(text))] * bool(text) if everywhere else stretches(text):
             pending.append((doc, a, text[a:b]))
-            held += 1 + (b - a) // STRIDE
+            held += 2 + (b - a) // STRIDE
             if held >= rows * 4:
                 flush()
                 held = 0
-    flush()
-    return found
+                if sum(len(p[3]) for p in pieces) >= 2 * TOGETHER:
+                    decide()
+    if pending:
+        flush()
+    decide()
+    return [sorted(spans, key=lambda s: s[1]) for spans in found]
 
 
 def all_spans(base: list[Span], tagged: list[Span]) -> list[Span]:
@@ -503,14 +634,14 @@ def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
     return [r.text for r in chosen.orderBy("h").collect()]
 
 
-def detect(docs: DataFrame, weights: dict | None = None, everywhere: bool = False) -> DataFrame:
+def detect(docs: DataFrame, weights: dict | None = None, everywhere: bool = True) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans for every row of docs(doc_id, text).
 
     The first counts and the digest are of the base spans; spans lists all, n_spans counts them, and n_secret those of
     the kind that has no pattern. A null text counts as empty: no spans, the digest of no
     bytes. Null doc_ids and repeated rows stay as they are; an empty table gives no rows. Other columns are ignored.
-    Without weights, the tagger is trained on a bounded sample of the documents. everywhere: tag whole texts, not only
-    the stretches near a digit, an @, a = or a :.
+    Without weights, the tagger is trained on a bounded sample of the documents. everywhere=False: tag only the
+    stretches near a digit, an @, a = or a :.
     """
     w = weights or train(sample_texts(docs))
 
