@@ -1,10 +1,12 @@
 """The numbered operators against plain versions, over a small table and over one of odd rows."""
 
 import hashlib
+import inspect
 import io
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -322,6 +324,36 @@ def test_no_span_is_likelier_than_its_bound(monkeypatch):
         assert len(chance) > 20 and all(share <= bound[r, t] * (1 + 1e-6) for (_, a, b), share in chance.items() for t in range(a, b))
 
 
+def test_bound_over_blocks_equals_plain_sums():
+    """Three texts of one to five blocks: for each place, the most over all spans of its text that hold it, summed one by one."""
+    rng = np.random.default_rng(12)
+    w, first = {"T": rng.normal(0, 1, (pii.TAGS + 1, pii.TAGS))}, np.array([0, 2, 3, 8])
+    scores = rng.normal(0, 2, (pii.STRIDE, pii.TAGS, 8))
+    scores[:, 0] += 2
+    found = pii.likeliest_spans(w, scores, first)
+    trans, expected = w["T"] + pii.forbidden(), np.full(8 * pii.STRIDE, -np.inf)
+    lead = (scores - scores[:, :1]).transpose(1, 2, 0).reshape(pii.TAGS, -1)
+    for low, high in itertools.pairwise(first * pii.STRIDE):
+        for k in range(1, pii.TAGS, 2):
+            enter = (trans[:, k] - trans[:, 0]).max()
+            leave = max(0, *((trans[k : k + 2, m] - trans[0, m]).max() for m in (0, *range(1, pii.TAGS, 2))))
+            for a in range(low, high):
+                ends = lead[k, a] + enter + leave + np.cumsum([0, *(lead[k + 1, a + 1 : high] + trans[k : k + 2, k + 1].max() - trans[0, 0])])
+                most = np.maximum.accumulate(ends[::-1])[::-1]
+                expected[a:high] = np.maximum(expected[a:high], most)
+    assert np.allclose(found, expected, atol=1e-6)
+
+
+def test_what_a_step_of_the_tagger_touches_fits_the_cache(tagger):
+    """At the number of windows that the query scores at a time, under 512 KB (17 MB with states and scores of all steps)."""
+    rows = inspect.signature(pii.tag_texts).parameters["rows"].default
+    tracemalloc.start()
+    scorer = pii.WindowScores(tagger, rows)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert scorer.rows == rows and held < 512 << 10
+
+
 def test_decoding_equals_enumeration():
     """Best sequence and marginals of a short stretch against all tag sequences."""
     rng = np.random.default_rng(3)

@@ -46,6 +46,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, WINDOWS, PASSES = 400, 20_000, 1_800, 8
 #: Windows of one sampled text that are labelled by patterns, so that a long text does not fill the sample.
 TEXT_WINDOWS = 20
 HIDDEN, EMBED = 16, 12
+#: Rows before those of the gates in a step's product: the tags, and up to a multiple of four, which BLAS is made for.
+LEAD = -(-TAGS // 4) * 4
 OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("n_spans", pa.int64())])
 Span = tuple[str, int, int]
 
@@ -242,47 +244,58 @@ def emissions(w: dict, ids: np.ndarray, keep: bool = False):
 class WindowScores:
     """Scores of up to `rows` windows at a time: those of emissions, with rows last, in arrays that are used again.
 
-    Both directions take a step at once, and every product and cut runs over whole rows in place.
+    A step is one product: of the state (hidden, embedding and 1) with the rows of the gates and, before them, those of
+    the tags, which so come for the step before. All else runs over whole rows in place, and one direction at a time,
+    so that what a step touches stays in the cache.
     """
 
     def __init__(self, w: dict, rows: int):
         scale = np.repeat(np.array([SLOPE, 1]), (3 * HIDDEN, HIDDEN))[:, None]
         shift = np.repeat(np.array([0.5, 0]), (3 * HIDDEN, HIDDEN))[:, None]
-        one = lambda d: np.concatenate([scale * w[f"H{d}"].T, scale * w[f"X{d}"].T, scale * w[f"g{d}"][:, None] + shift], axis=1)
-        self.mix = np.stack([one("f"), one("b")]).astype(np.float32)
-        self.embedding = np.ascontiguousarray(w["E"].T, np.float32)
-        self.last, self.added, self.rows = np.ascontiguousarray(w["W"].T, np.float32), w["c"][:, None].astype(np.float32), rows
-        make = lambda *shape: np.empty((*shape, rows), np.float32)
-        self.x, self.state, self.z = make(EMBED, WINDOW), make(2, HIDDEN + EMBED + 1), make(2, 4 * HIDDEN)
-        self.cells, self.both, self.out = make(2, 2, HIDDEN), make(WINDOW, 2 * HIDDEN), make(WINDOW, TAGS)
-
-    def of(self, *halves: np.ndarray) -> np.ndarray:
-        """(WINDOW, tags, rows) for windows given by the embeddings (EMBED, steps, rows) of their parts; valid until the next call."""
-        n, at = halves[0].shape[2], 0
-        x, state, z, both, out = (a[..., :n] for a in (self.x, self.state, self.z, self.both, self.out))
-        if n < self.rows:
-            state, z, both, out = (np.empty(a.shape, np.float32) for a in (state, z, both, out))
-        for half in halves:
-            x[:, at : at + half.shape[1]] = half
-            at += half.shape[1]
-        c, cut = self.cells[..., :n]
-        gates, g, h = z[:, : 3 * HIDDEN], z[:, 3 * HIDDEN :], state[:, :HIDDEN]
-        i, f, o = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-        none, one = np.float32(0), np.float32(1)
-        h[:], c[:], state[:, -1] = 0, 0, 1
-        for t in range(WINDOW):
-            state[0, HIDDEN:-1], state[1, HIDDEN:-1] = x[:, t], x[:, WINDOW - 1 - t]
-            np.matmul(self.mix, state, out=z)
+        order = np.r_[2 * HIDDEN : 3 * HIDDEN, : 2 * HIDDEN, 3 * HIDDEN : 4 * HIDDEN]  # output, input, forget, new
+
+        def product(d, last, added):
+            tags = np.zeros((LEAD, HIDDEN + EMBED + 1))
+            tags[:TAGS, :HIDDEN], tags[:TAGS, -1] = last.T, added
+            gates = np.concatenate([scale * w[f"H{d}"].T, scale * w[f"X{d}"].T, scale * w[f"g{d}"][:, None] + shift], axis=1)
+            return np.concatenate([tags, gates[order]]).astype(np.float32)
+
+        self.mix = product("f", w["W"][:HIDDEN], w["c"]), product("b", w["W"][HIDDEN:], 0)
+        self.embedding, self.rows = np.ascontiguousarray(w["E"].T, np.float32), rows
+        self.room = [np.empty(k * rows, np.float32) for k in (HIDDEN + EMBED + 1, LEAD + 5 * HIDDEN)]
+
+    def add(self, inputs: list, out: list):
+        """To each (scores, weights) of `out`, in turn, the weighed scores of the step whose embeddings `inputs` holds."""
+        for mix, way in zip(self.mix, (1, -1), strict=True):
+            self._add(mix, inputs[::way], out[::way])
+
+    def _add(self, mix, inputs, out):
+        n, none, one = inputs[0].shape[1], np.float32(0), np.float32(1)
+        state, held = (a[: len(a) // self.rows * n].reshape(-1, n) for a in self.room)
+        h, x, z, tags, gates = state[:HIDDEN], state[HIDDEN:-1], held[:-HIDDEN], held[:TAGS], held[LEAD : LEAD + 3 * HIDDEN]
+        o, i, f, g, c = held[LEAD:].reshape(5, HIDDEN, n)
+        both, others = held[LEAD + HIDDEN : LEAD + 3 * HIDDEN], held[LEAD + 3 * HIDDEN :]  # input and forget, new and cell
+        h[:], c[:], state[-1] = 0, 0, 1
+        for t, step in enumerate(inputs):
+            x[:] = step
+            np.matmul(mix, state, out=z)
+            if t:
+                scores, weights = out[t - 1]
+                np.multiply(tags, weights, out=tags)
+                np.add(scores, tags, out=scores)
             gates.clip(none, one, gates)
             g.clip(-one, one, g)
-            np.multiply(f, c, out=c)
-            np.multiply(i, g, out=g)
-            np.add(c, g, out=c)
-            c.clip(-one, one, cut)
-            np.multiply(o, cut, out=h)
-            both[t, :HIDDEN], both[WINDOW - 1 - t, HIDDEN:] = h
-        np.matmul(self.last, both, out=out)
-        out += self.added
+            np.multiply(both, others, out=both)
+            np.add(i, f, out=c)
+            c.clip(-one, one, g)
+            np.multiply(o, g, out=h)
+        scores, weights = out[-1]
+        scores += (mix[:LEAD] @ state)[:TAGS] * weights
+
+    def of(self, *parts: np.ndarray) -> np.ndarray:
+        """(WINDOW, tags, rows) for windows given by the embeddings (EMBED, steps, rows) of their parts."""
+        out = np.zeros((WINDOW, TAGS, parts[0].shape[2]), np.float32)
+        self.add([step for part in parts for step in part.transpose(1, 0, 2)], [(scores, np.float32(1)) for scores in out])
         return out
 
 
@@ -495,15 +508,12 @@ def blended(scorer: WindowScores, parts: list[str]) -> tuple[np.ndarray, np.ndar
     opening[:, first[1:] - 1] = closing[:, first[:-1]] = 0
     total = opening + closing
     opening, closing = opening / total, closing / total
-    x = np.take(scorer.embedding, ids, axis=1)
+    x = np.take(scorer.embedding, ids, axis=1).transpose(1, 0, 2)
     scores = np.zeros((STRIDE, TAGS, first[-1]), np.float32)
     for i in range(0, first[-1] - 1, scorer.rows):
         j = min(first[-1] - 1, i + scorer.rows)
-        found = scorer.of(x[:, :, i:j], x[:, :, i + 1 : j + 1])
-        found[:STRIDE] *= opening[:, None, i:j]
-        found[STRIDE:] *= closing[:, None, i + 1 : j + 1]
-        scores[:, :, i:j] += found[:STRIDE]
-        scores[:, :, i + 1 : j + 1] += found[STRIDE:]
+        opened, closed = (zip(scores[:, :, a:b], w[:, a:b], strict=True) for a, b, w in ((i, j, opening), (i + 1, j + 1, closing)))
+        scorer.add([*x[:, :, i:j], *x[:, :, i + 1 : j + 1]], [*opened, *closed])
     return scores, first
 
 
@@ -515,19 +525,30 @@ def likeliest_spans(w: dict, scores: np.ndarray, first: np.ndarray) -> np.ndarra
     the largest over all a and b around a place comes from running sums and their running extremes.
     """
     trans, begins = w["T"].astype(np.float64) + forbidden(), range(1, TAGS, 2)
-    lead = np.ascontiguousarray((scores - scores[:, :1]).transpose(1, 2, 0)).reshape(TAGS, -1)
-    most = np.full(lead.shape[1], -np.inf)
-    for k in begins:
-        enter = (trans[:, k] - trans[:, 0]).max()
-        leave = max(0, *((trans[k : k + 2, m] - trans[0, m]).max() for m in (0, *begins)))
-        run = lead[k + 1] + (trans[k : k + 2, k + 1].max() - trans[0, 0])
-        run[first[:-1] * STRIDE] -= 1e4  # no span goes on into the next text
-        run = np.cumsum(run, dtype=np.float64)
-        odds = np.maximum.accumulate(lead[k] - run)
-        odds += np.maximum.accumulate(run[::-1])[::-1]
-        odds += enter + leave
-        np.maximum(most, odds, out=most)
-    return most
+    edges = [(trans[:, k] - trans[:, 0]).max() + max(0, *((trans[k : k + 2, m] - trans[0, m]).max() for m in (0, *begins))) for k in begins]
+    inner = [trans[k : k + 2, k + 1].max() - trans[0, 0] for k in begins]
+    edges, inner = (np.array(a, scores.dtype)[:, None] for a in (edges, inner))
+    # Of spans within a block: the most up to and with a place, and the most that goes on after it.
+    most, run = scores[:, begins] - scores[:, :1], scores[:, 2::2] - scores[:, :1]
+    run += inner
+    total, after = run.copy(), np.zeros_like(run)
+    for t in range(1, STRIDE):
+        total[t] += total[t - 1]
+        np.maximum(most[t], most[t - 1] + run[t], out=most[t])
+    for t in range(STRIDE - 2, -1, -1):
+        np.maximum(after[t + 1] + run[t + 1], 0, out=after[t])
+    # Of those that come from earlier blocks or reach later ones, by running sums of whole blocks.
+    whole = total[-1].astype(np.float64)
+    whole[:, first[:-1]] -= 1e4  # no span goes on into the next text
+    ends = np.cumsum(whole, axis=1)
+    starts = ends - total[-1]
+    come = np.maximum.accumulate(most[-1] - ends, axis=1)[:, :-1] + starts[:, 1:]
+    reach = np.maximum.accumulate((starts + total.max(0))[:, :0:-1], axis=1)[:, ::-1] - ends[:, :-1]
+    np.maximum(most[:, :, 1:], total[:, :, 1:] + come.astype(scores.dtype), out=most[:, :, 1:])
+    np.maximum(after[:, :, :-1], total[-1, :, :-1] + reach.astype(scores.dtype) - total[:, :, :-1], out=after[:, :, :-1])
+    most += after
+    most += edges
+    return most.max(1).T.ravel()
 
 
 def joined_places(places: np.ndarray, length: int) -> list[tuple[int, int]]:
