@@ -289,6 +289,15 @@ def test_every_character_is_scored(docs, tagger, monkeypatch):
     assert seen == [t for t in texts if t]
 
 
+def test_equal_texts_are_tagged_once(tagger, monkeypatch):
+    """Every row gets the spans of its text, and no text of a batch is scored twice."""
+    texts, seen, whole = ["", "token = 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it", "no sign", ""] * 3, [], pii.blended
+    expected = [pii.tag_texts(tagger, [t])[0] for t in texts]
+    monkeypatch.setattr(pii, "blended", lambda scorer, parts: seen.extend(parts) or whole(scorer, parts))
+    assert pii.tag_equal_once(tagger, texts) == expected and any(expected)
+    assert seen == texts[1:3]
+
+
 def test_window_scores_equal_emissions(tagger):
     rng = np.random.default_rng(4)
     scorer = pii.WindowScores(tagger, 7)

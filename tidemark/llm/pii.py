@@ -630,6 +630,13 @@ def tag_texts(w: dict, texts: list[str], rows: int = 768, everywhere: bool = Tru
     return [sorted(spans, key=lambda s: s[1]) for spans in found]
 
 
+def tag_equal_once(w: dict, texts: list[str], everywhere: bool = True) -> list[list[Span]]:
+    """What tag_texts finds, each of equal texts tagged once."""
+    different = list(dict.fromkeys(texts))
+    found = dict(zip(different, tag_texts(w, different, everywhere=everywhere), strict=True))
+    return [found[t] for t in texts]
+
+
 def all_spans(base: list[Span], tagged: list[Span]) -> list[Span]:
     """Base spans, and tagged ones that touch none of them, by kind as listed, then start."""
     taken = sorted((a, b) for _, a, b in base)
@@ -649,9 +656,10 @@ def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
     Hashes alone are compared over all documents; only the chosen texts reach the driver.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where((F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(n).collect()]
-    chosen = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h"))
+    fits = (F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")
+    least = [r.h for r in rows.where(fits).select("h").distinct().orderBy("h").limit(n).collect()]
+    chosen = rows.where(F.col("h").isin(least)).where(fits).groupBy("h").agg(F.min("text").alias("text"))
     return [r.text for r in chosen.orderBy("h").collect()]
 
 
@@ -670,7 +678,7 @@ def detect(docs: DataFrame, weights: dict | None = None, everywhere: bool = True
         for batch in batches:
             rows = [(d, t or "") for d, t in vocab.rows_of(batch, "doc_id", "text")]
             out = []
-            for (doc, text), tagged in zip(rows, tag_texts(w, [t for _, t in rows], everywhere=everywhere), strict=True):
+            for (doc, text), tagged in zip(rows, tag_equal_once(w, [t for _, t in rows], everywhere), strict=True):
                 base = base_spans(text)
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 spans = all_spans(base, tagged)
@@ -703,7 +711,7 @@ def redact(docs: DataFrame, weights: dict | None = None) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            tagged = tag_texts(w, [t or "" for t in texts])
+            tagged = tag_equal_once(w, [t or "" for t in texts])
             clean = [None if t is None else redact_text(t, all_spans(base_spans(t), s)) for t, s in zip(texts, tagged, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
