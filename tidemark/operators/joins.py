@@ -24,22 +24,29 @@ def interval_join(left: DataFrame, right: DataFrame, by: Names, at: str, other:
 
 
 def nearest_before(rows: DataFrame, lookups: DataFrame, by: Names, at: str, value: str, name: str) -> DataFrame:
-    """rows with the value of the last lookup at or before their time, as one ordered pass over both (no pair is formed)."""
-    a = rows.withColumn("__kind", F.lit(1)).withColumn("__value", F.lit(None).cast(lookups.schema[value].dataType))
-    b = lookups.select(*by, at, F.col(value).alias("__value")).withColumn("__kind", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
+    """rows with the value of the last lookup at or before their time, as one ordered pass over both (no pair is formed).
+
+    A null key or time meets nothing, on either side; a null value of the last lookup is taken as it is.
+    """
+    a, b = _both_kinds(rows, lookups, by, at, value)
+    both = a.withColumn("__kind", F.lit(1)).unionByName(b.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     w = W.partitionBy(*by).orderBy(at, "__kind").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(name, F.last("__value", ignorenulls=True).over(w)).where("__kind = 1").drop("__kind", "__value")
+    return both.withColumn(name, F.last("__value", ignorenulls=True).over(w)["value"]).where("__kind = 1").drop("__kind", "__value")
 
 
 def nearest_after(rows: DataFrame, lookups: DataFrame, by: Names, at: str, value: str, name: str) -> DataFrame:
     """As nearest_before, with the first lookup after the row's time."""
-    a = rows.withColumn("__kind", F.lit(0)).withColumn("__value", F.lit(None).cast(lookups.schema[value].dataType))
-    b = lookups.select(*by, at, F.col(value).alias("__value")).withColumn("__kind", F.lit(1))
-    both = a.unionByName(b, allowMissingColumns=True)
-    later = W.partitionBy(*by).orderBy(F.col(at).desc(), F.col("__kind").desc()).rowsBetween(W.unboundedPreceding, 0)
-    rows_ = both.withColumn(name, F.last("__value", ignorenulls=True).over(later)).where("__kind = 0")
-    return rows_.drop("__kind", "__value")
+    a, b = _both_kinds(rows, lookups, by, at, value)
+    both = a.withColumn("__kind", F.lit(0)).unionByName(b.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    later = W.partitionBy(*by).orderBy(F.col(at).desc_nulls_first(), F.col("__kind").desc()).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("__value", ignorenulls=True).over(later)["value"]).where("__kind = 0").drop("__kind", "__value")
+
+
+def _both_kinds(rows: DataFrame, lookups: DataFrame, by: Names, at: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and lookups with __value: null in rows, a struct in lookups; lookups without a key or time go."""
+    held = F.struct(F.col(value).alias("value"))
+    b = lookups.dropna(subset=[*by, at]).select(*by, at, held.alias("__value"))
+    return rows.withColumn("__value", F.lit(None).cast(b.schema["__value"].dataType)), b
 
 
 def next_equal(rows: DataFrame, by: Names, order: Names, text: str, value: str, name: str) -> DataFrame:

@@ -295,7 +295,8 @@ def asof_prev_next(spark, sf_dir):
     clicks = rows.where("text = 'cue click'").select("user_id", "event_id", "start_ms")
     views = rows.where("text = 'cue view'").groupBy("user_id", "start_ms").agg(F.max("event_id").alias("seen"))
     before = joins.nearest_before(clicks, views, ["user_id"], "start_ms", "seen", "view_before").select("user_id", "event_id", "start_ms", "view_before")
-    return joins.nearest_after(before, views, ["user_id"], "start_ms", "seen", "view_after").select("user_id", "event_id", "view_before", "view_after")
+    known = views.where("seen is not null")  # arg_min passes over null ids, the join before does not
+    return joins.nearest_after(before, known, ["user_id"], "start_ms", "seen", "view_after").select("user_id", "event_id", "view_before", "view_after")
 
 
 @query(
