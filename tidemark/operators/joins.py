@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,30 +75,68 @@ def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str,
     in which the block's words stand in a row and overlap the block's time, `slack` aside, at the first such place. A
     block without times takes the first sentence that says it. A block without words has no match.
 
-    A block is looked up by its first words among the runs of as many words (ANCHOR at most) of all sentences, a timed
-    one under the bucket of its time too, so that only sentences that say its first words are compared with it.
+    A timed block meets the sentences that begin in the buckets of its time; one without times those in which its first
+    words (ANCHOR at most) stand in a row. Both meet in groups within `by`: rows that are dealt out by `by`, or part of
+    it, are not shuffled again.
     """
     start, end = times
     keyed = words.select(*by, F.col(sentence).alias("__s"), F.struct(F.col(pos).alias("pos"), word_key(F.col(word)).alias("key"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")).alias("w"))
-    said = keyed.groupBy(*by, "__s").agg(F.array_sort(F.collect_list("w")).alias("__w")).withColumn("__keys", F.col("__w.key")).withColumn("__begin", F.get("__w", F.lit(0))["a"])
+    said = keyed.groupBy(*by, "__s").agg(F.array_sort(F.collect_list("w")).alias("__w")).withColumn("__begin", F.get("__w", F.lit(0))["a"])
+    # the keys as an array of their own: taken from the words inside a lambda, they would be gathered again at each place
+    said = said.withColumn("__keys", F.transform("__w", lambda x: x["key"])).withColumn("__said", F.struct("__s", "__begin", "__w", "__keys"))
+    nothing = lambda rows, c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    rest = [c for c in blocks.columns if c not in (*by, block)]
+    asks = blocks.select(*by, F.col(block).alias("__id"), F.transform(wanted, word_key).alias("__want"), F.col(start).cast("double").alias("__a"), F.col(end).cast("double").alias("__b"), F.struct(*rest).alias("__row"))
+    asks = asks.withColumn("__timed", F.col("__a").isNotNull() & F.col("__b").isNotNull())
+    free = asks.where("not __timed and size(__want) > 0").select(*by, "__want")
     width = early + late
-    n = F.size("__keys")
-    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("at"), F.slice("__keys", i + 1, k).alias("run")))).otherwise(F.array().cast("array<struct<at:int,run:array<string>>>"))
-    index = said.select(*by, "__s", "__begin", F.floor(F.col("__begin") / width).alias("__bucket"), F.inline(F.concat(*[runs(k) for k in range(1, ANCHOR + 1)]))).withColumnRenamed("at", "__at").withColumnRenamed("run", "__run")
-    asks = blocks.withColumn("__want", F.transform(wanted, word_key)).where(F.size("__want") > 0).select(*by, F.col(block).alias("__id"), "__want", F.slice("__want", 1, ANCHOR).alias("__run"), F.col(start).cast("double").alias("__a"), F.col(end).cast("double").alias("__b"))
-    timed = asks.where("__a is not null and __b is not null")
-    timed = timed.withColumn("__bucket", F.explode(F.sequence(F.floor((F.col("__a") - early) / width), F.floor((F.col("__a") + late) / width))))
-    timed = timed.join(index, [*by, "__run", "__bucket"]).where((F.col("__begin") >= F.col("__a") - early) & (F.col("__begin") <= F.col("__a") + late))
-    free = asks.where("__a is null or __b is null").join(index.drop("__bucket"), [*by, "__run"])
-    met = timed.drop("__bucket").unionByName(free).join(said.select(*by, "__s", "__w", "__keys"), [*by, "__s"])
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("bigint").alias("key"))
+    buckets = F.sequence(F.floor((F.col("__a") - early) / width), F.floor((F.col("__a") + late) / width))
+    keyed_by = reduce(and_, (F.col(c).isNotNull() for c in by))  # a null key meets nothing
+    sought = F.when((F.size("__want") > 0) & keyed_by, F.when(F.col("__timed"), F.transform(buckets, lambda b: key(TIMED, b))).otherwise(F.array(key(FREE, _run(F.slice("__want", 1, ANCHOR))))))
+    # a block stands in a group of its own as well, so that it stays where nothing is found, without a join
+    own = key(OWN, F.xxhash64("__id"))
+    asks = asks.withColumn("__k", F.explode(F.concat(F.array(own), F.coalesce(sought, F.array().cast("array<struct<kind:int,key:bigint>>")))))
+    asks = asks.select(*by, "__k.*", F.struct("__id", "__want", "__a", "__b", F.when(F.col("__k.kind") == OWN, F.col("__row")).alias("__row")).alias("__ask"))
+    said = _asked_runs(said, free, by).withColumn("__k", F.explode(F.concat(F.array(key(TIMED, F.floor(F.col("__begin") / width))), F.transform("__runs", lambda h: key(FREE, h)))))
+    said = said.select(*by, "__k.*", "__said")
+    both = asks.select("*", nothing(said, "__said")).unionByName(said.select("*", nothing(asks, "__ask")))
+    met = both.groupBy(*by, "kind", "key").agg(F.collect_list("__said").alias("__said"), F.collect_list("__ask").alias("__ask")).where((F.size("__ask") > 0) & ((F.col("kind") == OWN) | (F.size("__said") > 0)))
+    met = met.select(*by, "kind", "__said", F.explode("__ask").alias("__ask")).select(*by, "kind", "__ask", F.explode_outer("__said").alias("__said")).select(*by, "kind", "__ask.*", "__said.*")
+    met = met.where((F.col("kind") != TIMED) | F.col("__begin").between(F.col("__a") - early, F.col("__a") + late))
     m = F.size("__want")
-    met = met.where(F.slice("__keys", F.col("__at") + 1, m) == F.col("__want"))
+    overlaps = lambda i: (F.get("__w", i)["a"] <= F.col("__b") + slack) & (F.get("__w", i + m - 1)["b"] >= F.col("__a") - slack)
+    fits = lambda i: (F.slice("__keys", i + 1, m) == F.col("__want")) & ((F.col("kind") == FREE) | overlaps(i))
+    places = F.when((F.col("kind") != OWN) & (F.size("__keys") >= m), F.filter(F.sequence(F.lit(0), F.size("__keys") - m), fits))
+    met = met.withColumn("__at", F.get(places, F.lit(0))).where((F.col("kind") == OWN) | F.col("__at").isNotNull())
     first, last = F.get("__w", F.col("__at")), F.get("__w", F.col("__at") + m - 1)
-    overlaps = (first["a"] <= F.col("__b") + slack) & (last["b"] >= F.col("__a") - slack)
-    met = met.where(F.col("__a").isNull() | F.col("__b").isNull() | overlaps)
-    best = met.groupBy(*by, F.col("__id").alias(block)).agg(F.min(F.struct("__s", "__at", first["pos"].alias("first"), last["pos"].alias("last"), first["a"].alias("first_time"), last["b"].alias("last_time"))).alias("__best"))
-    found = blocks.join(best, [*by, block], "left")
-    return found.select(*blocks.columns, F.col("__best.__s").alias("found_in"), *[F.col(f"__best.{c}").alias(c) for c in ("first", "last", "first_time", "last_time")])
+    found = F.struct("__s", "__at", first["pos"].alias("first"), last["pos"].alias("last"), first["a"].alias("first_time"), last["b"].alias("last_time"))
+    met = met.select(*by, F.col("__id").alias(block), F.when(F.col("kind") == OWN, F.col("__row")).alias("__row"), F.when(F.col("kind") != OWN, found).alias("__best"))
+    best = met.groupBy(*by, block).agg(F.collect_list("__row").alias("__rows"), F.min("__best").alias("__best")).withColumn("__row", F.explode("__rows"))
+    best = best.select(*by, block, "__row.*", "__best")
+    return best.select(*blocks.columns, F.col("__best.__s").alias("found_in"), *[F.col(f"__best.{c}").alias(c) for c in ("first", "last", "first_time", "last_time")])
+
+
+#: What blocks and sentences meet by: a block alone, buckets of time, first words.
+OWN, TIMED, FREE = 0, 1, 2
+#: Parts into which the runs asked for within a medium are dealt, so that one is looked up among few.
+RUN_PARTS = 64
+
+
+def _run(keys: Column) -> Column:
+    return F.xxhash64(keys)
+
+
+def _asked_runs(said: DataFrame, free: DataFrame, by: Names) -> DataFrame:
+    """said with __runs: those of its runs of words that blocks without times of the same medium begin with."""
+    part = lambda h: F.pmod(h, F.lit(RUN_PARTS)).cast("int")
+    size = F.least(F.size("__want"), F.lit(ANCHOR))
+    asked = free.groupBy(*by).agg(F.collect_set(_run(F.slice("__want", 1, ANCHOR))).alias("__set"), F.collect_set(size).alias("__sizes"))
+    asked = asked.select(*by, "__sizes", F.transform(F.sequence(F.lit(0), F.lit(RUN_PARTS - 1)), lambda p: F.filter("__set", lambda h: part(h) == p)).alias("__asked"))
+    n, none = F.size("__keys"), F.array().cast("array<bigint>")
+    runs = lambda k: F.when((n >= k) & F.array_contains("__sizes", k), F.transform(F.sequence(F.lit(0), n - k), lambda i: _run(F.slice("__keys", i + 1, k)))).otherwise(none)
+    known = F.filter(F.concat(*map(runs, range(1, ANCHOR + 1))), lambda h: F.array_contains(F.get("__asked", part(h)), h))
+    return said.join(asked, by, "left").select(*said.columns, F.when(F.col("__asked").isNotNull(), F.array_distinct(known)).otherwise(none).alias("__runs"))
 
 
 def shares_character(a: Column, b: Column) -> Column:

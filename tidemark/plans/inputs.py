@@ -25,9 +25,16 @@ CUES = """cues AS (
   FROM events)"""
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt out by doc_id while they are whole texts, so that windows and groups over their words, which take
+    several times the space, need no shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(n, "doc_id")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of each document with their place from 0."""
-    docs = table(spark, sf_dir, "documents")
+    """The words of each document with their place from 0, dealt out by document."""
+    docs = dealt_documents(spark, sf_dir)
     parts = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
     return docs.select("doc_id", F.posexplode(parts).alias("pos", "word"))
 
@@ -37,9 +44,10 @@ WORDS = """words AS (
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents))"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of each document with their place from 0."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The lines of each document with their place from 0; dealt: by document, as words are."""
+    docs = dealt_documents(spark, sf_dir) if dealt else table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 LINES = """lines AS (
