@@ -31,7 +31,7 @@ def exchanges(frame):
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
-@pytest.mark.parametrize("name", ["block_words"])
+@pytest.mark.parametrize("name", ["char_overlap_join", "block_words"])
 def test_words_are_shuffled_as_whole_texts_alone(spark, name):
     """Words take several times the space of their texts: windows, groups and matches must not deal them out again."""
     found = exchanges(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
@@ -41,7 +41,7 @@ def test_words_are_shuffled_as_whole_texts_alone(spark, name):
 def test_null_documents_equal_sql(spark, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     duckdb.execute(f"copy (select case when doc_id % 9 = 0 then null else doc_id end as doc_id, text, lang, source, n_chars from '/root/testdata/sf0.001/documents.parquet' where doc_id % 9 > 0 or doc_id = 18) to '{path}' (format parquet)")
-    for name in ("block_words",):
+    for name in ("char_overlap_join", "block_words"):
         found = catalog.queries()[name](spark, str(tmp_path)).toPandas()
         con = duckdb.connect()
         con.execute(f"create view documents as select * from '{path}'")

@@ -207,14 +207,24 @@ def shared_character_spans(sentences: DataFrame, words: DataFrame, by: Names, ke
     """by, key, first, last: from the first to the last word that shares a character with a sentence, at or after its time.
 
     Where no such word comes that late, all words of the medium count. Sentences that share nothing are left out. Words
-    and sentences meet by character along one ordered pass, so that no pairs of them are made.
+    are first put together by the sentence's time they follow, so that a character stands once between two such times;
+    these and the sentences then meet by character along one ordered pass. No pairs of words and sentences are made, and
+    rows that are dealt out by `by` are not shuffled again.
     """
-    characters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))).alias("__ch")
-    s = sentences.select(*by, key, F.col(at).cast("long").alias("__at"), characters(text)).withColumn("__time", F.lit(None).cast("long"))
-    w = words.select(*by, F.col(time).cast("long").alias("__at"), characters(word)).distinct().withColumn("__time", F.col("__at"))
+    characters = lambda c: F.explode(F.filter(F.split(c, ""), lambda x: x != "")).alias("__ch")
+    sentences, words = sentences.dropna(subset=by), words.dropna(subset=by)
+    asked = sentences.select(*by, F.col(at).cast("long").alias("__at")).distinct().withColumn("__text", F.lit(None).cast("string"))
+    said = words.select(*by, F.col(time).cast("long").alias("__at"), F.col(word).alias("__text")).where("__at is not null and __text is not null")
+    since = F.max(F.when(F.col("__text").isNull(), F.col("__at"))).over(W.partitionBy(*by).orderBy("__at").rangeBetween(W.unboundedPreceding, 0))
+    said = asked.unionByName(said).withColumn("__since", since).where("__text is not null")
+    w = said.select(*by, F.col("__since").alias("__at"), F.col("__at").alias("__time"), characters("__text"))
+    w = w.groupBy(*by, "__at", "__ch").agg(F.min("__time").alias("__first"), F.max("__time").alias("__last"))
+    s = sentences.select(*by, key, F.col(at).cast("long").alias("__at"), F.explode(F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))).alias("__ch"))
+    met = s.withColumn("__ask", F.lit(True)).unionByName(w, allowMissingColumns=True)
     one = W.partitionBy(*by, "__ch")
-    ahead = one.orderBy("__at").rangeBetween(0, W.unboundedFollowing)
-    met = s.unionByName(w, allowMissingColumns=True).withColumn("__next", F.min("__time").over(ahead)).withColumn("__low", F.min("__time").over(one)).withColumn("__high", F.max("__time").over(one))
-    met = met.where(F.col("__time").isNull() & F.col("__low").isNotNull())
+    # descending, as a frame that ends with the current row is read once, one that begins with it again for each row
+    ahead = one.orderBy(F.col("__at").desc()).rangeBetween(W.unboundedPreceding, 0)
+    met = met.withColumn("__next", F.min("__first").over(ahead)).withColumn("__low", F.min("__first").over(one)).withColumn("__high", F.max("__last").over(one))
+    met = met.where(F.col("__ask") & F.col("__low").isNotNull())
     late = F.max(F.when(F.col("__next").isNotNull(), F.col("__high")))
     return met.groupBy(*by, key).agg(F.coalesce(F.min("__next"), F.min("__low")).alias("first"), F.coalesce(late, F.max("__high")).alias("last"))

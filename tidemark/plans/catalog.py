@@ -309,7 +309,7 @@ found AS (SELECT sc.doc_id, sc.sentence, wc.pos AS nearest, e.low, e.high FROM s
 SELECT doc_id, sentence, coalesce(min(nearest), min(low)) AS first, coalesce(max(high) FILTER (WHERE nearest IS NOT NULL), max(high)) AS last FROM found GROUP BY doc_id, sentence"""
 )
 def char_overlap_join(spark, sf_dir):
-    sentences = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("sentence"), (F.col("pos") * 5).cast("long").alias("at"), "line")
+    sentences = lines(spark, sf_dir, dealt=True).select("doc_id", F.col("pos").alias("sentence"), (F.col("pos") * 5).cast("long").alias("at"), "line")
     return joins.shared_character_spans(sentences, words(spark, sf_dir), ["doc_id"], "sentence", "line", "at", "word", "pos")
 
 
