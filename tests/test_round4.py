@@ -26,12 +26,12 @@ def test_nearest_events_with_nulls_equal_sql(spark, tmp_path):
 
 
 def exchanges(frame):
-    """The shuffles of a query's plan: what they deal out by, with the columns that their rows have where that is told."""
+    """The shuffles of a query's plan: what they deal out by."""
     plan = frame._jdf.queryExecution().executedPlan().toString()
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
-@pytest.mark.parametrize("name", ["char_overlap_join", "block_words"])
+@pytest.mark.parametrize("name", ["char_overlap_join", "block_words", "short_subtitles", "grouped_sentences"])
 def test_words_are_shuffled_as_whole_texts_alone(spark, name):
     """Words take several times the space of their texts: windows, groups and matches must not deal them out again."""
     found = exchanges(catalog.queries()[name](spark, "/root/testdata/sf0.001"))

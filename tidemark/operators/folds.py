@@ -51,15 +51,17 @@ SPLIT_PHRASES = [p.split() for p in PHRASES]
 PAUSES = (",", ";", "，", "；")
 
 
-def fold(df: DataFrame, by: Names, order: Names, columns: Names, rule: Callable[..., list[tuple]], out: str) -> DataFrame:
+def fold(df: DataFrame, by: Names, order: Names, columns: Names, rule: Callable[..., list[tuple]], out: str, dealt: Names | None = None) -> DataFrame:
     """by and the columns of `out` (a DDL string): for each group the rows that rule(list of each column) gives.
 
     Groups are dealt out by their key and sorted by Spark; a task then reads them one after the other and holds a
-    batch and the group at hand. Null keys are a group.
+    batch and the group at hand. Null keys are a group. dealt: the part of `by` that the rows come dealt out by, as after
+    a window over it, for groups that follow one another in its order (sentences of a medium): they are not dealt anew.
     """
     keys = T.StructType([df.schema[c] for c in by])
     schema = T.StructType([*keys.fields, *T.StructType.fromDDL(out).fields])
-    dealt = df.select(*dict.fromkeys([*by, *order, *columns])).repartition(*by).sortWithinPartitions(*by, *order)
+    rows = df.select(*dict.fromkeys([*by, *order, *columns]))
+    rows = rows.sortWithinPartitions(*dealt, *order) if dealt else rows.repartition(*by).sortWithinPartitions(*by, *order)
 
     def closed(frame: pd.DataFrame) -> pd.DataFrame:
         starts = _starts(frame[by])
@@ -90,7 +92,7 @@ def fold(df: DataFrame, by: Names, order: Names, columns: Names, rule: Callable[
         if held:
             yield closed(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def _starts(keys: pd.DataFrame) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +46,17 @@ def grouped_sentences(words: DataFrame, by: Names, order: Names, word: str, spli
     that are still too long go to the splitter again and again, and a double quote alone joins the sentence before.
     """
 
-    def rule(ws: list[str]) -> list[int]:
-        return folds.comma_breaks(ws, most) if folds.effective(" ".join(ws)) > most else [0] * len(ws)
+    def rule(places: list, ws: list[str]) -> list[tuple]:
+        out: dict[int, tuple[list, list]] = {}
+        for k, p, t in zip(folds.comma_breaks(ws, most) if folds.effective(" ".join(ws)) > most else [0] * len(ws), places, ws, strict=True):
+            piece = out.setdefault(k, ([], []))
+            piece[0].append(p)
+            piece[1].append(t)
+        return [(k, " ".join(ts), ps[0], ps[-1]) for k, (ps, ts) in out.items()]
 
     rows = windows.primary_sentences(words, by, order, word)
-    pieces = folds.fold(rows, [*by, "sentence_id"], order, [*order, word], lambda *lists: list(zip(*lists[:-1], lists[-1], rule(lists[-1]), strict=True)), ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*order, word]) + ", piece int")
-    part = F.array_sort(F.collect_list(F.struct(*order, F.col(word).alias("__t"))))
-    texts = pieces.groupBy(*by, "sentence_id", "piece").agg(F.array_join(F.transform(part, lambda p: p["__t"]), " ").alias("text"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end"))
+    kind = rows.schema[order[0]].dataType.simpleString()
+    texts = folds.fold(rows, [*by, "sentence_id"], order, [order[0], word], rule, f"piece int, text string, start {kind}, end {kind}", dealt=by)
     parts = split_recursively(texts, "text", splitter, most, depth)
     return windows.merge_lone_quotes(parts, by, ["sentence_id", "piece", "path"], "text", "start", "end")
 
@@ -61,14 +66,17 @@ def short_lines(blocks: DataFrame, words: DataFrame, by: Names, block: str, want
 
     Blocks are sought by joins.sequence_matches; one that is said nowhere has no lines.
     """
-    found = joins.sequence_matches(blocks, words, by, block, wanted, sentence, pos, word).where("found_in is not null")
-    found = found.select(*by, block, F.col("found_in").alias(sentence), F.explode(F.sequence(F.col("first"), F.col("last"))).alias(pos))
-    said = found.join(words.select(*by, sentence, pos, word, "start", "end"), [*by, sentence, pos])
+    found = joins.sequence_matches(blocks, words, by, block, wanted, sentence, pos, word, said_as="__said").where("found_in is not null")
 
-    def rule(texts, starts, ends):
-        out: dict[int, list] = {}
-        for k, t, a, b in zip(folds.pack_by_bytes(texts, most), texts, starts, ends, strict=True):
-            out.setdefault(k, []).append((t, a, b))
-        return [(k, " ".join(t for t, _, _ in ws), ws[0][1], ws[-1][2]) for k, ws in out.items()]
+    @F.pandas_udf("array<struct<part: int, origin: string, start: double, end: double>>")
+    def lines(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_lines(t.tolist(), a.tolist(), b.tolist(), most) for t, a, b in zip(texts, starts, ends, strict=True)])
 
-    return folds.fold(said, [*by, block], [pos], [word, "start", "end"], rule, "part int, origin string, start double, end double")
+    return found.select(*by, block, F.explode(lines(F.col("__said.word"), F.col("__said.a"), F.col("__said.b"))).alias("__l")).select(*by, block, "__l.*")
+
+
+def _lines(texts: list[str], starts: list[float], ends: list[float], most: int) -> list[dict]:
+    out: dict[int, list] = {}
+    for k, t, a, b in zip(folds.pack_by_bytes(texts, most), texts, starts, ends, strict=True):
+        out.setdefault(k, []).append((t, a, b))
+    return [{"part": k, "origin": " ".join(t for t, _, _ in ws), "start": ws[0][1], "end": ws[-1][2]} for k, ws in out.items()]

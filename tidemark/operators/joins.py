@@ -67,7 +67,7 @@ def word_key(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, f"^[{WORD_SIGNS}]+|[{WORD_SIGNS}]+$", ""))
 
 
-def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str, wanted: str, sentence: str, pos: str, word: str, times: tuple[str, str] = ("start", "end"), early: float = 0.5, late: float = 1.0, slack: float = 0.5) -> DataFrame:
+def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str, wanted: str, sentence: str, pos: str, word: str, times: tuple[str, str] = ("start", "end"), early: float = 0.5, late: float = 1.0, slack: float = 0.5, said_as: str | None = None) -> DataFrame:
     """blocks with found_in, first, last, first_time, last_time: where a block's words are said in a row, null if nowhere.
 
     blocks(by, block: its key, wanted: array of words, start, end), words(by, sentence, pos from 0, word, start, end); both sides compare
@@ -75,12 +75,14 @@ def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str,
     in which the block's words stand in a row and overlap the block's time, `slack` aside, at the first such place. A
     block without times takes the first sentence that says it. A block without words has no match.
 
+    said_as: a further column with the words that say the block, as structs of their pos, word, a and b (start and end).
+
     A timed block meets the sentences that begin in the buckets of its time; one without times those in which its first
     words (ANCHOR at most) stand in a row. Both meet in groups within `by`: rows that are dealt out by `by`, or part of
     it, are not shuffled again.
     """
     start, end = times
-    keyed = words.select(*by, F.col(sentence).alias("__s"), F.struct(F.col(pos).alias("pos"), word_key(F.col(word)).alias("key"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")).alias("w"))
+    keyed = words.select(*by, F.col(sentence).alias("__s"), F.struct(F.col(pos).alias("pos"), word_key(F.col(word)).alias("key"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), *([F.col(word).alias("word")] if said_as else [])).alias("w"))
     said = keyed.groupBy(*by, "__s").agg(F.array_sort(F.collect_list("w")).alias("__w")).withColumn("__begin", F.get("__w", F.lit(0))["a"])
     # the keys as an array of their own: taken from the words inside a lambda, they would be gathered again at each place
     said = said.withColumn("__keys", F.transform("__w", lambda x: x["key"])).withColumn("__said", F.struct("__s", "__begin", "__w", "__keys"))
@@ -110,11 +112,11 @@ def sequence_matches(blocks: DataFrame, words: DataFrame, by: Names, block: str,
     places = F.when((F.col("kind") != OWN) & (F.size("__keys") >= m), F.filter(F.sequence(F.lit(0), F.size("__keys") - m), fits))
     met = met.withColumn("__at", F.get(places, F.lit(0))).where((F.col("kind") == OWN) | F.col("__at").isNotNull())
     first, last = F.get("__w", F.col("__at")), F.get("__w", F.col("__at") + m - 1)
-    found = F.struct("__s", "__at", first["pos"].alias("first"), last["pos"].alias("last"), first["a"].alias("first_time"), last["b"].alias("last_time"))
+    found = F.struct("__s", "__at", first["pos"].alias("first"), last["pos"].alias("last"), first["a"].alias("first_time"), last["b"].alias("last_time"), *([F.slice("__w", F.col("__at") + 1, m).alias("said")] if said_as else []))
     met = met.select(*by, F.col("__id").alias(block), F.when(F.col("kind") == OWN, F.col("__row")).alias("__row"), F.when(F.col("kind") != OWN, found).alias("__best"))
     best = met.groupBy(*by, block).agg(F.collect_list("__row").alias("__rows"), F.min("__best").alias("__best")).withColumn("__row", F.explode("__rows"))
     best = best.select(*by, block, "__row.*", "__best")
-    return best.select(*blocks.columns, F.col("__best.__s").alias("found_in"), *[F.col(f"__best.{c}").alias(c) for c in ("first", "last", "first_time", "last_time")])
+    return best.select(*blocks.columns, F.col("__best.__s").alias("found_in"), *[F.col(f"__best.{c}").alias(c) for c in ("first", "last", "first_time", "last_time")], *([F.col("__best.said").alias(said_as)] if said_as else []))
 
 
 #: What blocks and sentences meet by: a block alone, buckets of time, first words.
