@@ -31,7 +31,7 @@ def exchanges(frame):
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
-@pytest.mark.parametrize("name", ["char_overlap_join", "block_words", "short_subtitles", "grouped_sentences"])
+@pytest.mark.parametrize("name", ["char_overlap_join", "block_words", "short_subtitles", "grouped_sentences", "smart_split"])
 def test_words_are_shuffled_as_whole_texts_alone(spark, name):
     """Words take several times the space of their texts: windows, groups and matches must not deal them out again."""
     found = exchanges(catalog.queries()[name](spark, "/root/testdata/sf0.001"))

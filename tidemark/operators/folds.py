@@ -36,6 +36,7 @@ BAD_ENDS = (
     "very", "quite", "really", "just", "only", "more", "most", "less", "least", "much", "too", "so", "such", "even",
     "still",
 )
+LOOSE_ENDS = frozenset(BAD_ENDS)
 PHRASES = (
     "fall apart", "break down", "give up", "take off", "put on", "turn off", "turn on", "look up", "look down",
     "come back", "go away", "walk away", "run away", "get up", "sit down", "stand up", "wake up", "grow up",
@@ -46,8 +47,11 @@ PHRASES = (
     "in particular", "in short", "on purpose", "on time", "by chance", "by accident", "lose touch", "get lost",
     "make sense", "take care",
 )
-#: The phrases as lists of words.
-SPLIT_PHRASES = [p.split() for p in PHRASES]
+#: The phrases as lists of words, by their first one.
+SPLIT_PHRASES: dict[str, list[list[str]]] = {}
+for _p in map(str.split, PHRASES):
+    SPLIT_PHRASES.setdefault(_p[0], []).append(_p)
+LONGEST_PHRASE = max(len(p.split()) for p in PHRASES)
 PAUSES = (",", ";", "，", "；")
 
 
@@ -113,7 +117,9 @@ def _numbers(sizes: list[int]) -> list[int]:
 
 
 def effective(text: str) -> int:
-    return sum(c.isalpha() or c.isnumeric() for c in text)
+    if text.isalpha():
+        return len(text)
+    return sum(map(str.isalnum, text)) if text.isascii() else sum(c.isalpha() or c.isnumeric() for c in text)
 
 
 def pack_by_bytes(words: list[str], limit: int) -> list[int]:
@@ -134,19 +140,21 @@ def pack_by_bytes(words: list[str], limit: int) -> list[int]:
 
 def fixed_length(words: list[str], target: int = 12, least: int = 8, most: int = 18) -> list[int]:
     """Groups of 12 to 18 words that end neither with a bad word nor inside a phrase; those of up to 3 join the one before."""
+    if len(words) < target:
+        return [0] * len(words)
     low = [w.strip().lower() for w in words]
 
     def splits_phrase(i: int, held: int) -> bool:
         a = max(i + 1 - min(3, held), 0)
         near = low[a : i + 4]
         cut = i + 1 - a
-        return any(near[s : s + len(p)] == p for p in SPLIT_PHRASES for s in range(max(0, cut - len(p) + 1), cut))
+        return any(s + len(p) > cut and near[s : s + len(p)] == p for s in range(max(0, cut - LONGEST_PHRASE + 1), cut) for p in SPLIT_PHRASES.get(near[s], ()))
 
     sizes, held = [], 0
     for i in range(len(words)):
         held += 1
         last = i == len(words) - 1
-        if held >= most or (held >= target and low[i] not in BAD_ENDS and (last or not splits_phrase(i, held))) or (last and held < target):
+        if held >= most or (held >= target and low[i] not in LOOSE_ENDS and (last or not splits_phrase(i, held))) or (last and held < target):
             sizes.append(held)
             held = 0
     if held:
@@ -191,6 +199,7 @@ OPENERS = (
 )
 JOINERS = ("and", "but", "or", "so", "because", "since", "when", "while", "if", "unless", "until", "before", "after", "during")
 RELATIVES = ("who", "whom", "whose", "which", "that")
+CONTEXT = frozenset((*OPENERS, *JOINERS, *RELATIVES))
 
 
 def contextual_breaks(words: list[str], limit: int = 70, least: int = 5) -> list[int]:
@@ -205,10 +214,13 @@ def contextual_breaks(words: list[str], limit: int = 70, least: int = 5) -> list
     if n <= 5:
         return [0] * n
     low = [w.strip().lower() for w in words]
+    places = [i for i, w in enumerate(low[:-1]) if w in CONTEXT]
+    if not places:
+        return [0] * n
     length, verbs = [0, *accumulate(map(effective, words))], [0, *accumulate(w in VERBS for w in low)]
     cuts, a = [], 0
-    for i, w in enumerate(low[:-1]):
-        held = i - a + 1
+    for i in places:
+        w, held = low[i], i - a + 1
         if held < least or held < 2:
             continue
         whole = i - a >= 3 and verbs[i - 1] > verbs[a]

@@ -373,4 +373,4 @@ def smart_split(spark, sf_dir):
     def rule(places, texts, starts, ends):
         return list(zip(places, folds.smart_breaks(texts, starts, ends, 800, 500, 30), strict=True))
 
-    return _places(folds.fold(rows, ["doc_id", "sentence_id"], ["pos"], ["pos", "word", "start", "end"], rule, "pos int, piece int"))
+    return _places(folds.fold(rows, ["doc_id", "sentence_id"], ["pos"], ["pos", "word", "start", "end"], rule, "pos int, piece int", dealt=["doc_id"]))
