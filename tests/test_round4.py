@@ -50,3 +50,9 @@ def test_null_documents_equal_sql(spark, tmp_path):
         columns = ", ".join(f'"{c}"' for c in found.columns)
         a, b = f"select {columns} from ours", f"select {columns} from theirs"
         assert con.execute(f"select count(*) from (({a} except all {b}) union all ({b} except all {a}))").fetchone() == (0,), name
+
+
+def test_style_sets_are_parsed_once_for_each_level(spark):
+    """A set's text is parsed for its levels, not for each of its hundred fields, and a lower set is not repeated in each field."""
+    plan = catalog.queries()["style_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 0 and 0 < plan.count("from_json") < 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,13 +115,15 @@ _SCREEN = ", ".join(f"{role}: struct<{', '.join(f'{n}: {k}' for n, k in KINDS.it
 SET_SCHEMA = f"struct<version: int, {', '.join(f'{screen}: struct<{_SCREEN}>' for screen in SCREENS)}>"
 
 
-def default_set() -> Column:
-    """The set of styles that stands before any file is read."""
+def default_value(screen: str, role: str, name: str) -> Column:
+    """What a field of a style is before any file is read."""
+    values = {"name": ROLES[role]} | SHARED_DEFAULTS | dict(zip(OWN_FIELDS, OWN_DEFAULTS[screen, role], strict=True))
+    return F.lit(values.get(name)).cast(KINDS[name])
 
-    def one(screen: str, role: str) -> Column:
-        values = {"name": ROLES[role]} | SHARED_DEFAULTS | dict(zip(OWN_FIELDS, OWN_DEFAULTS[screen, role], strict=True))
-        return F.struct(*(F.lit(values.get(name)).cast(kind).alias(name) for name, kind in KINDS.items()))
 
+def default_set() -> Column:
+    """The set of styles that stands before any file is read."""
+    one = lambda screen, role: F.struct(*(default_value(screen, role, name).alias(name) for name in KINDS))
     screens = (F.struct(*(one(screen, role).alias(role) for role in ROLES)).alias(screen) for screen in SCREENS)
     return F.struct(F.lit(1).alias("version"), *screens)
 
@@ -135,21 +139,41 @@ def set_fault(json: Column) -> Column:
     `json` stands for a text that is not one JSON object alone, an unknown field at any level or a value of another
     type, which are looked for before any limit. A JSON null counts as not set.
     """
-    s, at = style_set(json), lambda *names: ".".join(("$", *names))
-    keys = lambda path: F.json_object_keys(F.get_json_object(json, path))
-    lost = lambda path, value: F.get_json_object(json, path).isNotNull() & value.isNull()
     # text after the object would break one of these, as it had to begin with the end of either
     only = (F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1) & F.json_object_keys(F.concat(F.lit('{"a":'), json, F.lit("}"))).isNotNull()
-    top = ~F.coalesce(only, F.lit(False)) | F.json_object_keys(json).isNull() | s.isNull()
-    misread = [F.coalesce(top, F.lit(True)), F.exists(F.json_object_keys(json), lambda k: ~k.isin("version", *SCREENS)), lost("$.version", s["version"])]
-    checks = []
-    for screen in SCREENS:
-        misread += [lost(at(screen), s[screen]), F.exists(keys(at(screen)), lambda k: ~k.isin(*ROLES))]
-        for role, expected in ROLES.items():
-            one = s[screen][role]
-            misread += [lost(at(screen, role), one), *_misread(json, at(screen, role), one)]
-            checks += [(f"{screen}.{role}.{name}", bad) for name, bad in _field_checks(one, expected)]
-    return F.coalesce(*(F.when(bad, F.lit("json")) for bad in misread), *(F.when(bad, F.lit(path)) for path, bad in checks))
+    sides = lambda t: F.struct(*(F.from_json(t[screen], _ROLE_TEXTS).alias(screen) for screen in SCREENS))
+    fields = lambda t: F.struct(*(F.struct(*(F.from_json(t[screen][role], _FIELD_TEXTS).alias(role) for role in ROLES)).alias(screen) for screen in SCREENS))
+    lost = lambda given, value: given.isNotNull() & value.isNull()
+    foreign = lambda t, names: F.exists(F.json_object_keys(t), lambda k: ~k.isin(*names))
+
+    def fault(p: Column) -> Column:
+        s, top, side, field = p["s"], p["top"], p["side"], p["field"]
+        misread = [F.coalesce(~F.coalesce(p["only"], F.lit(False)) | F.json_object_keys(p["json"]).isNull() | s.isNull(), F.lit(True)), foreign(p["json"], ("version", *SCREENS)), lost(top["version"], s["version"])]
+        checks = []
+        for screen in SCREENS:
+            misread += [lost(top[screen], s[screen]), foreign(top[screen], ROLES)]
+            for role, expected in ROLES.items():
+                one, given = s[screen][role], field[screen][role]
+                misread += [lost(side[screen][role], one), foreign(side[screen][role], KINDS), *(lost(given[name], one[name]) for name in KINDS if KINDS[name] != "string")]
+                checks += [(f"{screen}.{role}.{name}", bad) for name, bad in _field_checks(one, expected)]
+        return F.coalesce(*(F.when(bad, F.lit("json")) for bad in misread), *(F.when(bad, F.lit(path)) for path, bad in checks))
+
+    # each step is bound to a name, so that a text is parsed once for a level and not for every field
+    parsed = F.struct(json.alias("json"), only.alias("only"), style_set(json).alias("s"), F.from_json(json, _SCREEN_TEXTS).alias("top"))
+    parsed = _bound(parsed, lambda p: F.struct(*(p[c].alias(c) for c in ("json", "only", "s", "top")), sides(p["top"]).alias("side")))
+    parsed = _bound(parsed, lambda p: F.struct(*(p[c].alias(c) for c in ("json", "only", "s", "top", "side")), fields(p["side"]).alias("field")))
+    return _bound(parsed, fault)
+
+
+#: Each level of a set with its values as texts, to tell what is given from what could be read.
+_SCREEN_TEXTS = f"version string, {', '.join(f'{screen} string' for screen in SCREENS)}"
+_ROLE_TEXTS = ", ".join(f"{role} string" for role in ROLES)
+_FIELD_TEXTS = ", ".join(f"{name} string" for name in KINDS)
+
+
+def _bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value), with the value worked out once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
 
 
 def line_width(render_width: Column, render_height: Column, margin_l: Column, margin_r: Column, font_size: Column) -> Column:

@@ -83,6 +83,10 @@ def merged(base: Column, override: Column, kind: K.StructType) -> Column:
     return F.struct(*out)
 
 
+def _given(value: Column, kind: str) -> Column:
+    return F.nullif(value, F.lit("")) if kind == "string" else value
+
+
 def resolved_styles(rows: DataFrame, keys: Names, shared: str, own: str) -> DataFrame:
     """keys, source, fault, styles: the defaults, below the set of the shared file, below that of the row's own file.
 
@@ -92,11 +96,13 @@ def resolved_styles(rows: DataFrame, keys: Names, shared: str, own: str) -> Data
     """
     given = rows.select(*keys, F.col(shared).alias("__a"), F.when(T.trim(F.col(own)) != "", F.col(own)).alias("__b"))
     fault = lambda c: F.when(F.col(c).isNotNull(), styles.set_fault(F.col(c)))
-    found = given.select("*", fault("__a").alias("__fa"), fault("__b").alias("__fb"), styles.default_set().alias("__d"), styles.style_set(F.col("__a")).alias("__sa"), styles.style_set(F.col("__b")).alias("__sb"))
-    kind = found.schema["__d"].dataType
+    found = given.select("*", fault("__a").alias("__fa"), fault("__b").alias("__fb"), styles.style_set(F.col("__a")).alias("__sa"), styles.style_set(F.col("__b")).alias("__sb"))
+    # field by field from the files' own columns: a struct laid on a struct would repeat the lower one in each field
+    files = [F.col("__sb"), F.col("__sa")]
+    role = lambda screen, role: F.struct(*(F.coalesce(*(_given(f[screen][role][name], kind) for f in files), styles.default_value(screen, role, name)).alias(name) for name, kind in styles.KINDS.items())).alias(role)
     # a version of 0 counts as none
-    numbered = lambda c: F.col(c).withField("version", F.nullif(F.col(c)["version"], F.lit(0)))
-    laid = merged(merged(F.col("__d"), numbered("__sa"), kind), numbered("__sb"), kind)
+    version = F.coalesce(*(F.nullif(f["version"], F.lit(0)) for f in files), F.lit(1))
+    laid = F.struct(version.alias("version"), *(F.struct(*(role(screen, r) for r in styles.ROLES)).alias(screen) for screen in styles.SCREENS))
     source = F.when(F.col("__fa").isNotNull(), "shared").when(F.col("__fb").isNotNull(), "own")
     fault = F.coalesce("__fa", "__fb")
     return found.select(*keys, source.alias("source"), fault.alias("fault"), F.when(fault.isNull(), laid).alias("styles"))

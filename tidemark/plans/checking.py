@@ -141,7 +141,9 @@ SELECT event_id, CASE WHEN fa IS NOT NULL THEN 'shared' WHEN fb IS NOT NULL THEN
   CASE WHEN fault IS NULL THEN coalesce(o->>'$.vertical.minor.name', 'Minor') END AS tall_name FROM s"""
 )
 def style_sets(spark, sf_dir):
-    made = table(spark, sf_dir, "events").select("event_id", F.expr(_SHARED.replace("e %", "event_id %")).alias("a"), F.expr(_OWN.replace("e %", "event_id %")).alias("b"))
+    # a file of events is few tasks, and a set of styles costs far more than its number: they are dealt out first
+    events = table(spark, sf_dir, "events").select("event_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    made = events.select("event_id", F.expr(_SHARED.replace("e %", "event_id %")).alias("a"), F.expr(_OWN.replace("e %", "event_id %")).alias("b"))
     s, at = projections.resolved_styles(made, ["event_id"], "a", "b"), F.col("styles")
     across, tall = at["horizontal"], at["vertical"]
     fields = {"size": across["major"]["font_size"], "colour": across["major"]["primary_color"], "margin": across["minor"]["margin_v"], "tall_size": tall["major"]["font_size"]}
