@@ -56,3 +56,15 @@ def test_style_sets_are_parsed_once_for_each_level(spark):
     """A set's text is parsed for its levels, not for each of its hundred fields, and a lower set is not repeated in each field."""
     plan = catalog.queries()["style_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object") == 0 and 0 < plan.count("from_json") < 100
+
+
+def test_streamed_tables_leave_only_their_result(spark):
+    """The segments' files and the stream's state go once all is given out."""
+    import os
+
+    from tidemark.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert catalog.queries()["streamed_alignment"](spark, "/root/testdata/sf0.001").count() > 0
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["segment-times"]
